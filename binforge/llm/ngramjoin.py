@@ -83,7 +83,7 @@ def bands(percent: int = PERCENT, top: int = 1 << 40) -> list[int]:
     out = [1]
     while out[-1] < top:
         low = out[-1] + 1
-        out.append(max(low, 11 * low // 10))
+        out.append(max(low, 27 * low // 20))
     return out
 
 
@@ -110,7 +110,7 @@ def keys(s: np.ndarray, percent: int = PERCENT) -> np.ndarray:
         for i in np.flatnonzero(light):
             f = (i + 1) % m
             variants = np.r_[sums[f], sums[f] - _mix(s[seg == f] * _A)]
-            out.append(_mix(variants * _B + exact[i] * _A))
+            out.append(_mix(variants * _B + exact[i : i + 1] * _A))
     return np.concatenate(out)
 
 
