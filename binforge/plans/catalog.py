@@ -1 +1,103 @@
-QUERIES, ORACLE_SQL = {}, {}
+"""The library's queries over the test tables, each with its SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from binforge.operators import coords, hist
+from binforge.sources.io import table
+from binforge.streaming import adaptive as stream
+
+
+def _on(name, f):
+    return lambda spark, d: f(table(spark, d, name))
+
+
+def _flat(df, *cols):
+    """Edges rounded, so that two engines' last bits don't matter."""
+    return df.select(*(F.round(c, 6).alias(c) if c.rstrip("0123456789") in ("left", "right") else F.col(c) for c in cols or [c for c in df.columns if c != "error2"]))
+
+
+def _sql(t, c, n=None, edges=None, right=True, pick="bin, round(l, 6) AS \"left\", round(r, 6) AS \"right\", frequency", tail="", extra="", weight=None):
+    """Histogram SQL: n equal bins, or listed edges (pairs)."""
+    if edges is None:
+        e = f"m AS (SELECT min({c})::DOUBLE lo, max({c})::DOUBLE hi FROM {t}), e AS (SELECT i AS bin, lo + i*((hi-lo)/{n}) l, CASE WHEN i = {n}-1 THEN hi ELSE lo + (i+1)*((hi-lo)/{n}) END r FROM m, range(0, {n}) t(i))"
+        last = n - 1
+    else:
+        e = "e(bin, l, r) AS (VALUES " + ", ".join(f"({k}::BIGINT, {a}::DOUBLE, {b}::DOUBLE)" for k, (a, b) in enumerate(edges)) + ")"
+        last = len(edges) - 1
+    f = f"count(x.{c})" if weight is None else f"coalesce(sum(x.{weight}), 0)"
+    top = f" OR (bin = {last} AND x.{c} = r)" if right else ""
+    return f"WITH {e}, g AS (SELECT bin, l, r, {f} AS frequency FROM e LEFT JOIN {t} x ON x.{c} >= l AND (x.{c} < r{top}) GROUP BY 1, 2, 3){extra} SELECT {pick} FROM g{tail}"
+
+
+_GAPS = [(0, 50000), (60000, 120000), (120000, 300000)]
+_LINE = lambda c, *a, **k: _on("lineitem", lambda d: _flat(hist.h1(d, c, *a, **k)))
+
+QUERIES = {
+    "h1_numpy_quantity": _LINE("l_quantity", 10),
+    "h1_numpy_discount": _LINE("l_discount", 10),
+    "h1_numpy_price": _LINE("l_extendedprice", 100),
+    "h1_static_gaps": _on("orders", lambda d: _flat(hist.h1(d, "o_totalprice", _GAPS))),
+    "h1_missed": _on("orders", lambda d: hist.missed(d, "o_totalprice", _GAPS)),
+    "h1_weighted": _on("lineitem", lambda d: _flat(hist.h1(d, "l_discount", 10, weights="l_quantity")).withColumn("frequency", F.round("frequency", 3))),
+    "h1_cumulative": _on("lineitem", lambda d: hist.cumulative(hist.h1(d, "l_quantity", 10)).select("bin", "cumulative")),
+    "h1_normalize": _on("lineitem", lambda d: hist.normalize(hist.h1(d, "l_quantity", 10)).select("bin", F.round("frequency", 9).alias("frequency"))),
+    "h1_density": _on("lineitem", lambda d: hist.density(hist.h1(d, "l_quantity", 10)).select("bin", F.round("density", 4).alias("density"))),
+    "h1_merge2": _on("lineitem", lambda d: _flat(hist.merge_bins(hist.h1(d, "l_quantity", 10), 2))),
+    "h1_stats": _on("lineitem", lambda d: hist.statistics(d, "l_quantity").select("sum", "sum2", "min", "max", "weight", F.round("mean", 6).alias("mean"), F.round("variance", 4).alias("variance"))),
+    "h1_integer": _on("part", lambda d: hist.h1(d, "p_size", "integer").select("left", "right", "frequency")),
+    "h1_fixed_width": _on("lineitem", lambda d: hist.h1(d, "l_extendedprice", "fixed_width", bin_width=5000.0).where("frequency > 0").select("left", "frequency")),
+    "h1_adaptive": _on("lineitem", lambda d: stream.adaptive(d, "l_extendedprice", 5000.0)),
+    "h1_adaptive_merge": _on("lineitem", lambda d: stream.merge(*(stream.adaptive(d.where(F.col("l_returnflag") == f), "l_extendedprice", 5000.0) for f in "ANR"))),
+    "h1_quantile": _on("documents", lambda d: hist.h1(d, "n_chars", "quantile", q=[0.0, 0.25, 0.5, 0.75, 1.0]).select("bin", F.round("left", 4).alias("left"), F.round("right", 4).alias("right"), "frequency")),
+    "h1_pretty": _on("customer", lambda d: hist.h1(d, "c_acctbal", "pretty", bin_count=10)),
+    "h1_exponential": _on("events", lambda d: hist.h1(d.where("value > 0"), "value", "exponential", bin_count=10)),
+    "h1_sturges": _on("orders", lambda d: hist.h1(d, "o_totalprice", "sturges")),
+    "h1_doane": _on("orders", lambda d: hist.h1(d, "o_totalprice", "doane")),
+    "h1_scott": _on("orders", lambda d: hist.h1(d, "o_totalprice", "scott")),
+    "h1_freedman": _on("orders", lambda d: hist.h1(d, "o_totalprice", "freedman")),
+    "h2_qty_discount": _on("lineitem", lambda d: hist.h2(d, "l_quantity", "l_discount", [10, 5]).select("bin0", "bin1", "frequency")),
+    "h2_projection": _on("lineitem", lambda d: _flat(hist.projection(hist.h2(d, "l_quantity", "l_discount", [10, 5]), 0), "bin0", "left0", "right0", "frequency")),
+    "h3_lineitem": _on("lineitem", lambda d: hist.h(d, ["l_quantity", "l_discount", "l_tax"], [5, 4, 3]).where("frequency > 0").select("bin0", "bin1", "bin2", "frequency")),
+    "collection_by_flag": _on("lineitem", lambda d: _flat(hist.collection(d, "l_returnflag", "l_quantity", 10))),
+    "polar_embeddings": _on("embeddings", lambda d: coords.polar(d.select(F.get("embedding", F.lit(0)).cast("double").alias("x"), F.get("embedding", F.lit(1)).cast("double").alias("y")), "x", "y")),
+}
+
+
+def _nd(axes):
+    """SQL for bins of several axes: (column, n)."""
+    ms = ", ".join(f"min({c}) lo{i}, max({c}) hi{i}" for i, (c, _) in enumerate(axes))
+    es = ", ".join(f"e{i} AS (SELECT i AS bin{i}, lo{i}+i*((hi{i}-lo{i})/{n}) l, CASE WHEN i={n}-1 THEN hi{i} ELSE lo{i}+(i+1)*((hi{i}-lo{i})/{n}) END r FROM m, range(0,{n}) t(i))" for i, (_, n) in enumerate(axes))
+    on = " ".join(f"JOIN e{i} ON x.{c} >= e{i}.l AND (x.{c} < e{i}.r OR (bin{i}={n}-1 AND x.{c}=e{i}.r))" for i, (c, n) in enumerate(axes))
+    keys = ", ".join(f"bin{i}" for i in range(len(axes)))
+    return f"WITH m AS (SELECT {ms} FROM lineitem), {es}, g AS (SELECT {keys}, count(*) AS n FROM lineitem x {on} GROUP BY {keys}) ", keys
+
+
+_TWO, _ = _nd([("l_quantity", 10), ("l_discount", 5)])
+_THREE, _K3 = _nd([("l_quantity", 5), ("l_discount", 4), ("l_tax", 3)])
+_QTY = dict(t="lineitem", c="l_quantity", n=10)
+_ADAPT = "SELECT floor(l_extendedprice/5000e0)::BIGINT AS bin, floor(l_extendedprice/5000e0)*5000e0 AS \"left\", (floor(l_extendedprice/5000e0)+1)*5000e0 AS \"right\", count(*) AS frequency FROM lineitem GROUP BY ALL"
+
+ORACLE_SQL = {
+    "h1_numpy_quantity": _sql(**_QTY),
+    "h1_numpy_discount": _sql("lineitem", "l_discount", 10),
+    "h1_numpy_price": _sql("lineitem", "l_extendedprice", 100),
+    "h1_static_gaps": _sql("orders", "o_totalprice", edges=_GAPS),
+    "h1_missed": "SELECT count(*) FILTER (o_totalprice < 0) AS underflow, count(*) FILTER (o_totalprice > 300000) AS overflow, count(*) FILTER (o_totalprice >= 50000 AND o_totalprice < 60000) AS inner_missed FROM orders",
+    "h1_weighted": _sql("lineitem", "l_discount", 10, weight="l_quantity", pick="bin, round(l, 6) AS \"left\", round(r, 6) AS \"right\", round(frequency, 3) AS frequency"),
+    "h1_cumulative": _sql(**_QTY, pick="bin, (sum(frequency) OVER (ORDER BY bin))::BIGINT AS cumulative"),
+    "h1_normalize": _sql(**_QTY, pick="bin, round(frequency / (sum(frequency) OVER ())::DOUBLE, 9) AS frequency"),
+    "h1_density": _sql(**_QTY, pick="bin, round(frequency / (r - l), 4) AS density"),
+    "h1_merge2": _sql(**_QTY, pick="(bin // 2)::BIGINT AS bin, round(min(l), 6) AS \"left\", round(max(r), 6) AS \"right\", sum(frequency)::BIGINT AS frequency", tail=" GROUP BY bin // 2"),
+    "h1_stats": "SELECT sum(l_quantity) AS \"sum\", sum(l_quantity*l_quantity) AS sum2, min(l_quantity) AS \"min\", max(l_quantity) AS \"max\", count(l_quantity)::DOUBLE AS weight, round(sum(l_quantity)/count(*), 6) AS mean, round((sum(l_quantity*l_quantity) - sum(l_quantity)*sum(l_quantity)/count(*))/count(*), 4) AS variance FROM lineitem",
+    "h1_integer": "SELECT i - 5e-1 AS \"left\", i + 5e-1 AS \"right\", count(p_size) AS frequency FROM (SELECT unnest(range((SELECT min(p_size) FROM part), (SELECT max(p_size) FROM part) + 1)) AS i) LEFT JOIN part ON p_size = i GROUP BY i",
+    "h1_fixed_width": "SELECT floor(l_extendedprice/5000e0)*5000e0 AS \"left\", count(*) AS frequency FROM lineitem GROUP BY ALL",
+    "h1_adaptive": _ADAPT,
+    "h1_adaptive_merge": _ADAPT,
+    "h1_quantile": "WITH q AS (SELECT quantile_cont(n_chars, [0, 0.25, 0.5, 0.75, 1]) q FROM documents), e AS (SELECT i - 1 AS bin, q[i] l, q[i+1] r FROM q, range(1, 5) t(i)) SELECT bin, round(l, 4) AS \"left\", round(r, 4) AS \"right\", count(n_chars) AS frequency FROM e LEFT JOIN documents ON n_chars >= l AND (n_chars < r OR (bin = 3 AND n_chars = r)) GROUP BY ALL",
+    "h2_qty_discount": _TWO + "SELECT a.bin0, b.bin1, coalesce(n, 0) AS frequency FROM e0 a CROSS JOIN e1 b LEFT JOIN g ON g.bin0 = a.bin0 AND g.bin1 = b.bin1",
+    "h2_projection": _TWO + "SELECT a.bin0, round(a.l, 6) AS left0, round(a.r, 6) AS right0, coalesce(sum(n), 0)::BIGINT AS frequency FROM e0 a LEFT JOIN g USING (bin0) GROUP BY ALL",
+    "h3_lineitem": _THREE + f"SELECT {_K3}, n AS frequency FROM g",
+    "collection_by_flag": "WITH m AS (SELECT min(l_quantity) lo, max(l_quantity) hi FROM lineitem), e AS (SELECT i AS bin, lo+i*((hi-lo)/10) l, CASE WHEN i=9 THEN hi ELSE lo+(i+1)*((hi-lo)/10) END r FROM m, range(0,10) t(i)), n AS (SELECT DISTINCT l_returnflag AS name FROM lineitem) SELECT name, bin, round(l, 6) AS \"left\", round(r, 6) AS \"right\", count(l_quantity) AS frequency FROM n CROSS JOIN e LEFT JOIN lineitem x ON x.l_returnflag = name AND l_quantity >= l AND (l_quantity < r OR (bin = 9 AND l_quantity = r)) GROUP BY ALL",
+}
