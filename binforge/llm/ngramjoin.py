@@ -14,8 +14,9 @@ one key together with the light subset; the pigeonhole count is the same.
 Identical sets are first gathered under their smallest id. Sets under one key are then
 verified against the key's smallest id; what that leaves apart is verified pair by pair
 between different components only, so a large group of copies costs its size and
-not its square, and no link between components is missed. Verification counts the
-intersection exactly.
+not its square, and no link between components is missed. Before texts are fetched, pairs
+whose sizes or parity sketches rule out a link are left out; verification then counts
+the intersection exactly.
 
 Defined results: null, empty or wordless text has an empty set, links with nothing
 and is its own component; fewer than N words make one shingle; repeated rows of an
@@ -31,14 +32,14 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, table
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-N, PERCENT, LIGHT = 4, 85, 1
+N, PERCENT, LIGHT, SKETCH = 4, 85, 1, 1024
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
 
@@ -73,6 +74,20 @@ def shingles(text: str | None, known: _Words, n: int = N) -> np.ndarray:
     return np.unique(out)
 
 
+def sketch(s: np.ndarray) -> np.ndarray:
+    """Parity of the elements in each of SKETCH ranges, packed in 64-bit words; two sketches differ in
+    no more bits than the sets differ in elements."""
+    n = np.bincount((_mix(s * _B) % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH)
+    return np.packbits((n & 1).astype(bool)).view(np.int64)
+
+
+def may_link(na: Column, nb: Column, sa: Column, sb: Column) -> Column:
+    """False only where sizes or sketches rule out a link."""
+    bits = [F.bit_count(F.get(sa, F.lit(k)).bitwiseXOR(F.get(sb, F.lit(k)))) for k in range(SKETCH // 64)]
+    apart = sum(bits[1:], bits[0])
+    return (100 * F.least(na, nb) >= PERCENT * F.greatest(na, nb)) & ((100 + PERCENT) * apart <= (100 - PERCENT) * (na + nb))
+
+
 def most_difference(smaller: int, percent: int = PERCENT) -> int:
     return (100 - percent) * smaller // percent
 
@@ -121,8 +136,8 @@ def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for doc, text in zip(b["doc_id"], b["text"]):
             s = shingles(text if isinstance(text, str) else None, known)
             same = int(_mix(s * _C).sum(dtype=np.uint64).astype(np.int64)) if len(s) else None
-            rows.append((doc, len(s), same))
-        yield pd.DataFrame({"doc_id": [r[0] for r in rows], "n_shingles": [r[1] for r in rows], "same": pd.array([r[2] for r in rows], "Int64")})
+            rows.append((doc, len(s), same, sketch(s)))
+        yield pd.DataFrame({"doc_id": [r[0] for r in rows], "n_shingles": [r[1] for r in rows], "same": pd.array([r[2] for r in rows], "Int64"), "sketch": [r[3] for r in rows]})
 
 
 def _keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -170,9 +185,9 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
 def join(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, class_id (smallest id with the same set)."""
     d = docs.select("doc_id", "text")
-    sets = materialize(d.mapInPandas(_sets, "doc_id long, n_shingles long, same long"), "sets")
+    sets = materialize(d.mapInPandas(_sets, "doc_id long, n_shingles long, same long, sketch array<long>"), "sets")
     some = sets.where(F.col("n_shingles") > 0)
-    classes = materialize(some.groupBy("same", "n_shingles").agg(F.min("doc_id").alias("id")), "classes")
+    classes = materialize(some.groupBy("same", "n_shingles").agg(F.min("doc_id").alias("id"), F.first("sketch").alias("sketch")), "classes")
     ids = classes.select("id")
     texts = materialize(d.join(ids, F.col("doc_id") == F.col("id")).groupBy("id").agg(F.first("text").alias("text")), "texts")
     # keys that two or more classes share, and each key's hub
@@ -180,21 +195,25 @@ def join(docs: DataFrame) -> DataFrame:
     shared = texts.mapInPandas(_keyed, "key long, id long").withColumn("hub", F.min("id").over(w)).withColumn("last", F.max("id").over(w))
     shared = materialize(shared.where(F.col("hub") != F.col("last")).select("key", "id", "hub"), "shared")
     stars = shared.where(F.col("id") != F.col("hub")).select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
+    size = classes.select("id", F.col("n_shingles").alias("n"), "sketch")
+    left, right = (size.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}")) for c in "ab")
+    likely = may_link(F.col("na"), F.col("nb"), F.col("sa"), F.col("sb"))
+    stars = materialize(stars.join(left, "a").join(right, "b").where(likely).select("a", "b"), "likely")
     edges = materialize(verified(stars, texts), "stars")
     comp = components(edges)
     # what is still apart under a key, once more pair by pair, between components only
     placed = shared.select("key", "id").join(comp, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp"))
     w = Window.partitionBy("key")
-    apart = placed.withColumn("lo", F.min("comp").over(w)).withColumn("hi", F.max("comp").over(w)).where(F.col("lo") != F.col("hi")).select("key", "id", "comp")
-    apart = materialize(apart, "apart")
-    other = apart.select("key", F.col("id").alias("b"), F.col("comp").alias("cb"))
-    pairs = apart.join(other, "key").where((F.col("comp") != F.col("cb")) & (F.col("id") < F.col("b"))).select(F.col("id").alias("a"), "b").distinct()
+    apart = placed.withColumn("lo", F.min("comp").over(w)).withColumn("hi", F.max("comp").over(w)).where(F.col("lo") != F.col("hi")).select("key", F.col("id").alias("a"), "comp")
+    apart = materialize(apart.join(left, "a"), "apart")
+    other = apart.select("key", F.col("a").alias("b"), F.col("comp").alias("cb"), F.col("na").alias("nb"), F.col("sa").alias("sb"))
+    pairs = apart.join(other, "key").where((F.col("comp") != F.col("cb")) & (F.col("a") < F.col("b")) & likely).select("a", "b").distinct()
     pairs = pairs.join(stars, ["a", "b"], "left_anti")
     more = materialize(verified(pairs, texts), "more")
     if more.limit(1).count():
         comp = components(edges.union(more))
     named = classes.join(comp, "id", "left").select("same", "n_shingles", F.col("id").alias("class_id"), F.coalesce("comp", "id").alias("component_id"))
-    out = sets.join(named, ["same", "n_shingles"], "left")
+    out = sets.drop("sketch").join(named, ["same", "n_shingles"], "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("class_id", "doc_id").alias("class_id"))
 
 
