@@ -18,6 +18,7 @@ as documents of their own, after each other; an empty table makes an empty store
 from __future__ import annotations
 
 import hashlib
+import re
 import sys
 import uuid
 import zlib
@@ -34,6 +35,11 @@ from .common import materialize, shared_dir, table
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 END, WINDOW, MEAN_BITS, LEAST, MOST = 2, 8, 8, 64, 1024
+#: A space between two characters that are no white space.
+BETWEEN = re.compile(r" (?<=\S )(?=\S)")
+APART = re.compile(r"([A-Za-z]+)([.,;:!?])(?:\n([A-Za-z]+))?")
+#: Longest piece kept and most pieces kept in a task's memory; all are encoded alike.
+KEPT_PIECE, KEPT_PIECES = 48, 1_000_000
 ENCODED = "doc_id long, n_tokens long, recipe array<binary>, root binary, new array<struct<digest:binary,ids:binary>>"
 
 
@@ -78,8 +84,37 @@ def digest_of(ids: bytes) -> bytes:
     return hashlib.sha256(ids).digest()[:20]
 
 
+class _Pieces(dict):
+    """Ids, as bytes, of pieces already met, each with `space` before it. Emptied when large."""
+
+    def __init__(self, tokenizer, kind: str, space: str = " "):
+        self.tokenizer, self.kind, self.space = tokenizer, kind, space
+        self.bare = _Pieces(tokenizer, kind, "") if space else self
+
+    def __missing__(self, piece: str) -> bytes:
+        if parts := APART.fullmatch(piece):  # tokens also part between a letter, a mark and a line end
+            word, mark, line = parts.groups()
+            got = self[word] + self.bare[mark] + (self.bare["\n"] + self.bare[line] if line else b"")
+        else:
+            got = np.array(self.tokenizer.encode(self.space + piece, add_special_tokens=False).ids, self.kind).tobytes()
+        if len(piece) <= KEPT_PIECE:
+            if len(self) >= KEPT_PIECES:
+                self.clear()
+            self[piece] = got
+        return got
+
+    def ids(self, text: str) -> bytes:
+        """Ids of a whole text, as bytes."""
+        head, *rest = BETWEEN.split(text)
+        return b"".join([self.bare[head], *map(self.__getitem__, rest)])
+
+
 def encode(docs: DataFrame, path: str | None = None, wide: bool = False) -> DataFrame:
-    """ENCODED rows of docs (doc_id, text); `new` has the chunks that the task hasn't given before."""
+    """ENCODED rows of docs (doc_id, text); `new` has the chunks that the task hasn't given before.
+
+    The byte-level pre-tokenizer begins a new token at the places of BETWEEN, so the pieces
+    between them are encoded one by one, and those met before not again.
+    """
     path = path or tokenizer_path()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -90,21 +125,23 @@ def encode(docs: DataFrame, path: str | None = None, wide: bool = False) -> Data
 
         tok, given = Tokenizer.from_file(path), set()
         kind = "<u4" if wide else "<u2"
+        known, end_id = _Pieces(tok, kind), np.array([END], kind).tobytes()
         for b in batches:
             for at in range(0, len(b), 256):
                 part = b.iloc[at : at + 256]
                 rows = []
-                for doc, e in zip(part["doc_id"], tok.encode_batch_fast([t if isinstance(t, str) else "" for t in part["text"]], add_special_tokens=False)):
-                    ids = np.array([*e.ids, END], kind)
+                for doc, text in zip(part["doc_id"], part["text"]):
+                    data = known.ids(text if isinstance(text, str) else "") + end_id
+                    ids, each = np.frombuffer(data, kind), len(end_id)
                     recipe, new, last = [], [], 0
                     for end in cuts(ids):
-                        data = ids[last:end].tobytes()
-                        recipe.append(d := digest_of(data))
+                        chunk = data[last * each : end * each]
+                        recipe.append(d := digest_of(chunk))
                         if d not in given:
                             if len(given) >= 200_000:  # a bound on memory; a chunk given twice is stored once all the same
                                 given.clear()
                             given.add(d)
-                            new.append((d, data))
+                            new.append((d, chunk))
                         last = end
                     rows.append((doc, len(ids), recipe, merkle(recipe), new))
                 yield pd.DataFrame(rows, columns=["doc_id", "n_tokens", "recipe", "root", "new"])
