@@ -87,8 +87,10 @@ def equal_width(lo: float, hi: float, n: int) -> Binning:
 def fixed_width(lo: float, hi: float, width: float, align: bool = True, shift: float = 0.0, closed: bool = False) -> Binning:
     """Bins of one width that hold lo and hi, at multiples of it, or from lo where align is off."""
     first = math.floor((lo - shift) / width)
-    if not align:
-        shift = lo - first * width
+    if not align:  # bins from lo itself
+        n = max(1, math.ceil((hi - lo) / width))
+        n += not closed and lo + n * width <= hi
+        return from_edges([lo + i * width for i in range(n + 1)], closed, width)
     n = max(0, math.ceil((hi - (first * width + shift)) / width))
     if n == 0 or (not closed and (first + n) * width + shift == hi):
         n += 1
@@ -97,7 +99,21 @@ def fixed_width(lo: float, hi: float, width: float, align: bool = True, shift: f
 
 def pretty_width(raw: float) -> float:
     p = math.floor(math.log10(raw))
-    return min((s * 10.0**p for s in (0.5, 1, 2, 2.5, 5, 10)), key=lambda w: abs(math.log(w / raw)))
+    return min((s * 10.0**p for s in STEPS), key=lambda w: abs(math.log(w / raw)))
+
+
+#: Steps of seconds and minutes, of hours, of other units.
+SIXTIETHS, DAY_PARTS, STEPS = (1, 2, 5, 10, 15, 20, 30), (1, 2, 3, 4, 6, 12), (0.5, 1, 2, 2.5, 5, 10)
+#: Up to so many seconds a width is in parts of a second, seconds, minutes, hours; beyond, in days.
+TIME_LIMITS = ((0.8, None, 1), (50, SIXTIETHS, 1), (3000, SIXTIETHS, 60), (70000, DAY_PARTS, 3600))
+
+
+def pretty_time_width(raw: float) -> float:
+    """The nearest width, in seconds, that divides clock time well."""
+    for limit, steps, unit in TIME_LIMITS:
+        if raw < limit:
+            return pretty_width(raw) if steps is None else min((float(s * unit) for s in steps), key=lambda w: abs(math.log(w / raw)))
+    return pretty_width(raw / 86400) * 86400
 
 
 def exponential(lo: float, hi: float, n: int) -> Binning:

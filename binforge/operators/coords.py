@@ -23,20 +23,75 @@ def azimuth(x: Column, y: Column) -> Column:
     return F.pmod(F.atan2(y, x), F.lit(2 * math.pi))
 
 
-def polar(df: DataFrame, x: str, y: str, radial_bins=10, phi_bins: int = 16) -> DataFrame:
-    """Axis 0 is r, axis 1 is phi; size is the area of a bin."""
-    d = df.select(radius(F.col(x), F.col(y)).alias("r"), azimuth(F.col(x), F.col(y)).alias("phi"))
-    got = h(d, ["r", "phi"], [radial_bins, equal_width(0.0, 2 * math.pi, phi_bins)])
-    return got.withColumn("size", (F.col("right0") ** 2 - F.col("left0") ** 2) / 2 * (F.col("right1") - F.col("left1")))
+FULL = (0.0, 2 * math.pi)
 
 
-def spherical(df: DataFrame, x: str, y: str, z: str, radial_bins=10, theta_bins: int = 16, phi_bins: int = 16) -> DataFrame:
+def _even(bins, range_: tuple[float, float]):
+    return equal_width(*range_, bins) if isinstance(bins, int) else bins
+
+
+def inclination(x: Column, y: Column, z: Column) -> Column:
+    return F.atan2(F.hypot(x, y), z)
+
+
+# sizes of bins, from the columns leftI and rightI of the axes
+def _width(i: int) -> Column:
+    return F.col(f"right{i}") - F.col(f"left{i}")
+
+
+def _powers(i: int, p: int) -> Column:
+    return (F.col(f"right{i}") ** p - F.col(f"left{i}") ** p) / p
+
+
+def _cap(i: int) -> Column:
+    return F.cos(f"left{i}") - F.cos(f"right{i}")
+
+
+def radial(df: DataFrame, x: str, y: str, z: str | None = None, bins=10, **how) -> DataFrame:
+    d = df.select(radius(*(F.col(c) for c in (x, y, z) if c)).alias("r"), *_kept(how))
+    size = math.pi * (F.col("right0") ** 2 - F.col("left0") ** 2)
+    return h(d, ["r"], [bins], **how).withColumn("size", size)
+
+
+def azimuthal(df: DataFrame, x: str, y: str, bins=16, range_=FULL, **how) -> DataFrame:
+    d = df.select(azimuth(F.col(x), F.col(y)).alias("phi"), *_kept(how))
+    return h(d, ["phi"], [_even(bins, range_)], **how).withColumn("size", _width(0))
+
+
+def polar(df: DataFrame, x: str, y: str, radial_bins=10, phi_bins=16, phi_range=FULL, transformed: bool = False, **how) -> DataFrame:
+    """Axis 0 is r, axis 1 is phi; size is the area of a bin. transformed: x and y are r and phi already."""
+    r, phi = (F.col(x), F.col(y)) if transformed else (radius(F.col(x), F.col(y)), azimuth(F.col(x), F.col(y)))
+    got = h(df.select(r.alias("r"), phi.alias("phi"), *_kept(how)), ["r", "phi"], [radial_bins, _even(phi_bins, phi_range)], **how)
+    return got.withColumn("size", _powers(0, 2) * _width(1))
+
+
+def spherical(df: DataFrame, x: str, y: str, z: str, radial_bins=10, theta_bins=16, phi_bins=16, theta_range=(0.0, math.pi), phi_range=FULL, **how) -> DataFrame:
     a, b, c = F.col(x), F.col(y), F.col(z)
-    d = df.select(radius(a, b, c).alias("r"), F.atan2(F.hypot(a, b), c).alias("theta"), azimuth(a, b).alias("phi"))
-    return h(d, ["r", "theta", "phi"], [radial_bins, equal_width(0.0, math.pi, theta_bins), equal_width(0.0, 2 * math.pi, phi_bins)])
+    d = df.select(radius(a, b, c).alias("r"), inclination(a, b, c).alias("theta"), azimuth(a, b).alias("phi"), *_kept(how))
+    got = h(d, ["r", "theta", "phi"], [radial_bins, _even(theta_bins, theta_range), _even(phi_bins, phi_range)], **how)
+    return got.withColumn("size", _powers(0, 3) * _cap(1) * _width(2))
+
 
+def spherical_surface(df: DataFrame, x: str, y: str, z: str, theta_bins=16, phi_bins=16, theta_range=(0.0, math.pi), phi_range=FULL, sphere: float = 1.0, **how) -> DataFrame:
+    """Axis 0 is theta, axis 1 is phi; size is an area on a sphere of that radius."""
+    a, b, c = F.col(x), F.col(y), F.col(z)
+    d = df.select(inclination(a, b, c).alias("theta"), azimuth(a, b).alias("phi"), *_kept(how))
+    got = h(d, ["theta", "phi"], [_even(theta_bins, theta_range), _even(phi_bins, phi_range)], **how)
+    return got.withColumn("size", _cap(0) * _width(1) * sphere**2)
 
-def cylindrical(df: DataFrame, x: str, y: str, z: str, rho_bins=10, phi_bins: int = 16, z_bins=10) -> DataFrame:
+
+def cylindrical(df: DataFrame, x: str, y: str, z: str, rho_bins=10, phi_bins=16, z_bins=10, phi_range=FULL, **how) -> DataFrame:
     a, b = F.col(x), F.col(y)
-    d = df.select(F.hypot(a, b).alias("rho"), azimuth(a, b).alias("phi"), F.col(z).alias("z"))
-    return h(d, ["rho", "phi", "z"], [rho_bins, equal_width(0.0, 2 * math.pi, phi_bins), z_bins])
+    d = df.select(F.hypot(a, b).alias("rho"), azimuth(a, b).alias("phi"), F.col(z).alias("z"), *_kept(how))
+    got = h(d, ["rho", "phi", "z"], [rho_bins, _even(phi_bins, phi_range), z_bins], **how)
+    return got.withColumn("size", _powers(0, 2) * _width(1) * _width(2))
+
+
+def cylindrical_surface(df: DataFrame, x: str, y: str, z: str, phi_bins=16, z_bins=10, phi_range=FULL, cylinder: float = 1.0, **how) -> DataFrame:
+    """Axis 0 is phi, axis 1 is z; size is an area on a cylinder of that radius."""
+    d = df.select(azimuth(F.col(x), F.col(y)).alias("phi"), F.col(z).alias("z"), *_kept(how))
+    return h(d, ["phi", "z"], [_even(phi_bins, phi_range), z_bins], **how).withColumn("size", _width(0) * _width(1) * cylinder)
+
+
+def _kept(how: dict) -> list[str]:
+    return [how["weights"]] if how.get("weights") else []

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from binforge.operators import coords, hist
+from binforge.operators import coords, hist, shape
 from binforge.sources.io import table
 from binforge.streaming import adaptive as stream
 
@@ -34,6 +34,20 @@ def _sql(t, c, n=None, edges=None, right=True, pick="bin, round(l, 6) AS \"left\
 _GAPS = [(0, 50000), (60000, 120000), (120000, 300000)]
 _LINE = lambda c, *a, **k: _on("lineitem", lambda d: _flat(hist.h1(d, c, *a, **k)))
 
+_RADII, _HEIGHTS = [0.0, 0.05, 0.1, 0.15, 0.2, 0.3, 0.5, 1.0], [-1.0, -0.1, 0.0, 0.1, 1.0]
+
+
+def _xyz(d):
+    return d.select(*(F.get("embedding", F.lit(i)).cast("double").alias(c) for i, c in enumerate("xyz")))
+
+
+def _two_flags(d, sign):
+    """Histograms of two return flags over the same bins, put together."""
+    edges = [0, 10, 20, 30, 40, 50]
+    a, r = (hist.h1(d.where(F.col("l_returnflag") == f), "l_quantity", edges) for f in "AR")
+    return _flat(hist.add(a, r, sign), "bin", "left", "right", "frequency", "error2")
+
+
 QUERIES = {
     "h1_numpy_quantity": _LINE("l_quantity", 10),
     "h1_numpy_discount": _LINE("l_discount", 10),
@@ -51,17 +65,47 @@ QUERIES = {
     "h1_adaptive": _on("lineitem", lambda d: stream.adaptive(d, "l_extendedprice", 5000.0)),
     "h1_adaptive_merge": _on("lineitem", lambda d: stream.merge(*(stream.adaptive(d.where(F.col("l_returnflag") == f), "l_extendedprice", 5000.0) for f in "ANR"))),
     "h1_quantile": _on("documents", lambda d: hist.h1(d, "n_chars", "quantile", q=[0.0, 0.25, 0.5, 0.75, 1.0]).select("bin", F.round("left", 4).alias("left"), F.round("right", 4).alias("right"), "frequency")),
-    "h1_pretty": _on("customer", lambda d: hist.h1(d, "c_acctbal", "pretty", bin_count=10)),
-    "h1_exponential": _on("events", lambda d: hist.h1(d.where("value > 0"), "value", "exponential", bin_count=10)),
-    "h1_sturges": _on("orders", lambda d: hist.h1(d, "o_totalprice", "sturges")),
-    "h1_doane": _on("orders", lambda d: hist.h1(d, "o_totalprice", "doane")),
-    "h1_scott": _on("orders", lambda d: hist.h1(d, "o_totalprice", "scott")),
-    "h1_freedman": _on("orders", lambda d: hist.h1(d, "o_totalprice", "freedman")),
+    "h1_pretty": _on("customer", lambda d: _flat(hist.h1(d, "c_acctbal", "pretty", bin_count=10))),
+    "h1_exponential": _on("events", lambda d: _flat(hist.h1(d.where("value > 0"), "value", "exponential", bin_count=10))),
+    "h1_sturges": _on("orders", lambda d: _flat(hist.h1(d, "o_totalprice", "sturges"))),
+    "h1_doane": _on("orders", lambda d: _flat(hist.h1(d, "o_totalprice", "doane"))),
+    "h1_scott": _on("orders", lambda d: _flat(hist.h1(d, "o_totalprice", "scott"))),
+    "h1_freedman": _on("orders", lambda d: _flat(hist.h1(d, "o_totalprice", "freedman"))),
     "h2_qty_discount": _on("lineitem", lambda d: hist.h2(d, "l_quantity", "l_discount", [10, 5]).select("bin0", "bin1", "frequency")),
     "h2_projection": _on("lineitem", lambda d: _flat(hist.projection(hist.h2(d, "l_quantity", "l_discount", [10, 5]), 0), "bin0", "left0", "right0", "frequency")),
     "h3_lineitem": _on("lineitem", lambda d: hist.h(d, ["l_quantity", "l_discount", "l_tax"], [5, 4, 3]).where("frequency > 0").select("bin0", "bin1", "bin2", "frequency")),
     "collection_by_flag": _on("lineitem", lambda d: _flat(hist.collection(d, "l_returnflag", "l_quantity", 10))),
     "polar_embeddings": _on("embeddings", lambda d: coords.polar(d.select(F.get("embedding", F.lit(0)).cast("double").alias("x"), F.get("embedding", F.lit(1)).cast("double").alias("y")), "x", "y")),
+    "h1_sqrt": _on("orders", lambda d: _flat(hist.h1(d, "o_totalprice", "sqrt"))),
+    "h1_rice": _on("orders", lambda d: _flat(hist.h1(d, "o_totalprice", "rice"))),
+    "h1_pretty_time": _on("events", lambda d: _flat(hist.h1(d.select(F.unix_timestamp(F.col("ts").cast("timestamp")).alias("t")), "t", "pretty", bin_count=30, kind="time"))),
+    "h1_knuth": _on("orders", lambda d: _flat(hist.h1(d, "o_totalprice", "knuth"))),
+    "h1_slice": _on("lineitem", lambda d: _flat(shape.slice_bins(hist.h1(d, "l_quantity", 10), 2, 7))),
+    "h1_slice_dropped": _on("lineitem", lambda d: shape.dropped(hist.h1(d, "l_quantity", 10), 2, 7)),
+    "h1_mask": _on("lineitem", lambda d: _flat(shape.pick_bins(hist.h1(d, "l_quantity", 10), F.col("bin") % 3 == 0))),
+    "h1_merge_sparse": _on("orders", lambda d: _flat(shape.merge_sparse(hist.h1(d, "o_totalprice", 40), 500.0))),
+    "h1_plot_cdf": _on("lineitem", lambda d: shape.plot_data(hist.h1(d, "l_quantity", 10), density=True, cumulative=True).select("bin", F.round("value", 9).alias("value"))),
+    "h1_plot_density": _on("lineitem", lambda d: shape.plot_data(hist.h1(d, "l_quantity", 10), density=True).select("bin", *(F.round(c, 6).alias(c) for c in ("center", "width", "value", "error")))),
+    "h1_bars": _on("lineitem", lambda d: shape.bars(hist.h1(d, "l_discount", 10), 80)),
+    "h1_scaled": _on("lineitem", lambda d: hist.scale(hist.h1(d, "l_quantity", 10), 0.5).select("bin", "frequency", "error2")),
+    "h1_added": _on("lineitem", lambda d: _two_flags(d, 1)),
+    "h1_subtracted": _on("lineitem", lambda d: _two_flags(d, -1)),
+    "h2_accumulate": _on("lineitem", lambda d: shape.accumulate(hist.h2(d, "l_quantity", "l_discount", [10, 5]), 1, 2).select("bin0", "bin1", "frequency")),
+    "h2_partial_normalize": _on("lineitem", lambda d: hist.normalize(hist.h2(d, "l_quantity", "l_discount", [10, 5]), ["bin0"]).select("bin0", "bin1", F.round("frequency", 9).alias("frequency"))),
+    "h2_select": _on("lineitem", lambda d: shape.select_axis(hist.h2(d, "l_quantity", "l_discount", [10, 5]), 1, 2).select("bin0", "frequency")),
+    "h2_transpose": _on("lineitem", lambda d: shape.transpose(hist.h2(d, "l_quantity", "l_discount", [10, 5])).select("bin0", "bin1", "frequency")),
+    "h2_merge_axis": _on("lineitem", lambda d: shape.merge_axis(hist.h2(d, "l_quantity", "l_discount", [10, 5]), 0, 2, 2).select("bin0", "bin1", "frequency")),
+    "h2_adaptive": _on("lineitem", lambda d: stream.adaptive_nd(d, ["l_quantity", "l_extendedprice"], [10.0, 20000.0])),
+    "h1_adaptive_filled": _on("lineitem", lambda d: stream.fill_gaps(stream.adaptive(d, "l_extendedprice", 5000.0))),
+    "collection_total": _on("lineitem", lambda d: _flat(shape.total_of(hist.collection(d, "l_returnflag", "l_quantity", 10)))),
+    "collection_members": _on("lineitem", lambda d: shape.normalize_members(hist.collection(d, "l_returnflag", "l_quantity", 10)).select("name", "bin", F.round("frequency", 9).alias("frequency"))),
+    "collection_bins": _on("lineitem", lambda d: shape.normalize_members(hist.collection(d, "l_returnflag", "l_quantity", 10), "bin").select("name", "bin", F.round("frequency", 9).alias("frequency"))),
+    "radial_embeddings": _on("embeddings", lambda d: coords.radial(_xyz(d), "x", "y", "z", _RADII).select("bin0", "frequency")),
+    "azimuthal_embeddings": _on("embeddings", lambda d: coords.azimuthal(_xyz(d), "x", "y").select("bin0", F.round("size", 6).alias("size"), "frequency")),
+    "spherical_embeddings": _on("embeddings", lambda d: coords.spherical(_xyz(d), "x", "y", "z", _RADII, 4, 8).select("bin0", "bin1", "bin2", "frequency", F.round("size", 9).alias("size"))),
+    "spherical_surface_embeddings": _on("embeddings", lambda d: coords.spherical_surface(_xyz(d), "x", "y", "z", 4, 8).select("bin0", "bin1", "frequency", F.round("size", 9).alias("size"))),
+    "cylindrical_embeddings": _on("embeddings", lambda d: coords.cylindrical(_xyz(d), "x", "y", "z", _RADII, 8, _HEIGHTS).select("bin0", "bin1", "bin2", "frequency", F.round("size", 9).alias("size"))),
+    "cylindrical_surface_embeddings": _on("embeddings", lambda d: coords.cylindrical_surface(_xyz(d), "x", "y", "z", 8, _HEIGHTS).select("bin0", "bin1", "frequency", F.round("size", 9).alias("size"))),
 }
 
 
@@ -101,3 +145,76 @@ ORACLE_SQL = {
     "h3_lineitem": _THREE + f"SELECT {_K3}, n AS frequency FROM g",
     "collection_by_flag": "WITH m AS (SELECT min(l_quantity) lo, max(l_quantity) hi FROM lineitem), e AS (SELECT i AS bin, lo+i*((hi-lo)/10) l, CASE WHEN i=9 THEN hi ELSE lo+(i+1)*((hi-lo)/10) END r FROM m, range(0,10) t(i)), n AS (SELECT DISTINCT l_returnflag AS name FROM lineitem) SELECT name, bin, round(l, 6) AS \"left\", round(r, 6) AS \"right\", count(l_quantity) AS frequency FROM n CROSS JOIN e LEFT JOIN lineitem x ON x.l_returnflag = name AND l_quantity >= l AND (l_quantity < r OR (bin = 9 AND l_quantity = r)) GROUP BY ALL",
 }
+
+
+def _counted_sql(t, c, k, closed=True, lo=None, w=None, extra=""):
+    """Histogram SQL where the number of bins, and where given their start and width, are expressions over s."""
+    lo, w = lo or "lo", w or "(hi - lo) / k"
+    r = "CASE WHEN i = k - 1 THEN hi ELSE a + (i + 1) * w END" if closed else "a + (i + 1) * w"
+    return (
+        f"WITH s AS (SELECT min({c})::DOUBLE lo, max({c})::DOUBLE hi, count({c}) n{extra} FROM {t}), p AS (SELECT *, ({k})::BIGINT k FROM (SELECT *, {lo} a{', ' + w + ' w' if not closed else ''} FROM s)), "
+        f"{'p2 AS (SELECT *, ' + w + ' w FROM p), ' if closed else ''}e AS (SELECT a + i * w l, {r} r, i AS bin, k FROM {'p2' if closed else 'p'}, (SELECT unnest(range((SELECT k FROM p))) i)) "
+        f'SELECT bin, round(l, 6) AS "left", round(r, 6) AS "right", count({c}) AS frequency FROM e LEFT JOIN {t} ON {c} >= l AND ({c} < r{" OR (bin = k - 1 AND " + c + " = r)" if closed else ""}) GROUP BY ALL'
+    )
+
+
+_STURGES = "ceil(log2(n)) + 1"
+_NICE = "(SELECT arg_min(x, abs(ln(x / raw))) FROM (SELECT unnest([0.5, 1, 2, 2.5, 5, 10])::DOUBLE * pow(10, floor(log10(raw))) x))"
+_FROM_LO = "floor((hi - a) / w) + 1"
+_SKEW = ", (avg(pow(o_totalprice - m, 3)) / pow(stddev_pop(o_totalprice), 3)) sk"
+_AR = "WITH e AS (SELECT i AS bin, i * 10e0 l, i * 10e0 + 10 r FROM range(0, 5) t(i)) SELECT bin, l AS \"left\", r AS \"right\", count(*) FILTER (l_returnflag = 'A') {} count(*) FILTER (l_returnflag = 'R') AS frequency, count(*)::DOUBLE AS error2 FROM e JOIN lineitem ON l_returnflag IN ('A', 'R') AND l_quantity >= l AND (l_quantity < r OR (bin = 4 AND l_quantity = r)) GROUP BY ALL"
+_GRID2 = _TWO + ", f AS (SELECT a.bin0, b.bin1, coalesce(n, 0) AS frequency FROM e0 a CROSS JOIN e1 b LEFT JOIN g ON g.bin0 = a.bin0 AND g.bin1 = b.bin1) "
+_GRID2 = _GRID2.replace(" , f AS", ", f AS")
+_BY_FLAG = "WITH c AS (" + ORACLE_SQL["collection_by_flag"] + ") "
+_PI = "3.141592653589793"
+
+
+def _angles(parts, size, where=""):
+    """SQL over the embeddings' coordinates; parts: (expression, edges), equal edges last one closed."""
+    xyz = "v AS (SELECT embedding[1]::DOUBLE x, embedding[2]::DOUBLE y, embedding[3]::DOUBLE z FROM embeddings), u AS (SELECT sqrt(x*x+y*y+z*z) r, sqrt(x*x+y*y) rho, atan2(sqrt(x*x+y*y), z) theta, CASE WHEN atan2(y, x) < 0 THEN atan2(y, x) + 2*pi() ELSE atan2(y, x) END phi, z FROM v)"
+    es = ", ".join(f"e{i}(b{i}, l{i}, r{i}, z{i}) AS (VALUES " + ", ".join(f"({k}::BIGINT, {a!r}::DOUBLE, {b!r}::DOUBLE, {k == len(e) - 2})" for k, (a, b) in enumerate(zip(e, e[1:]))) + ")" for i, (_, e) in enumerate(parts))
+    on = " AND ".join(f"{c} >= l{i} AND ({c} < r{i} OR (z{i} AND {c} = r{i}))" for i, (c, _) in enumerate(parts))
+    keys = ", ".join(f"b{i} AS bin{i}" for i in range(len(parts)))
+    size = f", round({size}, 9) AS size" if size else ""
+    return f"WITH {xyz}, {es} SELECT {keys}, count(r) AS frequency{size} FROM {' CROSS JOIN '.join(f'e{i}' for i in range(len(parts)))} LEFT JOIN u ON {on} GROUP BY {', '.join(f'b{i}, l{i}, r{i}' for i in range(len(parts)))}"
+
+
+def _even(hi, n):
+    return [i * (hi / n) for i in range(n)] + [hi]
+
+
+_PHI, _THETA = ("phi", _even(6.283185307179586, 8)), ("theta", _even(3.141592653589793, 4))
+
+ORACLE_SQL |= {
+    "h1_sturges": _counted_sql("orders", "o_totalprice", _STURGES),
+    "h1_sqrt": _counted_sql("orders", "o_totalprice", "ceil(sqrt(n))"),
+    "h1_rice": _counted_sql("orders", "o_totalprice", "ceil(2 * pow(n, 1e0 / 3))"),
+    "h1_doane": _counted_sql("(SELECT *, avg(o_totalprice) OVER () m FROM orders)", "o_totalprice", "ceil(1 + log2(n) + log2(1 + abs(sk) / sqrt(6e0 * (n - 2) / ((n + 1e0) * (n + 3)))))", extra=_SKEW),
+    "h1_scott": _counted_sql("orders", "o_totalprice", _FROM_LO, False, "lo", "3.5e0 * sd * pow(n, -1e0 / 3)", ", stddev_pop(o_totalprice) sd"),
+    "h1_freedman": _counted_sql("orders", "o_totalprice", _FROM_LO, False, "lo", "2e0 * iq * pow(n, -1e0 / 3)", ", quantile_cont(o_totalprice, 0.75) - quantile_cont(o_totalprice, 0.25) iq"),
+    "h1_slice": _sql(**_QTY, pick="bin - 2 AS bin, round(l, 6) AS \"left\", round(r, 6) AS \"right\", frequency", tail=" WHERE bin BETWEEN 2 AND 6"),
+    "h1_slice_dropped": _sql(**_QTY, pick="(sum(frequency) FILTER (bin < 2))::BIGINT AS underflow, (sum(frequency) FILTER (bin > 6))::BIGINT AS overflow"),
+    "h1_mask": _sql(**_QTY, pick="bin // 3 AS bin, round(l, 6) AS \"left\", round(r, 6) AS \"right\", frequency", tail=" WHERE bin % 3 = 0"),
+    "h1_plot_cdf": _sql(**_QTY, pick="bin, round(sum(frequency) OVER (ORDER BY bin) / (sum(frequency) OVER ())::DOUBLE, 9) AS value"),
+    "h1_plot_density": _sql(**_QTY, pick="bin, round((l + r) / 2, 6) AS center, round(r - l, 6) AS width, round(frequency / (r - l), 6) AS value, round(sqrt(frequency) / (r - l), 6) AS error"),
+    "h1_bars": _sql("lineitem", "l_discount", 10, pick="bin, repeat('#', round(80 * frequency / (sum(frequency) OVER ())::DOUBLE)::INT) AS bar"),
+    "h1_scaled": _sql(**_QTY, pick="bin, frequency * 5e-1 AS frequency, frequency * 25e-2 AS error2"),
+    "h1_added": _AR.format("+"),
+    "h1_subtracted": _AR.format("-"),
+    "h2_accumulate": _GRID2 + "SELECT bin0, bin1, (sum(frequency) OVER (PARTITION BY bin0 ORDER BY bin1))::BIGINT AS frequency FROM f",
+    "h2_partial_normalize": _GRID2 + "SELECT bin0, bin1, round(frequency / (sum(frequency) OVER (PARTITION BY bin0))::DOUBLE, 9) AS frequency FROM f",
+    "h2_select": _GRID2 + "SELECT bin0, frequency FROM f WHERE bin1 = 2",
+    "h2_transpose": _GRID2 + "SELECT bin1 AS bin0, bin0 AS bin1, frequency FROM f",
+    "h2_merge_axis": _GRID2 + "SELECT bin0 // 2 AS bin0, bin1, sum(frequency)::BIGINT AS frequency FROM f GROUP BY ALL",
+    "h2_adaptive": "SELECT b0 AS bin0, b0 * 10e0 AS left0, b0 * 10e0 + 10 AS right0, b1 AS bin1, b1 * 20000e0 AS left1, b1 * 20000e0 + 20000 AS right1, count(*) AS frequency FROM (SELECT floor(l_quantity / 10e0)::BIGINT b0, floor(l_extendedprice / 20000e0)::BIGINT b1 FROM lineitem) GROUP BY b0, b1",
+    "h1_adaptive_filled": "WITH a AS (" + _ADAPT + "), b AS (SELECT unnest(range((SELECT min(bin) FROM a), (SELECT max(bin) FROM a) + 1)) AS bin) SELECT bin, bin * 5000e0 AS \"left\", bin * 5000e0 + 5000 AS \"right\", coalesce(frequency, 0) AS frequency FROM b LEFT JOIN a USING (bin)",
+    "collection_total": _BY_FLAG + 'SELECT bin, "left", "right", sum(frequency)::BIGINT AS frequency FROM c GROUP BY ALL',
+    "collection_members": _BY_FLAG + "SELECT name, bin, round(frequency / (sum(frequency) OVER (PARTITION BY name))::DOUBLE, 9) AS frequency FROM c",
+    "collection_bins": _BY_FLAG + "SELECT name, bin, round(frequency / (sum(frequency) OVER (PARTITION BY bin))::DOUBLE, 9) AS frequency FROM c",
+    "radial_embeddings": _angles([("r", _RADII)], ""),
+    "azimuthal_embeddings": _angles([("phi", _even(6.283185307179586, 16))], "r0 - l0").replace(", 9) AS size", ", 6) AS size"),
+    "spherical_embeddings": _angles([("r", _RADII), _THETA, _PHI], "(pow(r0, 3) - pow(l0, 3)) / 3 * (cos(l1) - cos(r1)) * (r2 - l2)"),
+    "spherical_surface_embeddings": _angles([_THETA, _PHI], "(cos(l0) - cos(r0)) * (r1 - l1)"),
+    "cylindrical_embeddings": _angles([("rho", _RADII), _PHI, ("z", _HEIGHTS)], "(r0 * r0 - l0 * l0) / 2 * (r1 - l1) * (r2 - l2)"),
+    "cylindrical_surface_embeddings": _angles([_PHI, ("z", _HEIGHTS)], "(r0 - l0) * (r1 - l1)"),
+}

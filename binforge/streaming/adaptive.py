@@ -19,3 +19,24 @@ def merge(*parts: DataFrame) -> DataFrame:
     for p in parts[1:]:
         both = both.unionByName(p)
     return both.groupBy("bin", "left", "right").agg(F.sum("frequency").alias("frequency"))
+
+
+def adaptive_nd(df: DataFrame, cols: list[str], widths: list[float], weights: str | None = None) -> DataFrame:
+    """binI, leftI, rightI for each axis, frequency: an N-D histogram whose axes all grow with the data."""
+    d = df
+    for c in cols:
+        d = d.where(F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")))
+    keys = [F.floor(F.col(c).cast("double") / w).cast("long").alias(f"bin{i}") for i, (c, w) in enumerate(zip(cols, widths))]
+    d = d.groupBy(*keys).agg((F.sum(F.col(weights).cast("double")) if weights else F.count("*")).alias("frequency"))
+    edges = [e for i, w in enumerate(widths) for e in (F.col(f"bin{i}"), (F.col(f"bin{i}") * w).alias(f"left{i}"), ((F.col(f"bin{i}") + 1) * w).alias(f"right{i}"))]
+    return d.select(*edges, "frequency")
+
+
+def fill_gaps(hist: DataFrame) -> DataFrame:
+    """An adaptive histogram with the empty bins between its first and last; bins are rows, so is this."""
+    step = F.min(F.col("right") - F.col("left")).alias("width")
+    ends = hist.agg(F.min("bin").alias("lo"), F.max("bin").alias("hi"), step, F.min_by(F.col("left") - F.col("bin") * (F.col("right") - F.col("left")), "bin").alias("shift"))
+    grid = ends.where(F.col("lo").isNotNull()).select(F.explode(F.sequence("lo", "hi")).alias("bin"), "width", "shift")
+    full = grid.join(hist.select("bin", "frequency"), "bin", "left")
+    left = F.col("bin") * F.col("width") + F.col("shift")
+    return full.select("bin", left.alias("left"), (left + F.col("width")).alias("right"), F.coalesce("frequency", F.lit(0)).alias("frequency"))
