@@ -1,23 +1,27 @@
 """LM scoring by cross-entropy difference.
 
-Two matched trigram models over letters, a target model (documents labelled of good
-quality) and a background model (all documents), share one vocabulary: the VOCAB - 1
-most frequent characters of the corpus, any other being one unknown token. A token's
-loss is -log2 of its interpolated probability given the two tokens before it. A
-document's score is the mean difference, target less background: lower is more like
-the target.
-
-Counts come from all documents. The vocabulary's size bounds the models at VOCAB**3
-numbers (7 MB), which is what the driver gathers and every task receives.
-
-Defined results: null and empty texts have no tokens, null losses and score;
-with no target document the target model is uniform; repeated rows each count.
+Two matched bigram models over words, a target model (documents labelled of good
+quality) and a background model (all documents), share one vocabulary: every word of
+the corpus, by 48 bits of its hash. A token's loss is -log2 of its interpolated
+probability given the word before it, with the document's own counts taken out of
+both models. A document's score is the mean difference, target less background:
+lower is more like the target.
+
+Counts come from all documents and grow with them. Documents are taken in batches of
+about BATCH words. Each batch sends its distinct words and bigrams with their counts,
+packed by slot of their hash; a slot adds up what all batches have sent, and sends each
+batch the sums of what it asked for; the batch then scores its documents. A frequent
+word is one entry a batch, so no slot is hot, and the number of slots follows the corpus.
+
+Defined results: null, empty and wordless texts have no tokens, null losses and score;
+with no target document the target model is the uniform base; repeated rows each count
+and are scored; other columns of the input are ignored.
 """
 
 from __future__ import annotations
 
 import sys
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -25,102 +29,190 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import WORD, table
+from .ngramjoin import _A, _mix, _Words
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-VOCAB = 96
-MIX = (0.7, 0.25, 0.05)  # trigram, bigram, unigram
-
-
-def _points(text: str) -> np.ndarray:
-    return np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-
-
-def _chars(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    total = np.zeros(0x110000, np.int64)
-    for b in batches:
-        for t in b["text"]:
-            if isinstance(t, str) and t:
-                c = np.bincount(_points(t))
-                total[: len(c)] += c
-    at = np.flatnonzero(total)
-    yield pd.DataFrame({"c": at, "n": total[at]})
-
-
-def vocabulary(docs: DataFrame, size: int = VOCAB) -> list[int]:
-    """The most frequent code points, by count over all documents."""
-    rows = docs.select("text").mapInPandas(_chars, "c long, n long").groupBy("c").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "c").limit(size - 1).collect()
-    return [r["c"] for r in rows]
-
-
-def _ids(text: str, to: np.ndarray) -> np.ndarray:
-    """Token ids after two start tokens; 0 is both the unknown token and the start."""
-    return np.r_[np.zeros(2, np.int64), to[_points(text)]]
-
-
-def _table(vocab: list[int]) -> np.ndarray:
-    to = np.zeros(0x110000, np.int64)
-    to[vocab] = np.arange(1, len(vocab) + 1)
-    return to
-
-
-def trigrams(docs: DataFrame, vocab: list[int]) -> DataFrame:
-    """gram, target, background: counts over all rows of docs (text, is_target)."""
-
+BATCH = 1_500_000  # words
+SLOT_CHARS, LEAST_SLOTS = 2_000_000, 512
+MIX = (0.7, 0.25, 0.05)  # bigram, unigram, uniform base
+BASE = 2.0**-24  # the uniform base's probability of a word, in both models
+#: Target ids up to this many are broadcast (8 bytes each); more are joined by a shuffle.
+BROADCAST_IDS = 2_000_000
+PACKED = "batch long, slot long, kind int, data binary, background binary, target binary"
+SCORED = "doc_id long, n_tokens long, target_loss double, background_loss double, score double"
+DOCS, WORDS, PAIRS = 0, 1, 2
+
+
+def planes(x: np.ndarray, width: int) -> bytes:
+    """The low `width` bytes of each integer, all first bytes first; compresses better than whole integers."""
+    return x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+
+
+def unplanes(data: bytes, width: int) -> np.ndarray:
+    out = np.zeros((len(data) // width, 8), np.uint8)
+    out[:, :width] = np.frombuffer(data, np.uint8).reshape(width, -1).T
+    return out.view("<u8").ravel().astype(np.int64)
+
+
+def word_hashes(text: str | None, known: _Words) -> np.ndarray:
+    w = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z only, and the six ASCII spaces
+    return np.fromiter(map(known.__getitem__, w), np.uint64, len(w)) >> np.uint64(16)
+
+
+def pairs_of(at: np.ndarray, lens: np.ndarray, n: int) -> np.ndarray:
+    """before * n + word of each token, from indices of words; before the first of a document stands 0."""
+    before = np.r_[0, at[:-1]] if len(at) else at
+    before[(np.cumsum(lens) - lens)[lens > 0]] = 0
+    return before * n + at
+
+
+def pair_hashes(pair: np.ndarray, word: np.ndarray) -> np.ndarray:
+    before, after = np.divmod(pair, len(word))
+    w = word.astype(np.uint64)
+    return _mix(w[before] * _A + _mix(w[after]))
+
+
+def slots_of(h: np.ndarray, slots: int) -> np.ndarray:
+    return (h % np.uint64(slots)).astype(np.int64)
+
+
+def _by_slot(slot: np.ndarray, slots: int) -> Iterator[tuple[int, slice]]:
+    """Slots and their stretches in an array ordered by slot."""
+    ends = np.searchsorted(slot, np.arange(slots + 1))
+    return ((s, slice(a, b)) for s, (a, b) in enumerate(zip(ends, ends[1:])) if b > a)
+
+
+def packed(docs: list[tuple[int, bool, np.ndarray]], batch: int, slots: int) -> pd.DataFrame:
+    """PACKED rows of a batch: its documents as word indices, its words and its pairs with their counts."""
+    lens = np.array([len(h) for _, _, h in docs])
+    good = np.array([g for _, g, _ in docs], bool)
+    token = np.concatenate([h for _, _, h in docs])
+    mark = np.repeat(good, lens)
+    word, at = np.unique(token, return_inverse=True)
+    # words ordered by slot, after the start mark, which is word 0 and known to all
+    slot = slots_of(_mix(word), slots)
+    order = np.argsort(slot, kind="stable")
+    place = np.empty(len(word), np.int64)
+    place[order] = np.arange(1, len(word) + 1)
+    at = place[at]
+    word, slot = np.r_[np.uint64(0), word[order]], slot[order]
+    count = lambda i, n: (np.bincount(i, minlength=n), np.bincount(i[mark], minlength=n))
+    rows = [(batch, batch % slots, DOCS, planes(at, 4), planes(lens, 4) + planes(np.array([d for d, _, _ in docs]), 8), good.tobytes())]
+    nb, nt = count(at, len(word))
+    for s, x in _by_slot(slot, slots):
+        y = slice(x.start + 1, x.stop + 1)
+        rows.append((batch, s, WORDS, planes(word[y], 6), planes(nb[y], 8), planes(nt[y], 8)))
+    pair, at = np.unique(pairs_of(at, lens, len(word)), return_inverse=True)
+    nb, nt = count(at, len(pair))
+    h = pair_hashes(pair, word)
+    slot = slots_of(h, slots)
+    order = np.argsort(slot, kind="stable")
+    h, nb, nt = h[order] >> np.uint64(16), nb[order], nt[order]
+    for s, x in _by_slot(slot[order], slots):
+        rows.append((batch, s, PAIRS, planes(h[x], 6), planes(nb[x], 8), planes(nt[x], 8)))
+    return pd.DataFrame(rows, columns=["batch", "slot", "kind", "data", "background", "target"])
+
+
+def _packer(slots: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        to, v = _table(vocab), len(vocab) + 1
-        n = np.zeros((2, v**3), np.int64)
+        known, held, size, made = _Words(), [], 0, 0
         for b in batches:
-            for t, good in zip(b["text"], b["is_target"]):
-                if isinstance(t, str) and t:
-                    i = _ids(t, to)
-                    g, m = np.unique((i[:-2] * v + i[1:-1]) * v + i[2:], return_counts=True)
-                    n[0, g] += m
-                    if good:
-                        n[1, g] += m
-        at = np.flatnonzero(n[0])
-        yield pd.DataFrame({"gram": at, "target": n[1, at], "background": n[0, at]})
-
-    return docs.select("text", "is_target").mapInPandas(run, "gram long, target long, background long").groupBy("gram").agg(F.sum("target").alias("target"), F.sum("background").alias("background"))
-
-
-def losses(count: np.ndarray) -> np.ndarray:
-    """-log2 p of each trigram's last token, from a (v, v, v) array of counts."""
-    v = count.shape[0]
-    ratio = lambda a, b: np.where(b > 0, a / np.maximum(b, 1), 1 / v)
-    bi, uni = count.sum(0), count.sum((0, 1))
-    p1 = (uni + 1) / (uni.sum() + v)
-    p2 = ratio(bi, bi.sum(1, keepdims=True))
-    p3 = ratio(count, count.sum(2, keepdims=True))
-    return -np.log2(MIX[0] * p3 + MIX[1] * p2[None] + MIX[2] * p1[None, None])
+            for doc, text, good, part in zip(b["doc_id"], b["text"], b["is_target"], b["part"]):
+                h = word_hashes(text if isinstance(text, str) else None, known)
+                held.append((doc, good, h))
+                size += len(h) + 16
+                if size >= BATCH:
+                    yield packed(held, (int(part) << 32) + made, slots)
+                    held, size, made = [], 0, made + 1
+        if held:
+            yield packed(held, (int(part) << 32) + made, slots)
+
+    return run
+
+
+def _summed(rows: pd.DataFrame) -> pd.DataFrame:
+    """A slot's rows with the sums over all batches in place of each batch's counts."""
+    out = [rows[rows["kind"] == DOCS]]
+    for kind in (WORDS, PAIRS):
+        own = rows[rows["kind"] == kind]
+        if not len(own):
+            continue
+        data = [unplanes(x, 6) for x in own["data"]]
+        ends = np.cumsum([len(x) for x in data])[:-1]
+        keys, at = np.unique(np.concatenate(data), return_inverse=True)
+        sums = {}
+        for c in ("background", "target"):
+            n = np.concatenate([unplanes(x, 8) for x in own[c]])
+            total = np.bincount(at, weights=n, minlength=len(keys)).astype(np.int64)
+            sums[c] = [planes(x, 8) for x in np.split(total[at], ends)]
+        out.append(own.assign(data=own["data"] if kind == WORDS else b"", **sums))
+    return pd.concat(out)
+
+
+def losses(c_pair: np.ndarray, c_before: np.ndarray, c_word: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """-log2 p of a word after another, from counts; n: the words that the model has seen."""
+    p1 = c_word / np.maximum(n, 1)
+    p2 = np.where(c_before > 0, c_pair / np.maximum(c_before, 1), p1)
+    return -np.log2(MIX[0] * p2 + MIX[1] * p1 + MIX[2] * BASE)
+
+
+def _scorer(slots: int, totals: dict) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["kind", "slot"])
+        head = rows[rows["kind"] == DOCS].iloc[0]
+        good = np.frombuffer(head["target"], bool)
+        lens, doc = unplanes(head["background"][: 4 * len(good)], 4), unplanes(head["background"][4 * len(good) :], 8)
+        out = pd.DataFrame({"doc_id": doc, "n_tokens": lens, "target_loss": np.nan, "background_loss": np.nan, "score": np.nan})
+        token = unplanes(head["data"], 4)
+        if len(token):
+            whole = lambda kind, c, w: np.concatenate([unplanes(x, w) for x in rows.loc[rows["kind"] == kind, c]])
+            word = np.r_[0, whole(WORDS, "data", 6)]
+            keys = pairs_of(token, lens, len(word))
+            pair, at = np.unique(keys, return_inverse=True)
+            place = np.empty(len(pair), np.int64)
+            place[np.argsort(slots_of(pair_hashes(pair, word), slots), kind="stable")] = np.arange(len(pair))
+            # a document's own counts of pairs and words, which are taken out
+            owner = np.repeat(np.arange(len(lens)), lens)
+            each, own_pair = np.unique(owner * len(pair) + at, return_counts=True)
+            owner_of, kind = np.divmod(each, len(pair))
+            before, after = np.divmod(pair[kind], len(word))
+            seen, n = np.unique(owner * len(word) + token, return_counts=True)
+            own = lambda w: np.where(w > 0, n[np.minimum(np.searchsorted(seen, owner_of * len(word) + w), len(n) - 1)], 1)
+            own_before, own_after = own(before), own(after)
+            for c, starts, n_all, takes in (("background", totals["docs"], totals["words"], np.ones(len(lens), bool)), ("target", totals["good_docs"], totals["good_words"], good)):
+                take = takes[owner_of]
+                c_word = np.r_[starts, whole(WORDS, c, 8)]
+                c_pair = whole(PAIRS, c, 8)[place]
+                n_left = n_all - take * lens[owner_of]
+                loss = losses(c_pair[kind] - take * own_pair, c_word[before] - take * own_before, c_word[after] - take * own_after, n_left)
+                total = np.bincount(owner_of, weights=loss * own_pair, minlength=len(lens))
+                out[f"{c}_loss"] = np.where(lens > 0, total / np.maximum(lens, 1), np.nan)
+            out["score"] = out["target_loss"] - out["background_loss"]
+        return out.astype(object).where(out.notna(), None)
+
+    return run
 
 
 def score(docs: DataFrame, target_ids: DataFrame) -> DataFrame:
     """doc_id, n_tokens, target_loss, background_loss, score."""
-    vocab = vocabulary(docs)
-    v = len(vocab) + 1
-    ids = target_ids.select("doc_id").distinct().withColumn("is_target", F.lit(True))
-    marked = docs.select("doc_id", "text").join(ids, "doc_id", "left").withColumn("is_target", F.coalesce("is_target", F.lit(False)))
-    got = trigrams(marked, vocab).toPandas()
-    count = np.zeros((2, v**3))
-    count[0, got["gram"]], count[1, got["gram"]] = got["target"], got["background"]
-    both = docs.sparkSession.sparkContext.broadcast(np.stack([losses(c.reshape(v, v, v)).ravel() for c in count]).astype(np.float32))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        to, loss = _table(vocab), both.value
-        for b in batches:
-            rows = []
-            for doc, t in zip(b["doc_id"], b["text"]):
-                if isinstance(t, str) and t:
-                    i = _ids(t, to)
-                    m = loss[:, (i[:-2] * v + i[1:-1]) * v + i[2:]].mean(1, dtype=np.float64)
-                    rows.append((doc, len(i) - 2, float(m[0]), float(m[1]), float(m[0] - m[1])))
-                else:
-                    rows.append((doc, 0, None, None, None))
-            yield pd.DataFrame(rows, columns=["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
-
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
+    ids = target_ids.select("doc_id").where(F.col("doc_id").isNotNull()).distinct().withColumn("is_target", F.lit(True))
+    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    marked = docs.select("doc_id", "text").join(F.broadcast(ids) if few else ids, "doc_id", "left").withColumn("is_target", F.coalesce("is_target", F.lit(False)))
+    if not few:  # a batch must come out alike if its task runs again
+        marked = marked.sortWithinPartitions("doc_id", F.xxhash64("text"))
+    n = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+    sized = marked.select(n.alias("n"), F.coalesce(F.length("text"), F.lit(0)).alias("chars"), "is_target")
+    zero = F.lit(0).cast("long")
+    totals = sized.agg(
+        F.coalesce(F.sum("n"), zero).alias("words"), F.count_if(F.col("n") > 0).alias("docs"), F.coalesce(F.sum("chars"), zero).alias("chars"),
+        F.coalesce(F.sum(F.when(F.col("is_target"), F.col("n"))), zero).alias("good_words"), F.count_if(F.col("is_target") & (F.col("n") > 0)).alias("good_docs"),
+    ).first().asDict()
+    slots = max(LEAST_SLOTS, -(-totals["chars"] // SLOT_CHARS))
+    sent = marked.withColumn("part", F.spark_partition_id()).mapInPandas(_packer(slots), PACKED)
+    back = sent.groupBy("slot").applyInPandas(_summed, PACKED)
+    return back.groupBy("batch").applyInPandas(_scorer(slots, totals), SCORED)
 
 
 def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:

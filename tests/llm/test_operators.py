@@ -134,13 +134,51 @@ def test_decontaminate(spark, odd, none):
     assert decontaminate.overlaps(none, items).count() == 0
 
 
-def test_lm_score(spark, odd, none):
+def brute_losses(docs, good):
+    """Word bigram losses by plain counting, each document's own counts taken out."""
+    toks = [(i, re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))) for i, t in docs]
+
+    def counts(pick):
+        word, pair = Counter(), Counter()
+        for i, w in pick:
+            if w:
+                word.update([None, *w])
+                pair.update(zip([None, *w], w))
+        return word, pair
+
+    out = []
+    for k, (i, w) in enumerate(toks):
+        row = []
+        for rows in (toks, [x for x in toks if x[0] in good]):
+            rows = [x for x in rows if x is not toks[k]]
+            word, pair = counts(rows)
+            n = sum(v for x, v in word.items() if x is not None)
+            loss = []
+            for a, b in zip([None, *w], w):
+                p1 = word[b] / n if n else 0.0
+                p2 = pair[a, b] / word[a] if word[a] else p1
+                loss.append(-np.log2(0.7 * p2 + 0.25 * p1 + 0.05 * 2.0**-24))
+            row.append(sum(loss) / len(loss) if loss else None)
+        out.append((i, len(w), row[1], row[0]))
+    return out
+
+
+def test_lm_score(spark, odd, none, monkeypatch):
     docs = table(spark, SF, "documents")
     good = docs.where("lang = 'en'").select("doc_id")
+    few = docs.limit(40).select("doc_id", F.substring("text", 1, 1500).alias("text")).union(odd.select("doc_id", "text")).cache()
+    want = sorted(brute_losses([tuple(r) for r in few.collect()], {r[0] for r in good.collect()}), key=repr)
+    for batch in (lmscore.BATCH, 700):
+        monkeypatch.setattr(lmscore, "BATCH", batch)
+        got = sorted((tuple(r)[:4] for r in lmscore.score(few, good).collect()), key=repr)
+        assert len(got) == len(want)
+        for g, w in zip(sorted(got, key=lambda r: r[:2]), sorted(want, key=lambda r: r[:2])):
+            assert g[:2] == w[:2] and (g[2:] == w[2:] or np.allclose(g[2:], w[2:]))
     got = lmscore.score(docs, good).join(docs.select("doc_id", "lang"), "doc_id").groupBy(F.col("lang") == "en").agg(F.avg("score").alias("s")).collect()
     s = {r[0]: r[1] for r in got}
     assert s[True] < s[False]
     assert {r["doc_id"]: r["score"] for r in lmscore.score(odd, good).collect()}[1] is None
+    assert lmscore.score(odd, none).where("target_loss is not null").count() == 5
     assert lmscore.score(none, good).count() == 0
 
 
