@@ -34,7 +34,7 @@ from .ngramjoin import _A, _mix, _Words
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-BATCH = 1_500_000  # words
+BATCH = 500_000  # words
 SLOT_CHARS, LEAST_SLOTS = 2_000_000, 512
 MIX = (0.7, 0.25, 0.05)  # bigram, unigram, uniform base
 BASE = 2.0**-24  # the uniform base's probability of a word, in both models
@@ -84,7 +84,7 @@ def _by_slot(slot: np.ndarray, slots: int) -> Iterator[tuple[int, slice]]:
     return ((s, slice(a, b)) for s, (a, b) in enumerate(zip(ends, ends[1:])) if b > a)
 
 
-def packed(docs: list[tuple[int, bool, np.ndarray]], batch: int, slots: int) -> pd.DataFrame:
+def packed(docs: list[tuple[int, bool, np.ndarray]], batch: int, slots: int) -> Iterator[pd.DataFrame]:
     """PACKED rows of a batch: its documents as word indices, its words and its pairs with their counts."""
     lens = np.array([len(h) for _, _, h in docs])
     good = np.array([g for _, g, _ in docs], bool)
@@ -112,7 +112,8 @@ def packed(docs: list[tuple[int, bool, np.ndarray]], batch: int, slots: int) ->
     h, nb, nt = h[order] >> np.uint64(16), nb[order], nt[order]
     for s, x in _by_slot(slot[order], slots):
         rows.append((batch, s, PAIRS, planes(h[x], 6), planes(nb[x], 8), planes(nt[x], 8)))
-    return pd.DataFrame(rows, columns=["batch", "slot", "kind", "data", "background", "target"])
+    for k in range(0, len(rows), 128):
+        yield pd.DataFrame(rows[k : k + 128], columns=["batch", "slot", "kind", "data", "background", "target"])
 
 
 def _packer(slots: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
@@ -124,10 +125,10 @@ def _packer(slots: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFr
                 held.append((doc, good, h))
                 size += len(h) + 16
                 if size >= BATCH:
-                    yield packed(held, (int(part) << 32) + made, slots)
+                    yield from packed(held, (int(part) << 32) + made, slots)
                     held, size, made = [], 0, made + 1
         if held:
-            yield packed(held, (int(part) << 32) + made, slots)
+            yield from packed(held, (int(part) << 32) + made, slots)
 
     return run
 
