@@ -25,6 +25,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,7 +35,7 @@ from .ngramjoin import _A, _mix, _Words
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-BATCH = 500_000  # words
+BATCH = 1_000_000  # words
 SLOT_CHARS, LEAST_SLOTS = 2_000_000, 512
 MIX = (0.7, 0.25, 0.05)  # bigram, unigram, uniform base
 BASE = 2.0**-24  # the uniform base's probability of a word, in both models
@@ -46,11 +47,12 @@ DOCS, WORDS, PAIRS = 0, 1, 2
 
 
 def planes(x: np.ndarray, width: int) -> bytes:
-    """The low `width` bytes of each integer, all first bytes first; compresses better than whole integers."""
-    return x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+    """The low `width` bytes of each integer, all first bytes first, compressed."""
+    return zstandard.compress(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes(), 1)
 
 
 def unplanes(data: bytes, width: int) -> np.ndarray:
+    data = zstandard.decompress(data)
     out = np.zeros((len(data) // width, 8), np.uint8)
     out[:, :width] = np.frombuffer(data, np.uint8).reshape(width, -1).T
     return out.view("<u8").ravel().astype(np.int64)
@@ -99,7 +101,8 @@ def packed(docs: list[tuple[int, bool, np.ndarray]], batch: int, slots: int) ->
     at = place[at]
     word, slot = np.r_[np.uint64(0), word[order]], slot[order]
     count = lambda i, n: (np.bincount(i, minlength=n), np.bincount(i[mark], minlength=n))
-    rows = [(batch, batch % slots, DOCS, planes(at, 4), planes(lens, 4) + planes(np.array([d for d, _, _ in docs]), 8), good.tobytes())]
+    spread = int(slots_of(_mix(np.array([batch], np.uint64)), slots)[0])
+    rows = [(batch, spread, DOCS, planes(at, 4), planes(np.r_[lens, [d for d, _, _ in docs]], 8), good.tobytes())]
     nb, nt = count(at, len(word))
     for s, x in _by_slot(slot, slots):
         y = slice(x.start + 1, x.stop + 1)
@@ -148,7 +151,7 @@ def _summed(rows: pd.DataFrame) -> pd.DataFrame:
             n = np.concatenate([unplanes(x, 8) for x in own[c]])
             total = np.bincount(at, weights=n, minlength=len(keys)).astype(np.int64)
             sums[c] = [planes(x, 8) for x in np.split(total[at], ends)]
-        out.append(own.assign(data=own["data"] if kind == WORDS else b"", **sums))
+        out.append(own.assign(data=own["data"] if kind == WORDS else None, **sums))
     return pd.concat(out)
 
 
@@ -164,7 +167,7 @@ def _scorer(slots: int, totals: dict) -> Callable[[pd.DataFrame], pd.DataFrame]:
         rows = rows.sort_values(["kind", "slot"])
         head = rows[rows["kind"] == DOCS].iloc[0]
         good = np.frombuffer(head["target"], bool)
-        lens, doc = unplanes(head["background"][: 4 * len(good)], 4), unplanes(head["background"][4 * len(good) :], 8)
+        lens, doc = np.split(unplanes(head["background"], 8), 2)
         out = pd.DataFrame({"doc_id": doc, "n_tokens": lens, "target_loss": np.nan, "background_loss": np.nan, "score": np.nan})
         token = unplanes(head["data"], 4)
         if len(token):
