@@ -18,6 +18,11 @@ not its square, and no link between components is missed. Before texts are fetch
 whose sizes or parity sketches rule out a link are left out; verification then counts
 the intersection exactly.
 
+So every link lies within a component. There all pairs are counted once more: members are
+dealt by size and a hash of their id into blocks, and each two blocks that can hold links
+meet once, their texts cut into shingles once a block. What leaves is a count a member
+(n_links) or the links themselves (links()), not the pairs that were looked at.
+
 Defined results: null, empty or wordless text has an empty set, links with nothing
 and is its own component; fewer than N words make one shingle; repeated rows of an
 id give a row each.
@@ -25,6 +30,7 @@ id give a row each.
 
 from __future__ import annotations
 
+import math
 import sys
 from collections.abc import Iterator
 from functools import lru_cache
@@ -40,6 +46,8 @@ from .common import materialize, table
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 N, PERCENT, LIGHT, SKETCH = 4, 85, 1, 1024
+#: Shingles of a block, about; a longer text is a block of its own or shares one.
+BLOCK = 200_000
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
 
@@ -182,12 +190,91 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         comp = new.select("id", "comp")
 
 
-def join(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, class_id (smallest id with the same set)."""
+def _meeting(classes: DataFrame, texts: DataFrame, comp: DataFrame) -> DataFrame:
+    """comp, s1, j1, s2, j2 (two blocks of a component), side, id, rows, text; sorted by the blocks.
+
+    side: 0 and 1 in the first and second block, 2 where a block meets itself.
+    """
+    # sets that link are of one size class or of neighbouring ones: a class spans a little more than 85 to 100
+    step = F.floor(F.log(F.col("n_shingles").cast("double")) / F.lit(math.log(100 / (PERCENT - 1)))).cast("int")
+    m = comp.join(classes.select("id", "n_shingles", "rows", step.alias("s")), "id")
+    cells = m.groupBy("comp", "s").agg(F.ceil(F.sum("n_shingles") / BLOCK).cast("int").alias("m"))
+    cells = cells.groupBy("comp").agg(F.map_from_entries(F.collect_list(F.struct("s", "m"))).alias("cells"))  # a few dozen sizes at most
+    m = m.join(cells, "comp").withColumn("j", F.pmod(F.xxhash64("id"), F.col("cells")[F.col("s")]).cast("int"))
+    near = lambda by: F.coalesce(F.sequence(F.lit(0), F.col("cells")[F.col("s") + by] - 1), F.array().cast("array<int>"))
+    of = lambda s1, j1, s2, j2, side: F.struct(s1.alias("s1"), j1.alias("j1"), s2.alias("s2"), j2.alias("j2"), side.alias("side"))
+    s, j = F.col("s"), F.col("j")
+    own = F.transform(near(0), lambda k: of(s, F.least(j, k), s, F.greatest(j, k), F.when(j == k, 2).when(j < k, 0).otherwise(1)))
+    up = F.transform(near(1), lambda k: of(s, j, s + 1, k, F.lit(0)))
+    down = F.transform(near(-1), lambda k: of(s - 1, k, s, j, F.lit(1)))
+    key = ["comp", "s1", "j1", "s2", "j2"]
+    m = m.join(texts, "id").select("comp", F.explode(F.concat(own, up, down)).alias("at"), "id", "rows", "text").select("comp", "at.*", "id", "rows", "text")
+    return m.repartition(*key).sortWithinPartitions(*key)
+
+
+def _meetings(batches: Iterator[pd.DataFrame]) -> Iterator[list[tuple]]:
+    """The rows of each two blocks, whole across batches."""
+    held: list[tuple] = []
+    for b in batches:
+        for row in b.itertuples(index=False, name=None):
+            if held and held[0][:5] != row[:5]:
+                yield held
+                held = []
+            held.append(row)
+    if held:
+        yield held
+
+
+def _links(rows: list[tuple], known: _Words) -> Iterator[tuple[int, list[int]]]:
+    """Places in rows: one of the first block, those of the second that it links with."""
+    first, second = ([k for k, r in enumerate(rows) if r[5] in (side, 2)] for side in (0, 1))
+    if not first or not second or len(rows) < 2:
+        return
+    sets = [shingles(r[8], known) for r in rows]
+    size = np.array([len(x) for x in sets])
+    at = np.r_[0, np.cumsum(size)]
+    values, code = np.unique(np.concatenate(sets), return_inverse=True)
+    others = np.array(second)
+    starts = np.r_[0, np.cumsum(size[others])[:-1]]
+    theirs = np.concatenate([code[at[k] : at[k + 1]] for k in second])
+    mine = np.zeros(len(values), np.int64)
+    for k in first:
+        mine[code[at[k] : at[k + 1]]] = 1
+        both = np.add.reduceat(mine[theirs], starts)
+        mine[code[at[k] : at[k + 1]]] = 0
+        link = 100 * both >= PERCENT * (size[k] + size[others] - both)
+        if rows[k][5] == 2:  # a block with itself: each pair once
+            link &= others > k
+        if link.any():
+            yield k, others[link].tolist()
+
+
+def _link_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    known = _Words()
+    for rows in _meetings(batches):
+        n = [0] * len(rows)
+        for k, found in _links(rows, known):
+            for x in found:
+                n[k] += rows[x][7]
+                n[x] += rows[k][7]
+        some = [(r[6], x) for r, x in zip(rows, n) if x]
+        if some:
+            yield pd.DataFrame(some, columns=["id", "n"])
+
+
+def _link_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    known = _Words()
+    for rows in _meetings(batches):
+        for k, found in _links(rows, known):
+            yield pd.DataFrame([(min(rows[k][6], rows[x][6]), max(rows[k][6], rows[x][6])) for x in found], columns=["a", "b"])
+
+
+def _placed(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Sets of the documents, classes of equal sets, a text of each class, components of linked classes."""
     d = docs.select("doc_id", "text")
     sets = materialize(d.mapInPandas(_sets, "doc_id long, n_shingles long, same long, sketch array<long>"), "sets")
     some = sets.where(F.col("n_shingles") > 0)
-    classes = materialize(some.groupBy("same", "n_shingles").agg(F.min("doc_id").alias("id"), F.first("sketch").alias("sketch")), "classes")
+    classes = materialize(some.groupBy("same", "n_shingles").agg(F.min("doc_id").alias("id"), F.first("sketch").alias("sketch"), F.count("*").alias("rows")), "classes")
     ids = classes.select("id")
     texts = materialize(d.join(ids, F.col("doc_id") == F.col("id")).groupBy("id").agg(F.first("text").alias("text")), "texts")
     # keys that two or more classes share, and each key's hub
@@ -212,9 +299,27 @@ def join(docs: DataFrame) -> DataFrame:
     more = materialize(verified(pairs, texts), "more")
     if more.limit(1).count():
         comp = components(edges.union(more))
-    named = classes.join(comp, "id", "left").select("same", "n_shingles", F.col("id").alias("class_id"), F.coalesce("comp", "id").alias("component_id"))
+    return sets, classes, texts, comp
+
+
+def links(docs: DataFrame) -> DataFrame:
+    """a, b: every pair of classes that link, by their class ids, a < b."""
+    _, classes, texts, comp = _placed(docs)
+    return _meeting(classes, texts, comp).mapInPandas(_link_pairs, "a long, b long")
+
+
+def join(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id, class_id (smallest id with the same set), n_links.
+
+    n_links: other rows that the document links with, those of the same set among them.
+    """
+    sets, classes, texts, comp = _placed(docs)
+    linked = _meeting(classes, texts, comp).mapInPandas(_link_counts, "id long, n long").groupBy("id").agg(F.sum("n").alias("others"))
+    named = classes.join(comp, "id", "left").join(linked, "id", "left")
+    n_links = (F.col("rows") - 1 + F.coalesce("others", F.lit(0))).alias("n_links")
+    named = named.select("same", "n_shingles", F.col("id").alias("class_id"), F.coalesce("comp", "id").alias("component_id"), n_links)
     out = sets.drop("sketch").join(named, ["same", "n_shingles"], "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("class_id", "doc_id").alias("class_id"))
+    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
