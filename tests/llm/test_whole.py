@@ -4,7 +4,7 @@ import re
 
 import numpy as np
 
-from binforge.llm import ngramjoin
+from binforge.llm import licenses, ngramjoin
 
 
 def brute_links(texts):
@@ -37,3 +37,19 @@ def test_every_link_within_a_component(spark, monkeypatch):
         pairs = [(r["a"], r["b"]) for r in ngramjoin.links(docs).collect()]
         assert len(pairs) == len(set(pairs))
         assert set(pairs) == {(a, b) for a in classes for b in want[a] & classes if a < b}
+
+
+def test_six_notices_in_one_file(spark):
+    notices = {
+        "apache-2.0": "Licensed under the Apache License, Version 2.0.",
+        "mit": "Released under the MIT License.",
+        "bsd": "Redistribution and use in source and binary forms.",
+        "gpl": "Licensed under the GNU General Public License version 3.",
+        "mpl-2.0": "Subject to the terms of the Mozilla Public License.",
+        "cc-by": "Creative Commons Attribution License.",
+    }
+    # one licence in a third of all files makes its words common
+    rows = [(k, notices["mit"] if k % 3 else "no notice") for k in range(30)] + [(99, " ".join(notices.values()) + " binary forms terms subject creative")]
+    got = {r["doc_id"]: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[99]["labels"] == ",".join(sorted(notices)) and abs(got[99]["score"] - 1) < 1e-9
+    assert got[1]["labels"] == "mit" and got[0]["labels"] == ""
