@@ -7,6 +7,11 @@ the whole text, with their square roots scaled to unit length.
 The models are fitted on at most about PER_LANG documents of each language, chosen by a hash
 of their id among rows with a lang whose crc32(doc_id) mod 5 is not 0.
 
+How like its language a text is: the cosine with the language's mean vector. The least one
+accepted is calibrated for texts of about as many letters, on pieces of the training
+documents; a text below it gets a score under 0.5, so one in a language that was never
+learned, or letter junk, can be told. A few letters prove little either way.
+
 Defined results: null text and text without a letter are ``und`` with score 0; with
 no labelled row every text is ``und``; repeated rows give a row each.
 """
@@ -28,6 +33,8 @@ from .common import fold_of, table
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 BITS, PER_LANG = 13, 600
+#: The least cosine accepted: this quantile of the training pieces' cosines, times the slack.
+LEAST, SLACK = 0.005, 0.9
 #: Languages of one family; any other language is a family of its own.
 FAMILIES = {x: f for f, xs in {"germanic": "en de nl sv da no is af", "romance": "fr es it pt ro ca", "slavic": "ru uk pl cs sk bg sr hr"}.items() for x in xs.split()}
 _LETTERS: list[np.ndarray] = []
@@ -88,9 +95,41 @@ def fit(docs: DataFrame, per_lang: int = PER_LANG) -> dict:
         for a, b in combinations(model["members"][f], 2):
             both = (lang == a) | (lang == b)
             model["pairs"][a, b] = svm(x[both], np.where(lang[both] == a, 1, -1).astype(np.float32))
+    means = {a: x[lang == a].mean(0) for a in langs}
+    model["means"] = {a: v / np.linalg.norm(v) for a, v in means.items()}
+    cosines = few.mapInPandas(_cosines(model["means"]), "lang string, size int, cosine double").groupBy("lang", "size").agg(F.percentile_approx("cosine", LEAST, 10_000).alias("least"))
+    model["least"] = {(r["lang"], r["size"]): SLACK * r["least"] for r in cosines.collect()}  # some twenty sizes a language
     return model
 
 
+def size_of(text: str) -> int:
+    """Letters of a text, as a power of two."""
+    return int(letters()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)].sum()).bit_length()
+
+
+def _pieces(text: str) -> Iterator[str]:
+    w, n = text.split(), 1
+    while n < len(w):
+        yield " ".join(w[:n])
+        yield " ".join(w[len(w) - n :])
+        n *= 2
+    yield text
+
+
+def _cosines(means: dict):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [(lang, size_of(t), float(v @ means[lang])) for lang, text in zip(b["lang"], b["text"]) if lang in means for t in _pieces(text) if (v := vector(t)) is not None]
+            yield pd.DataFrame(rows, columns=["lang", "size", "cosine"])
+
+    return run
+
+
+def _least(model: dict, lang: str, size: int) -> float:
+    """That of the size, or of the next smaller one that training had."""
+    return next((model["least"][lang, k] for k in range(size, 0, -1) if (lang, k) in model["least"]), 0.0)
+
+
 def _vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         rows = [(lang, v.astype(np.float16).tobytes()) for lang, t in zip(b["lang"], b["text"]) if (v := vector(t)) is not None]
@@ -123,7 +162,8 @@ def classify(text: str | None, model: dict) -> tuple[str, float]:
         if best in (a, b):
             p = _sure(float(v @ w + c))
             score = min(score, p if a == best else 1 - p)
-    return best, score
+    cosine, least = float(v @ model["means"][best]), _least(model, best, size_of(text))
+    return best, score if cosine >= least else min(score, 0.5 * cosine / least)
 
 
 def predict(docs: DataFrame, model: dict) -> DataFrame:

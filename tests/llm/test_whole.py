@@ -4,7 +4,9 @@ import re
 
 import numpy as np
 
+import corpus_pipeline
 from binforge.llm import licenses, ngramjoin
+from binforge.llm.common import table
 
 
 def brute_links(texts):
@@ -53,3 +55,20 @@ def test_six_notices_in_one_file(spark):
     got = {r["doc_id"]: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got[99]["labels"] == ",".join(sorted(notices)) and abs(got[99]["score"] - 1) < 1e-9
     assert got[1]["labels"] == "mit" and got[0]["labels"] == ""
+
+
+def test_unlearned_languages_are_rejected(spark):
+    docs = table(spark, "/root/testdata/sf0.001", "documents")
+    strange = [
+        "Съешь же ещё этих мягких французских булок, да выпей чаю. Широкая электрификация южных губерний даст мощный толчок.",
+        "Zażółć gęślą jaźń. Litwo, ojczyzno moja, ty jesteś jak zdrowie; ile cię trzeba cenić, ten tylko się dowie, kto cię stracił.",
+        "xq zzkv qqwx jjzk vxxq wkkz qzqz xvxv kqjx zzqx wvqk jxqz kkvq xzwq",
+    ]
+    odd = [(-1 - k, t) for k, t in enumerate(strange)]
+    clean = docs.where("lang is not null and text is not null").select("doc_id", "lang", "text").collect()
+    short = [(10**6 + k, " ".join(r["text"].split()[:n])) for k, r in enumerate(clean[:60]) for n in (1, 3, 6)]
+    rows = spark.createDataFrame(odd + short, "doc_id long, text string").selectExpr("doc_id", "text", "cast(null as string) lang", "'s' source", "cast(0 as long) n_chars")
+    got = [r["doc_id"] for r in corpus_pipeline.language(spark, docs.select("doc_id", "text", "lang", "source", "n_chars").union(rows), "").collect()]
+    ids = {r["doc_id"] for r in clean}
+    assert min(got) >= 0
+    assert sum(i in ids for i in got) >= 0.98 * len(clean) and sum(i >= 10**6 for i in got) >= 0.95 * len(short)
