@@ -14,9 +14,6 @@ from pyspark.sql import functions as F
 
 from .infer import infer, present
 
-#: An N-D grid of more bins than this is not filled in with empty ones.
-MAX_GRID = 4_000_000
-
 
 def _sums(weights: str | None) -> list[Column]:
     if weights is None:
@@ -64,9 +61,7 @@ def h(df: DataFrame, cols: Sequence[str], bins=10, *, weights: str | None = None
     got = d.where(inside).groupBy(*names).agg(*_sums(weights))
     grids = [F.broadcast(a.grid(df.sparkSession, str(i))) for i, a in enumerate(axes)]
     size = reduce(lambda p, a: p * len(a.bins), axes, 1)
-    if size > MAX_GRID:
-        return reduce(lambda p, x: p.join(x[1], f"bin{x[0]}"), enumerate(grids), got)
-    # the grid of bins, a product of axes bounded by MAX_GRID and not of rows
+    # the grid of bins, a product of the axes and not of rows, made by the executors
     rows = df.sparkSession.range(size)
     step = 1
     for i in reversed(range(len(axes))):
