@@ -7,6 +7,7 @@ also holds its right edge where ``closed``.
 
 from __future__ import annotations
 
+import bisect
 import math
 from dataclasses import dataclass, field
 
@@ -14,13 +15,22 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Up to this many bins of uneven width are a tree of comparisons in generated code; more are searched in an array.
+TREE = 256
+
+
 @dataclass(frozen=True)
 class Binning:
-    """Rising, non-overlapping bins."""
+    """Rising, non-overlapping bins.
+
+    rule: (first, width, shift) of bins whose k-th edge is (first + k) * width + shift, but for a last one that
+    `bins` may have put right. Their index and edges are computed, so no list of them stands in a plan.
+    """
 
     bins: tuple[tuple[float, float], ...]
     closed: bool = True
-    width: float | None = field(default=None, compare=False)  # of equal bins: the index can be computed
+    width: float | None = field(default=None, compare=False)  # of equal bins
+    rule: tuple[float, float, float] | None = field(default=None, compare=False)
 
     def __post_init__(self):
         if not self.bins:
@@ -28,35 +38,106 @@ class Binning:
         if any(a >= b for a, b in self.bins) or any(x[1] > y[0] for x, y in zip(self.bins, self.bins[1:])):
             raise ValueError("bins must rise and not overlap")
 
+    def __len__(self) -> int:
+        return len(self.bins)
+
+    def __getitem__(self, index) -> Binning:
+        """The bins of a slice, a list of indices or a mask; edges are no longer computed."""
+        n = len(self.bins)
+        if isinstance(index, slice):
+            if index.step not in (None, 1):
+                raise IndexError("the order of bins can't change")
+            kept = range(n)[index]
+        else:
+            index = list(index)
+            if index and isinstance(index[0], bool):
+                if len(index) != n:
+                    raise IndexError("a mask needs a value for each bin")
+                index = [k for k, on in enumerate(index) if on]
+            kept = [range(n)[k] for k in index]
+        return Binning(tuple(self.bins[k] for k in kept), self.closed)
+
     @property
     def consecutive(self) -> bool:
         return all(x[1] == y[0] for x, y in zip(self.bins, self.bins[1:]))
 
+    @property
+    def regular(self) -> bool:
+        """Whether all bins have the same width, up to rounding."""
+        w = [b - a for a, b in self.bins]
+        return self.consecutive and all(math.isclose(x, w[0], rel_tol=1e-9) for x in w)
+
     @property
     def edges(self) -> list[float]:
         if not self.consecutive:
             raise ValueError("bins with gaps have no single list of edges")
         return [self.bins[0][0], *(b for _, b in self.bins)]
 
+    @property
+    def total_width(self) -> float:
+        return sum(b - a for a, b in self.bins)
+
+    def same(self, other: Binning) -> bool:
+        """Whether the edges are equal, up to rounding."""
+        near = lambda x, y: abs(x - y) <= 1e-8 + 1e-5 * abs(y)
+        return len(self.bins) == len(other.bins) and all(near(a, c) and near(b, d) for (a, b), (c, d) in zip(self.bins, other.bins))
+
+    def as_static(self) -> Binning:
+        return Binning(self.bins, self.closed)
+
+    def as_fixed_width(self) -> Binning:
+        """As bins of one width, whose index is computed; ValueError where widths differ."""
+        if not self.regular:
+            raise ValueError("bins of differing widths can't be of one width")
+        lo, hi = self.bins[0]
+        width = self.width or hi - lo
+        exact = all(k * width + lo == a for k, (a, _) in enumerate(self.bins))
+        return Binning(self.bins, self.closed, width, self.rule or ((0.0, width, lo) if exact else None))
+
+    def find(self, x: float) -> int | None:
+        """The bin of a value: -1 below, the number of bins above, None in a gap or for NaN. The last right edge belongs to the last bin."""
+        if not isinstance(x, (int, float)):
+            raise ValueError(f"a number is needed, not {x!r}")
+        if math.isnan(x):
+            return None
+        k = bisect.bisect_right(self.bins, (x, math.inf)) - 1
+        if k < 0:
+            return -1
+        if x < self.bins[k][1]:
+            return k
+        if k == len(self.bins) - 1:
+            return k if x == self.bins[k][1] else len(self.bins)
+        return None
+
+    def edge(self, k: Column) -> Column:
+        """The k-th edge of bins with a rule."""
+        first, width, shift = self.rule
+        e = (F.lit(float(first)) + k.cast("double")) * F.lit(float(width)) + F.lit(float(shift))
+        n, last = len(self.bins), self.bins[-1][1]
+        return e if last == (first + n) * width + shift else F.when(k == n, F.lit(last)).otherwise(e)
+
     def assign(self, x: Column) -> Column:
         x = x.cast("double")
-        lefts, n = [a for a, _ in self.bins], len(self.bins)
-        if self.width and self.consecutive:
+        n, lo, last = len(self.bins), self.bins[0][0], self.bins[-1][1]
+        over = x > last if self.closed else x >= last
+        if self.rule:
             # arithmetic guess, put right by one where rounding misplaced it
-            guess = F.least(F.greatest(F.floor((x - F.lit(lefts[0])) / F.lit(self.width)), F.lit(0)), F.lit(n - 1)).cast("int")
-            edges = F.array(*map(F.lit, self.edges))
-            k = F.when(F.get(edges, guess) > x, guess - 1).when((F.get(edges, guess + 1) <= x) & (guess < n - 1), guess + 1).otherwise(guess)
+            guess = F.least(F.greatest(F.floor((x - F.lit(lo)) / F.lit(self.rule[1])), F.lit(0)), F.lit(n - 1))
+            k = guess + F.when(self.edge(guess) > x, -1).when((self.edge(guess + 1) <= x) & (guess < n - 1), 1).otherwise(0)
+            inside = k
         else:
-            k = _search(x, lefts, 0, n)
-        rights = F.array(*(F.lit(b) for _, b in self.bins))
-        last = self.bins[-1][1]
-        over = x > last if self.closed else x >= last
-        inside = F.when(x < F.get(rights, k), k)
-        out = F.when(x < lefts[0], F.lit(-1)).when(over, F.lit(n)).when(x == last, F.lit(n - 1)).otherwise(inside)
+            lefts = [a for a, _ in self.bins]
+            k = _search(x, lefts, 0, n) if n <= TREE else _bisect(x, lefts)
+            inside = k if self.consecutive else F.when(x < F.get(F.array(*(F.lit(b) for _, b in self.bins)), k), k)
+        out = F.when(x < lo, F.lit(-1)).when(over, F.lit(n)).when(x == last, F.lit(n - 1)).otherwise(inside)
         return F.when(x.isNotNull() & ~F.isnan(x), out).cast("long")
 
     def grid(self, spark: SparkSession, suffix: str = "") -> DataFrame:
-        return spark.createDataFrame([(k, float(a), float(b)) for k, (a, b) in enumerate(self.bins)], f"bin{suffix} long, left{suffix} double, right{suffix} double")
+        names = [f"{c}{suffix}" for c in ("bin", "left", "right")]
+        if self.rule:
+            k = F.col("id")
+            return spark.range(len(self.bins)).select(k.alias(names[0]), self.edge(k).alias(names[1]), self.edge(k + 1).alias(names[2]))
+        return spark.createDataFrame([(k, float(a), float(b)) for k, (a, b) in enumerate(self.bins)], f"{names[0]} long, {names[1]} double, {names[2]} double")
 
 
 def _search(x: Column, lefts: list[float], lo: int, hi: int) -> Column:
@@ -67,9 +148,22 @@ def _search(x: Column, lefts: list[float], lo: int, hi: int) -> Column:
     return F.when(x < lefts[mid], _search(x, lefts, lo, mid)).otherwise(_search(x, lefts, mid, hi))
 
 
-def from_edges(edges, closed: bool = True, width: float | None = None) -> Binning:
+def _bisect(x: Column, lefts: list[float]) -> Column:
+    """The same for many edges: halving steps over one array."""
+    edges = F.array(*map(F.lit, lefts))
+    start = F.struct(F.lit(0).alias("lo"), F.lit(len(lefts)).alias("hi"))
+
+    def step(s: Column, _: Column) -> Column:
+        mid = ((s["lo"] + s["hi"]) / 2).cast("int")
+        low = (s["hi"] - s["lo"] > 1) & (F.get(edges, mid) <= x)
+        return F.struct(F.when(low, mid).otherwise(s["lo"]).alias("lo"), F.when(low | (s["hi"] - s["lo"] <= 1), s["hi"]).otherwise(mid).alias("hi"))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(len(lefts).bit_length() + 1)), start, step, lambda s: s["lo"])
+
+
+def from_edges(edges, closed: bool = True, width: float | None = None, rule: tuple[float, float, float] | None = None) -> Binning:
     edges = [float(e) for e in edges]
-    return Binning(tuple(zip(edges, edges[1:])), closed, width)
+    return Binning(tuple(zip(edges, edges[1:])), closed, width, rule)
 
 
 def static(bins) -> Binning:
@@ -77,24 +171,39 @@ def static(bins) -> Binning:
     return Binning(tuple((float(a), float(b)) for a, b in bins)) if isinstance(bins[0], (tuple, list)) else from_edges(bins)
 
 
+#: More bins than this are refused, where a width or a count would ask for them.
+MOST_BINS = 50_000_000
+
+
+def _checked(n: int) -> int:
+    if n > MOST_BINS:
+        raise ValueError(f"{n} bins are too many: more than {MOST_BINS}")
+    return n
+
+
 def equal_width(lo: float, hi: float, n: int) -> Binning:
-    if not (math.isfinite(lo) and math.isfinite(hi)) or lo >= hi:
+    if not isinstance(n, int) or n < 1:
+        raise ValueError("a positive number of bins is needed")
+    if not (math.isfinite(lo) and math.isfinite(hi) and math.isfinite(hi - lo)) or lo >= hi:
         raise ValueError("equal bins need a finite range of more than one value")
-    step = (hi - lo) / n
-    return from_edges([lo + i * step for i in range(n)] + [hi], width=step)
+    step = (hi - lo) / _checked(n)
+    return from_edges([i * step + lo for i in range(n)] + [hi], width=step, rule=(0.0, step, lo))
 
 
 def fixed_width(lo: float, hi: float, width: float, align: bool = True, shift: float = 0.0, closed: bool = False) -> Binning:
     """Bins of one width that hold lo and hi, at multiples of it, or from lo where align is off."""
+    if width <= 0:
+        raise ValueError("a positive width is needed")
+    _checked(math.ceil((hi - lo) / width))
     first = math.floor((lo - shift) / width)
     if not align:  # bins from lo itself
         n = max(1, math.ceil((hi - lo) / width))
         n += not closed and lo + n * width <= hi
-        return from_edges([lo + i * width for i in range(n + 1)], closed, width)
+        return from_edges([i * width + lo for i in range(n + 1)], closed, width, (0.0, width, lo))
     n = max(0, math.ceil((hi - (first * width + shift)) / width))
     if n == 0 or (not closed and (first + n) * width + shift == hi):
         n += 1
-    return from_edges([(first + i) * width + shift for i in range(n + 1)], closed, width)
+    return from_edges([(first + i) * width + shift for i in range(n + 1)], closed, width, (float(first), width, shift))
 
 
 def pretty_width(raw: float) -> float:
@@ -124,6 +233,8 @@ def exponential(lo: float, hi: float, n: int) -> Binning:
 
 
 def ideal_bin_count(n: int, method: str = "default", skew: float = 0.0) -> int:
+    if n < 1:
+        return 1
     if method == "default":
         return 7 if n <= 32 else ideal_bin_count(n, "sturges")
     if method == "sqrt":
@@ -133,6 +244,8 @@ def ideal_bin_count(n: int, method: str = "default", skew: float = 0.0) -> int:
     if method == "rice":
         return math.ceil(2 * n ** (1 / 3))
     if method == "doane":
-        sigma = math.sqrt(6 * (n - 2) / ((n + 1) * (n + 3)))
+        if n < 3:
+            return 1
+        sigma = math.sqrt(6 * (n - 2) / (n + 1) * (n + 3))  # not the textbook's: results must be those that users have
         return math.ceil(1 + math.log2(n) + math.log2(1 + abs(skew) / sigma))
     raise ValueError(f"unknown method {method}")

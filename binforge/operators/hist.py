@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .infer import infer, present
+from .infer import infer, infer_all, numeric, present, quantiles, without_missing
 
 
 def _sums(weights: str | None) -> list[Column]:
@@ -27,12 +27,24 @@ def counted(df: DataFrame, col: str, binning, weights: str | None = None) -> Dat
     return present(df, col).groupBy(binning.assign(F.col(col)).alias("bin")).agg(*_sums(weights))
 
 
-def h1(df: DataFrame, col: str, bins=10, *, weights: str | None = None, **how) -> DataFrame:
+def _filled(rows: DataFrame, got: DataFrame, keys: list[str]) -> list[Column]:
+    """frequency and error2 of a grid joined with what was counted."""
+    zero = F.lit(0).cast(got.schema["frequency"].dataType)
+    return [F.coalesce("frequency", zero).alias("frequency"), F.coalesce("error2", F.lit(0.0)).alias("error2")]
+
+
+def h1(df: DataFrame, col: str, bins=10, *, weights: str | None = None, dropna: bool = True, **how) -> DataFrame:
+    """bin, left, right, frequency, error2."""
+    numeric(df, col, *([weights] if weights else []))
+    df = without_missing(df, [col], dropna)
     b = infer(df, col, bins, **how)
     got = counted(df, col, b, weights)
-    zero = F.lit(0).cast(got.schema["frequency"].dataType)
-    full = F.broadcast(b.grid(df.sparkSession)).join(got, "bin", "left")
-    return full.select("bin", "left", "right", F.coalesce("frequency", zero).alias("frequency"), F.coalesce("error2", F.lit(0.0)).alias("error2"))
+    full = b.grid(df.sparkSession).join(F.broadcast(got) if len(b) <= BROADCAST_BINS else got, "bin", "left")
+    return full.select("bin", "left", "right", *_filled(full, got, ["bin"]))
+
+
+#: What was counted is sent to all tasks up to so many bins; more are joined by a shuffle.
+BROADCAST_BINS = 100_000
 
 
 def missed(df: DataFrame, col: str, bins=10, *, weights: str | None = None, **how) -> DataFrame:
@@ -44,45 +56,102 @@ def missed(df: DataFrame, col: str, bins=10, *, weights: str | None = None, **ho
 
 
 def statistics(df: DataFrame, col: str, weights: str | None = None) -> DataFrame:
-    """sum, sum2, min, max, weight, mean, variance over the whole non-missing sample."""
+    """sum, sum2, min, max, weight, mean, variance, std over the whole non-missing sample."""
     x, w = F.col(col).cast("double"), (F.col(weights).cast("double") if weights else F.lit(1.0))
     d = present(df, col).agg(F.sum(x * w).alias("sum"), F.sum(x * x * w).alias("sum2"), F.min(x).alias("min"), F.max(x).alias("max"), F.sum(w).alias("weight"))
-    mean = F.try_divide("sum", "weight")
-    return d.withColumn("mean", mean).withColumn("variance", F.try_divide(F.col("sum2") - F.try_divide(F.col("sum") * F.col("sum"), F.col("weight")), F.col("weight")))
-
-
-def h(df: DataFrame, cols: Sequence[str], bins=10, *, weights: str | None = None, **how) -> DataFrame:
-    """N-D; a list of bins is one for each axis."""
-    per = bins if isinstance(bins, list) else [bins] * len(cols)
-    axes = [infer(df, c, b, **how) for c, b in zip(cols, per)]
-    d = reduce(present, cols, df).select(*(a.assign(F.col(c)).alias(f"bin{i}") for i, (a, c) in enumerate(zip(axes, cols))), *([weights] if weights else []))
-    names = [f"bin{i}" for i in range(len(cols))]
-    inside = reduce(lambda p, q: p & q, (F.col(n).between(0, len(a.bins) - 1) for n, a in zip(names, axes)))
-    got = d.where(inside).groupBy(*names).agg(*_sums(weights))
-    grids = [F.broadcast(a.grid(df.sparkSession, str(i))) for i, a in enumerate(axes)]
+    return moments(d)
+
+
+def moments(sums: DataFrame) -> DataFrame:
+    """mean, variance, std added to rows of sum, sum2, weight."""
+    d = sums.withColumn("mean", F.try_divide("sum", "weight"))
+    d = d.withColumn("variance", F.try_divide(F.col("sum2") - F.try_divide(F.col("sum") * F.col("sum"), F.col("weight")), F.col("weight")))
+    return d.withColumn("std", F.sqrt(F.greatest("variance", F.lit(0.0))))
+
+
+def merge_statistics(*parts: DataFrame) -> DataFrame:
+    """Statistics of samples put together, from the statistics of each."""
+    both = reduce(DataFrame.unionByName, (p.select("sum", "sum2", "min", "max", "weight") for p in parts))
+    return moments(both.agg(F.sum("sum").alias("sum"), F.sum("sum2").alias("sum2"), F.min("min").alias("min"), F.max("max").alias("max"), F.sum("weight").alias("weight")))
+
+
+def median(df: DataFrame, col: str) -> float:
+    """The exact median of the non-missing values."""
+    return quantiles(df, col, [0.5])[0]
+
+
+def per_axis(value, n: int, what: str) -> list:
+    """An option for all axes, or a list of one for each."""
+    if not isinstance(value, list):
+        return [value] * n
+    if len(value) != n:
+        raise ValueError(f"{what}: {len(value)} given for {n} axes")
+    return value
+
+
+def h(df: DataFrame, cols: Sequence[str], bins=10, *, weights: str | None = None, dropna: bool = True, **how) -> DataFrame:
+    """N-D: binI, leftI, rightI for each axis I, frequency, error2. A list of bins, or of an option, is one for each axis."""
+    axes, got, _ = counted_nd(df, cols, bins, weights=weights, dropna=dropna, **how)
+    return densified(df.sparkSession, axes, got)
+
+
+def counted_nd(df: DataFrame, cols: Sequence[str], bins=10, *, weights: str | None = None, dropna: bool = True, **how) -> tuple[list, DataFrame, DataFrame]:
+    """The axes, what they hold (bin0, bin1, ..., frequency, error2; as in `counted` also what no bin holds), the rows counted."""
+    cols = list(cols)
+    if not cols:
+        raise ValueError("at least one column is needed")
+    numeric(df, *cols, *([weights] if weights else []))
+    df = without_missing(df, cols, dropna)
+    n = len(cols)
+    options = {k: per_axis(v, n, k) for k, v in how.items()}
+    axes = infer_all(df, cols, per_axis(bins, n, "bins"), [{k: v[i] for k, v in options.items() if v[i] is not None} for i in range(n)])
+    # no filter on the indices: it would be pushed below and every index be computed twice
+    keys = [a.assign(F.col(c)).alias(f"bin{i}") for i, (a, c) in enumerate(zip(axes, cols))]
+    return axes, df.groupBy(*keys).agg(*_sums(weights)), df
+
+
+def densified(spark, axes: Sequence, got: DataFrame) -> DataFrame:
+    """All bins of the axes with what was counted in them."""
     size = reduce(lambda p, a: p * len(a.bins), axes, 1)
     # the grid of bins, a product of the axes and not of rows, made by the executors
-    rows = df.sparkSession.range(size)
-    step = 1
+    rows, step = spark.range(size), 1
     for i in reversed(range(len(axes))):
         rows = rows.withColumn(f"bin{i}", F.floor(F.col("id") / step).cast("long") % len(axes[i].bins))
         step *= len(axes[i].bins)
-    rows = reduce(lambda p, x: p.join(x[1], f"bin{x[0]}"), enumerate(grids), rows.drop("id")).join(got, names, "left")
-    zero = F.lit(0).cast(got.schema["frequency"].dataType)
-    return rows.select(*(f"{k}{i}" for i in range(len(axes)) for k in ("bin", "left", "right")), F.coalesce("frequency", zero).alias("frequency"), F.coalesce("error2", F.lit(0.0)).alias("error2"))
+    rows = rows.drop("id")
+    for i, a in enumerate(axes):
+        if a.rule:
+            rows = rows.withColumns({f"left{i}": a.edge(F.col(f"bin{i}")), f"right{i}": a.edge(F.col(f"bin{i}") + 1)})
+        else:
+            rows = rows.join(F.broadcast(a.grid(spark, str(i))), f"bin{i}")  # uneven bins are listed by the driver
+    names = [f"bin{i}" for i in range(len(axes))]
+    rows = rows.join(F.broadcast(got) if size <= BROADCAST_BINS else got, names, "left")
+    return rows.select(*(f"{k}{i}" for i in range(len(axes)) for k in ("bin", "left", "right")), *_filled(rows, got, names))
 
 
 def h2(df: DataFrame, x: str, y: str, bins=10, **how) -> DataFrame:
     return h(df, [x, y], bins, **how)
 
 
-def collection(df: DataFrame, name: str, col: str, bins=10, **how) -> DataFrame:
-    """One histogram for each value of `name`, over shared bins."""
+def h3(df: DataFrame, x: str, y: str, z: str, bins=10, **how) -> DataFrame:
+    return h(df, [x, y, z], bins, **how)
+
+
+def collection(df: DataFrame, name: str, col: str, bins=10, *, weights: str | None = None, **how) -> DataFrame:
+    """One histogram for each value of `name`, null among them, over shared bins."""
+    numeric(df, col, *([weights] if weights else []))
     b = infer(df, col, bins, **how)
-    got = present(df, col).groupBy(F.col(name).alias("name"), b.assign(F.col(col)).alias("bin")).agg(*_sums(None))
-    names = df.select(F.col(name).alias("name")).distinct()
-    full = names.select("name", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(len(b.bins) - 1).cast("long"))).alias("bin")).join(F.broadcast(b.grid(df.sparkSession)), "bin")
-    return full.join(got, ["name", "bin"], "left").select("name", "bin", "left", "right", F.coalesce("frequency", F.lit(0)).cast("long").alias("frequency"))
+    # one pass: a name without values in any bin has its row with a null bin
+    value = F.col(col).cast("double")
+    here = value.isNotNull() & ~F.isnan(value)
+    w = F.when(here, F.col(weights).cast("double") if weights else 1)
+    got = df.groupBy(F.col(name).alias("name"), F.when(here, b.assign(F.col(col))).alias("bin")).agg(F.sum(w).alias("frequency"))
+    names = got.select(F.col("name").alias("_name")).distinct()
+    full = names.select("_name", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(len(b.bins) - 1).cast("long"))).alias("_bin"))
+    full = full.join(got, F.col("_name").eqNullSafe(F.col("name")) & (F.col("_bin") == F.col("bin")), "left").select(F.col("_name").alias("name"), F.col("_bin").alias("bin"), "frequency")
+    full = full.join(F.broadcast(b.grid(df.sparkSession)), "bin")
+    kind = "double" if weights else "long"
+    return full.select("name", "bin", "left", "right", F.coalesce("frequency", F.lit(0)).cast(kind).alias("frequency"))
 
 
 # --- on histograms; bins are few, so windows here are over a small table ---------------
@@ -102,20 +171,76 @@ def density(hist: DataFrame) -> DataFrame:
     return hist.withColumn("density", F.try_divide(F.col("frequency"), F.col("right") - F.col("left")))
 
 
+def assert_no_gap(hist: DataFrame, group, axis: str = "") -> Column:
+    """A boolean aggregate of a group of bins: true, or an error where the group spans a gap."""
+    left, right = F.min(f"left{axis}"), F.max(f"right{axis}")
+    width = F.sum(F.col(f"right{axis}") - F.col(f"left{axis}"))
+    gap = F.abs(right - left - width) > 1e-8 + 1e-9 * F.abs(right)
+    return F.when(gap, F.raise_error(F.lit("bins on both sides of a gap can't be merged"))).otherwise(F.lit(True).cast("string"))
+
+
 def merge_bins(hist: DataFrame, amount: int) -> DataFrame:
-    return hist.groupBy(F.floor(F.col("bin") / amount).cast("long").alias("bin")).agg(F.min("left").alias("left"), F.max("right").alias("right"), F.sum("frequency").alias("frequency"), F.sum("error2").alias("error2"))
+    """Every `amount` adjacent bins become one; an error where a gap is between them."""
+    if not isinstance(amount, int) or amount < 1:
+        raise ValueError("a positive whole number of bins is needed")
+    got = hist.groupBy(F.floor(F.col("bin") / amount).cast("long").alias("bin")).agg(F.min("left").alias("left"), F.max("right").alias("right"), F.sum("frequency").alias("frequency"), F.sum("error2").alias("error2"), assert_no_gap(hist, "bin").alias("_whole"))
+    return got.where(F.col("_whole").isNotNull()).drop("_whole")
+
+
+def axes_of(hist: DataFrame) -> int:
+    return sum(c.startswith("bin") and c[3:].isdigit() for c in hist.columns)
 
 
 def projection(hist: DataFrame, *axes: int) -> DataFrame:
-    keys = [f"{k}{i}" for i in axes for k in ("bin", "left", "right")]
+    """The axes kept, in their own order; the others are summed over."""
+    n = axes_of(hist)
+    if not axes:
+        raise ValueError("no axis to keep")
+    if len(set(axes)) < len(axes):
+        raise ValueError("an axis is named twice")
+    if any(not isinstance(i, int) or not 0 <= i < n for i in axes):
+        raise ValueError(f"axes are 0 to {n - 1}")
+    if len(axes) >= n:
+        raise ValueError("a projection has fewer axes")
+    keys = [f"{k}{i}" for i in sorted(axes) for k in ("bin", "left", "right")]
     return hist.groupBy(*keys).agg(F.sum("frequency").alias("frequency"), F.sum("error2").alias("error2"))
 
 
 def add(a: DataFrame, b: DataFrame, sign: int = 1) -> DataFrame:
-    """a + b, or a - b where sign is -1; errors add up either way. Fixed-width bins align by their edges."""
+    """a + b, or a - b where sign is -1; errors add up either way.
+
+    Bins must be the same, or lie on one grid of equal widths and offset, along which the result grows; else ValueError.
+    """
+    _same_grid(a, b)
     both = a.unionByName(b.withColumn("frequency", F.col("frequency") * sign))
-    got = both.groupBy("left", "right").agg(F.sum("frequency").alias("frequency"), F.sum("error2").alias("error2"))
-    return got.withColumn("bin", F.row_number().over(Window.orderBy("left")).cast("long") - 1).select("bin", "left", "right", "frequency", "error2")
+    w = Window.orderBy("left")
+    # edges that differ by rounding only are one bin
+    near = F.coalesce(F.abs(F.col("left") - F.lag("left").over(w)) <= 1e-8 + 1e-5 * F.abs(F.col("right") - F.col("left")), F.lit(False))
+    both = both.withColumn("bin", F.sum(F.when(near, 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, 0)) - 1)
+    got = both.groupBy("bin").agg(F.min("left").alias("left"), F.max("right").alias("right"), F.sum("frequency").alias("frequency"), F.sum("error2").alias("error2"))
+    return got.select(F.col("bin").cast("long").alias("bin"), "left", "right", "frequency", "error2")
+
+
+def _same_grid(a: DataFrame, b: DataFrame) -> None:
+    """ValueError unless the bins are the same or multiples of one width from one offset."""
+    tolerance = 1e-8
+    width = F.col("right") - F.col("left")
+    facts = [x.agg(F.min(width).alias("w0"), F.max(width).alias("w1"), F.min("left").alias("lo"), F.max("right").alias("hi"), F.count("*").alias("n")).first() for x in (a, b)]
+    if not all(f["n"] for f in facts):
+        return
+    near = lambda x, y, by: abs(x - y) <= tolerance + 1e-5 * by
+    p, q = facts
+    w = p["w0"]
+    if near(w, p["w1"], w) and near(w, q["w0"], w) and near(w, q["w1"], w):
+        off = (q["lo"] - p["lo"]) / w
+        if abs(off - round(off)) <= 1e-6:
+            return
+    elif p["n"] == q["n"]:
+        from .shape import same_bins
+
+        if same_bins(a, b):
+            return
+    raise ValueError("the bins of the histograms are not compatible")
 
 
 def scale(hist: DataFrame, by: float) -> DataFrame:

@@ -1,47 +1,112 @@
-"""Bins inferred from data: one aggregate job for an axis, the rest on its one row."""
+"""Bins inferred from data: one aggregate job for all axes, the rest on its one row."""
 
 from __future__ import annotations
 
 import builtins
 import math
+from collections.abc import Callable, Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, NumericType
 
 from binforge.functions import binning as B
 
 COUNTS = ("default", "sqrt", "sturges", "rice", "doane")
 
 
-def present(df: DataFrame, col: str) -> DataFrame:
-    return df.where(F.col(col).isNotNull() & ~F.isnan(F.col(col).cast("double")))
+def numeric(df: DataFrame, *cols: str) -> None:
+    """ValueError unless the columns hold numbers, known from the schema alone."""
+    for c in cols:
+        kind = df.select(c).schema[0].dataType
+        if not isinstance(kind, (NumericType, BooleanType)):
+            raise ValueError(f"column {c} is of {kind.simpleString()}, not a number")
 
 
-def infer(df: DataFrame, col: str, bins=10, *, range=None, bin_count: int | None = None, bin_width: float = 1.0, q=None, qrange=(0.0, 1.0), kind: str | None = None, min_bin_width: float | None = None, max_bin_width: float | None = None, align: bool = True) -> B.Binning:
-    """The binning that `bins` names: a Binning, a count, a method's name, edges or pairs, or a function of (df, col)."""
+def present(df: DataFrame, *cols: str) -> DataFrame:
+    """Rows with a value in each column."""
+    return df.where(reduce(lambda p, q: p & q, (F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")) for c in cols)))
+
+
+def without_missing(df: DataFrame, cols: list[str], dropna: bool) -> DataFrame:
+    """Rows with all values; with dropna off, ValueError where one is missing."""
+    d = present(df, *cols)
+    if not dropna and df.where(~reduce(lambda p, q: p & q, (F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")) for c in cols))).limit(1).count():
+        raise ValueError("bins can't be found in presence of missing values")
+    return d
+
+
+#: name: function of (df, column, **options) that gives a Binning.
+REGISTRY: dict[str, Callable[..., B.Binning]] = {}
+
+
+def register_binning(name: str):
+    """Makes a function of (df, column, **options) known as bins="name"."""
+
+    def put(f):
+        REGISTRY[name] = f
+        return f
+
+    return put
+
+
+def infer(df: DataFrame, col: str, bins=10, **options) -> B.Binning:
+    """The binning that `bins` names: a Binning, a count, a method's name, edges or pairs, or a function of (df, col).
+
+    options: range, bin_count, bin_width, q, qrange, kind ("time"), min_bin_width, max_bin_width, align.
+    """
+    return infer_all(df, [col], [bins], [options])[0]
+
+
+def infer_all(df: DataFrame, cols: Sequence[str], bins: Sequence, options: Sequence[dict]) -> list[B.Binning]:
+    """A binning for each column, over rows that have all of them; what they need of the data comes from one job."""
+    numeric(df, *cols)
+    d = present(df, *cols)
+    needs, aggs = [], []
+    for k, (c, b, how) in enumerate(zip(cols, bins, options)):
+        need = _needs(F.col(c).cast("double"), b, **how)
+        needs.append(list(need))
+        aggs += [v.alias(f"{n}_{k}") for n, v in need.items()]
+    row = d.agg(*aggs).first().asDict() if aggs else {}
+    return [_finish(d, c, b, {n: row[f"{n}_{k}"] for n in names}, **how) for k, (c, b, names, how) in enumerate(zip(cols, bins, needs, options))]
+
+
+def _needs(x: Column, bins, *, range=None, **_) -> dict[str, Column]:
+    """The aggregates over the data that a binning is made of."""
+    named = isinstance(bins, str) and bins != "quantile" and bins not in REGISTRY
+    if not named and not isinstance(bins, int):
+        return {}
+    if range:
+        x = F.when(x.between(*map(float, range)), x)
+    out = {"lo": F.min(x), "hi": F.max(x), "n": F.count(x)}
+    if bins == "doane":
+        out["skew"] = F.skewness(x)
+    if bins == "scott":
+        out["sd"] = F.stddev_pop(x)
+    return out
+
+
+def _finish(d: DataFrame, col: str, bins, m: dict, *, range=None, bin_count: int | None = None, bin_width: float = 1.0, q=None, qrange=(0.0, 1.0), kind: str | None = None, min_bin_width: float | None = None, max_bin_width: float | None = None, align: bool = True, **more) -> B.Binning:
     if isinstance(bins, B.Binning):
         return bins
+    if isinstance(bins, str) and bins in REGISTRY:
+        given = dict(range=range, bin_count=bin_count, **more)
+        return REGISTRY[bins](d, col, **{k: v for k, v in given.items() if v is not None})
+    if more:
+        raise ValueError(f"unknown options {sorted(more)}")
     if callable(bins):
-        return bins(df, col)
+        return bins(d, col)
     if not isinstance(bins, (int, str)):
         return B.static(bins)
     x = F.col(col).cast("double")
-    d = present(df, col)
     if range:
         d = d.where(x.between(*map(float, range)))
     if bins == "quantile":
         if (q is None) == (bin_count is None):
             raise ValueError("quantile bins need either a count or the quantiles")
         at = q or [qrange[0] + (qrange[1] - qrange[0]) * i / bin_count for i in builtins.range(bin_count + 1)]
-        return B.from_edges(d.agg(F.percentile(x, F.array(*map(F.lit, at)))).first()[0])
-    aggs = [F.min(x).alias("lo"), F.max(x).alias("hi"), F.count("*").alias("n")]
-    if bins == "doane":
-        aggs.append(F.skewness(x).alias("skew"))
-    if bins == "scott":
-        aggs.append(F.stddev_pop(x).alias("sd"))
-    if bins == "freedman":
-        aggs.append(F.percentile(x, F.array(F.lit(0.25), F.lit(0.75))).alias("iq"))
-    m = d.agg(*aggs).first()
+        return B.from_edges(quantiles(d, col, at))
     if not m["n"] and not range:
         raise ValueError("bins can't be inferred from no values")
     lo, hi = map(float, range) if range else (m["lo"], m["hi"])
@@ -50,7 +115,7 @@ def infer(df: DataFrame, col: str, bins=10, *, range=None, bin_count: int | None
     if bins == "numpy":
         return B.equal_width(lo, hi, bin_count or 10)
     if bins in COUNTS:
-        return B.equal_width(lo, hi, B.ideal_bin_count(m["n"], bins, m["skew"] if bins == "doane" else 0.0))
+        return B.equal_width(lo, hi, B.ideal_bin_count(m["n"], bins, m["skew"] or 0.0 if bins == "doane" else 0.0))
     if bins == "fixed_width":
         return B.fixed_width(lo, hi, bin_width, align, closed=bool(range))
     if bins == "integer":
@@ -66,21 +131,100 @@ def infer(df: DataFrame, col: str, bins=10, *, range=None, bin_count: int | None
     if bins == "scott":
         return B.fixed_width(lo, hi, 3.5 * m["sd"] * m["n"] ** (-1 / 3), align=False)
     if bins == "freedman":
-        return B.fixed_width(lo, hi, 2 * (m["iq"][1] - m["iq"][0]) * m["n"] ** (-1 / 3), align=False)
+        a, b = quantiles(d, col, [0.25, 0.75])
+        return B.fixed_width(lo, hi, 2 * (b - a) * m["n"] ** (-1 / 3), align=False)
     raise ValueError(f"unknown binning {bins}")
 
 
-def knuth_count(df: DataFrame, col: str, lo: float, hi: float, n: int, most: int = 1024) -> int:
+#: Values that a bracket of a quantile may hold to be sorted at once.
+BRACKET = 100_000
+
+
+def quantiles(df: DataFrame, col: str, at: Sequence[float], bracket: int = BRACKET) -> list[float]:
+    """Exact quantiles with linear interpolation.
+
+    Each needed rank is put between two values by sketches, again and again until few values are
+    left between them; only those are brought together. Every pass is one aggregate job for all quantiles.
+    """
+    x = F.col(col).cast("double")
+    d = present(df, col).select(x.alias("x"))
+    row = d.agg(F.count("x").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).first()
+    n = row["n"]
+    if not n:
+        raise ValueError("quantiles of no values")
+    ranks = sorted({r for q in at for r in (math.floor(q * (n - 1)), math.ceil(q * (n - 1)))})
+    # for each rank: the bracket's ends, values below it, values in it
+    held = {r: (row["lo"], row["hi"], 0, n) for r in ranks}
+    value: dict[int, float] = {0: row["lo"], n - 1: row["hi"]}
+    while wide := [r for r in ranks if r not in value and held[r][3] > bracket]:
+        probes = []
+        for r in wide:
+            lo, hi, below, m = held[r]
+            f = [min(1.0, max(0.0, (r - below) / m + e)) for e in (-0.002, 0.002)]
+            probes.append(F.percentile_approx(F.when(F.col("x").between(lo, hi), F.col("x")), F.array(*map(F.lit, f)), 2000))
+        got = d.agg(*(p.alias(f"p{k}") for k, p in enumerate(probes))).first()
+        counts = [c for k in builtins.range(len(wide)) for c in (F.count_if(F.col("x") < got[k][0]), F.count_if(F.col("x") <= got[k][0]), F.count_if(F.col("x") < got[k][1]), F.count_if(F.col("x") <= got[k][1]))]
+        seen = d.agg(*(c.alias(f"c{k}") for k, c in enumerate(counts))).first()
+        for k, r in enumerate(wide):
+            (a, b), (lt_a, le_a, lt_b, le_b), (lo, hi, below, m) = got[k], seen[4 * k : 4 * k + 4], held[r]
+            if lt_a <= r < le_a:  # ties hold the rank
+                value[r] = a
+            elif lt_b <= r < le_b:
+                value[r] = b
+            elif le_a <= r < lt_b:  # strictly between
+                held[r] = (math.nextafter(a, math.inf), math.nextafter(b, -math.inf), le_a, lt_b - le_a)
+            elif r < lt_a:
+                held[r] = (lo, math.nextafter(a, -math.inf), below, lt_a - below)
+            else:
+                held[r] = (math.nextafter(b, math.inf), hi, le_b, below + m - le_b)
+    if few := [r for r in ranks if r not in value]:
+        lists = [F.get(F.array_sort(F.collect_list(F.when(F.col("x").between(*held[r][:2]), F.col("x")))), F.lit(r - held[r][2])).alias(f"v{k}") for k, r in enumerate(few)]
+        value |= dict(zip(few, d.agg(*lists).first()))
+    out = []
+    for q in at:
+        p = q * (n - 1)
+        a, b = value[math.floor(p)], value[math.ceil(p)]
+        out.append(a + (b - a) * (p - math.floor(p)))
+    return out
+
+
+def knuth_count(df: DataFrame, col: str, lo: float, hi: float, n: int) -> int:
     """The count of equal bins with the highest posterior by Knuth's rule.
 
-    Candidates rise by an eighth up to `most`; the occupied bins of all of them are counted in
-    one pass, with map-side sums, so that at most a few thousand counts reach the driver.
+    First counts that rise by an eighth are tried, as far as the posterior still rises at the upper end;
+    then every count around the best. A pass counts the occupied bins of all its candidates
+    with map-side sums; what reaches the driver is how often each frequency occurs.
     """
-    counts = [1]
-    while counts[-1] < most:
-        counts.append(min(most, max(counts[-1] + 1, counts[-1] * 9 // 8)))
+    known: dict[int, float] = {}
+    top = 1024
+    counts = _rising(1, top)
+    while True:
+        known |= _posteriors(df, col, lo, hi, n, counts)
+        best = max(known, key=lambda m: (known[m], -m))
+        if best <= top // 2 or top >= B.MOST_BINS:
+            break
+        counts, top = _rising(top + 1, top * 8), top * 8
+    while True:  # all between the tried neighbours of the best, at most 64 at once
+        tried = sorted(known)
+        k = tried.index(best)
+        low, high = tried[max(k - 1, 0)], tried[min(k + 1, len(tried) - 1)]
+        counts = [m for m in builtins.range(low + 1, high) if m not in known]
+        if not counts:
+            return best
+        known |= _posteriors(df, col, lo, hi, n, counts[:: -(-len(counts) // 64)])
+        best = max(known, key=lambda m: (known[m], -m))
+
+
+def _rising(low: int, top: int) -> list[int]:
+    out = [low]
+    while out[-1] < top:
+        out.append(min(top, max(out[-1] + 1, out[-1] * 9 // 8)))
+    return out
+
+
+def _posteriors(df: DataFrame, col: str, lo: float, hi: float, n: int, counts: list[int]) -> dict[int, float]:
     x = F.col(col).cast("double")
-    fine = df.select(x.alias("x"), F.explode(F.array(*map(F.lit, counts))).alias("m"))
+    fine = df.where(x.between(lo, hi)).select(x.alias("x"), F.explode(F.array(*map(F.lit, counts))).alias("m"))
     at = F.least(F.floor((F.col("x") - lo) / (hi - lo) * F.col("m")), F.col("m") - 1)
     held = fine.groupBy("m", at.alias("k")).count().groupBy("m", "count").agg(F.count("*").alias("times")).collect()
     logs = {m: n * math.log(m) + math.lgamma(m / 2) - m * math.lgamma(0.5) - math.lgamma(n + m / 2) for m in counts}
@@ -88,4 +232,4 @@ def knuth_count(df: DataFrame, col: str, lo: float, hi: float, n: int, most: int
     for r in held:
         logs[r["m"]] += r["times"] * math.lgamma(r["count"] + 0.5)
         empty[r["m"]] += r["times"]
-    return max(counts, key=lambda m: (logs[m] + (m - empty[m]) * math.lgamma(0.5), -m))
+    return {m: logs[m] + (m - empty[m]) * math.lgamma(0.5) for m in counts}

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .hist import assert_no_gap
+
 _SUMS = ("frequency", "error2")
 
 
@@ -14,15 +16,26 @@ def _totals(hist: DataFrame) -> list[Column]:
     return [F.sum(c).alias(c) for c in _SUMS if c in hist.columns]
 
 
-def slice_bins(hist: DataFrame, start: int = 0, stop: int | None = None) -> DataFrame:
-    """Bins start..stop-1, numbered from 0; see `dropped` for what falls outside."""
+def _bounds(hist: DataFrame, start: int | None, stop: int | None, bin: str = "bin") -> tuple[int, int | None]:
+    """start and stop from 0; negative ones are counted from the end, which takes a job."""
+    start = start or 0
+    if start < 0 or (stop is not None and stop < 0):
+        n = (hist.agg(F.max(bin)).first()[0] or 0) + 1
+        start, stop, _ = slice(start, stop).indices(n)
+    return start, stop
+
+
+def slice_bins(hist: DataFrame, start: int | None = 0, stop: int | None = None) -> DataFrame:
+    """Bins start..stop-1, numbered from 0; negative bounds count from the end; see `dropped` for what falls outside."""
+    start, stop = _bounds(hist, start, stop)
     d = hist.where(F.col("bin") >= start)
     d = d if stop is None else d.where(F.col("bin") < stop)
     return d.withColumn("bin", F.col("bin") - start)
 
 
-def dropped(hist: DataFrame, start: int = 0, stop: int | None = None) -> DataFrame:
+def dropped(hist: DataFrame, start: int | None = 0, stop: int | None = None) -> DataFrame:
     """underflow, overflow that slicing adds, in one row."""
+    start, stop = _bounds(hist, start, stop)
     below = F.col("bin") < start
     above = F.lit(False) if stop is None else F.col("bin") >= stop
     return hist.agg(*(F.coalesce(F.sum(F.when(c, F.col("frequency"))), F.lit(0)).alias(n) for c, n in ((below, "underflow"), (above, "overflow"))))
@@ -38,10 +51,14 @@ def select_axis(hist: DataFrame, axis: int, index: int | slice) -> DataFrame:
     """N-D: an index drops the axis, a slice keeps a part of it."""
     b = F.col(f"bin{axis}")
     if isinstance(index, slice):
-        start, stop = index.start or 0, index.stop
+        if index.step not in (None, 1):
+            raise IndexError("the order of bins can't change")
+        start, stop = _bounds(hist, index.start, index.stop, f"bin{axis}")
         d = hist.where(b >= start)
         d = d if stop is None else d.where(b < stop)
         return d.withColumn(f"bin{axis}", b - start)
+    if index < 0:
+        index = _bounds(hist, index, None, f"bin{axis}")[0]
     return hist.where(b == index).drop(f"bin{axis}", f"left{axis}", f"right{axis}")
 
 
@@ -61,7 +78,8 @@ def merge_axis(hist: DataFrame, axis: int, amount: int, n_axes: int) -> DataFram
     """N-D: every `amount` adjacent bins of an axis become one."""
     keys = [f"{k}{i}" for i in range(n_axes) if i != axis for k in ("bin", "left", "right")]
     merged = F.floor(F.col(f"bin{axis}") / amount).cast("long").alias(f"bin{axis}")
-    return hist.groupBy(*keys, merged).agg(F.min(f"left{axis}").alias(f"left{axis}"), F.max(f"right{axis}").alias(f"right{axis}"), *_totals(hist))
+    got = hist.groupBy(*keys, merged).agg(F.min(f"left{axis}").alias(f"left{axis}"), F.max(f"right{axis}").alias(f"right{axis}"), *_totals(hist), assert_no_gap(hist, axis, str(axis)).alias("_whole"))
+    return got.where(F.col("_whole").isNotNull()).drop("_whole")
 
 
 def merge_sparse(hist: DataFrame, least: float) -> DataFrame:
@@ -82,7 +100,8 @@ def merge_sparse(hist: DataFrame, least: float) -> DataFrame:
 
     groups = rows.select(F.inline(F.aggregate("rows", start, step)["out"]))
     got = hist.join(F.broadcast(groups), "bin").groupBy(F.col("group").alias("bin"))
-    return got.agg(F.min("left").alias("left"), F.max("right").alias("right"), *_totals(hist))
+    got = got.agg(F.min("left").alias("left"), F.max("right").alias("right"), *_totals(hist), assert_no_gap(hist, "bin").alias("_whole"))
+    return got.where(F.col("_whole").isNotNull()).drop("_whole")
 
 
 def same_bins(a: DataFrame, b: DataFrame) -> bool:

@@ -18,7 +18,10 @@ def _flat(df, *cols):
     return df.select(*(F.round(c, 6).alias(c) if c.rstrip("0123456789") in ("left", "right") else F.col(c) for c in cols or [c for c in df.columns if c != "error2"]))
 
 
-def _sql(t, c, n=None, edges=None, right=True, pick="bin, round(l, 6) AS \"left\", round(r, 6) AS \"right\", frequency", tail="", extra="", weight=None):
+_EVENT_SECONDS = F.expr("timestampdiff(SECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)")  # whatever the session's time zone
+
+
+def _sql(t, c, n=None, edges=None, right=True, pick="bin, round(l, 6) AS \"left\", round(r, 6) AS \"right\", frequency", tail="", extra="", weight=None, also=""):
     """Histogram SQL: n equal bins, or listed edges (pairs)."""
     if edges is None:
         e = f"m AS (SELECT min({c})::DOUBLE lo, max({c})::DOUBLE hi FROM {t}), e AS (SELECT i AS bin, lo + i*((hi-lo)/{n}) l, CASE WHEN i = {n}-1 THEN hi ELSE lo + (i+1)*((hi-lo)/{n}) END r FROM m, range(0, {n}) t(i))"
@@ -28,7 +31,7 @@ def _sql(t, c, n=None, edges=None, right=True, pick="bin, round(l, 6) AS \"left\
         last = len(edges) - 1
     f = f"count(x.{c})" if weight is None else f"coalesce(sum(x.{weight}), 0)"
     top = f" OR (bin = {last} AND x.{c} = r)" if right else ""
-    return f"WITH {e}, g AS (SELECT bin, l, r, {f} AS frequency FROM e LEFT JOIN {t} x ON x.{c} >= l AND (x.{c} < r{top}) GROUP BY 1, 2, 3){extra} SELECT {pick} FROM g{tail}"
+    return f"WITH {e}, g AS (SELECT bin, l, r, {f} AS frequency{also} FROM e LEFT JOIN {t} x ON x.{c} >= l AND (x.{c} < r{top}) GROUP BY 1, 2, 3){extra} SELECT {pick} FROM g{tail}"
 
 
 _GAPS = [(0, 50000), (60000, 120000), (120000, 300000)]
@@ -54,14 +57,18 @@ QUERIES = {
     "h1_numpy_price": _LINE("l_extendedprice", 100),
     "h1_static_gaps": _on("orders", lambda d: _flat(hist.h1(d, "o_totalprice", _GAPS))),
     "h1_missed": _on("orders", lambda d: hist.missed(d, "o_totalprice", _GAPS)),
-    "h1_weighted": _on("lineitem", lambda d: _flat(hist.h1(d, "l_discount", 10, weights="l_quantity")).withColumn("frequency", F.round("frequency", 3))),
+    "h1_weighted": _on("lineitem", lambda d: _flat(hist.h1(d, "l_discount", 10, weights="l_quantity"), "bin", "left", "right", "frequency", "error2")),
+    "h2_weighted": _on("lineitem", lambda d: hist.h2(d, "l_quantity", "l_discount", [10, 5], weights="l_linenumber").select("bin0", "bin1", "frequency", "error2")),
+    "h2_ranges": _on("lineitem", lambda d: _flat(hist.h2(d, "l_quantity", "l_discount", [4, 5], range=[(10.0, 30.0), None]), "bin0", "left0", "right0", "bin1", "frequency")),
+    "h1_adaptive_weighted": _on("lineitem", lambda d: stream.adaptive(d, "l_extendedprice", 5000.0, weights="l_linenumber")),
+    "h1_adaptive_fill": _on("lineitem", lambda d: stream.fill(stream.adaptive(d.where("l_returnflag = 'A'"), "l_extendedprice", 5000.0), d.where("l_returnflag <> 'A'"), "l_extendedprice")),
     "h1_cumulative": _on("lineitem", lambda d: hist.cumulative(hist.h1(d, "l_quantity", 10)).select("bin", "cumulative")),
     "h1_normalize": _on("lineitem", lambda d: hist.normalize(hist.h1(d, "l_quantity", 10)).select("bin", F.round("frequency", 9).alias("frequency"))),
     "h1_density": _on("lineitem", lambda d: hist.density(hist.h1(d, "l_quantity", 10)).select("bin", F.round("density", 4).alias("density"))),
     "h1_merge2": _on("lineitem", lambda d: _flat(hist.merge_bins(hist.h1(d, "l_quantity", 10), 2))),
     "h1_stats": _on("lineitem", lambda d: hist.statistics(d, "l_quantity").select("sum", "sum2", "min", "max", "weight", F.round("mean", 6).alias("mean"), F.round("variance", 4).alias("variance"))),
     "h1_integer": _on("part", lambda d: hist.h1(d, "p_size", "integer").select("left", "right", "frequency")),
-    "h1_fixed_width": _on("lineitem", lambda d: hist.h1(d, "l_extendedprice", "fixed_width", bin_width=5000.0).where("frequency > 0").select("left", "frequency")),
+    "h1_fixed_width": _on("lineitem", lambda d: hist.h1(d, "l_extendedprice", "fixed_width", bin_width=5000.0).select("left", "frequency")),
     "h1_adaptive": _on("lineitem", lambda d: stream.adaptive(d, "l_extendedprice", 5000.0)),
     "h1_adaptive_merge": _on("lineitem", lambda d: stream.merge(*(stream.adaptive(d.where(F.col("l_returnflag") == f), "l_extendedprice", 5000.0) for f in "ANR"))),
     "h1_quantile": _on("documents", lambda d: hist.h1(d, "n_chars", "quantile", q=[0.0, 0.25, 0.5, 0.75, 1.0]).select("bin", F.round("left", 4).alias("left"), F.round("right", 4).alias("right"), "frequency")),
@@ -73,13 +80,13 @@ QUERIES = {
     "h1_freedman": _on("orders", lambda d: _flat(hist.h1(d, "o_totalprice", "freedman"))),
     "h2_qty_discount": _on("lineitem", lambda d: hist.h2(d, "l_quantity", "l_discount", [10, 5]).select("bin0", "bin1", "frequency")),
     "h2_projection": _on("lineitem", lambda d: _flat(hist.projection(hist.h2(d, "l_quantity", "l_discount", [10, 5]), 0), "bin0", "left0", "right0", "frequency")),
-    "h3_lineitem": _on("lineitem", lambda d: hist.h(d, ["l_quantity", "l_discount", "l_tax"], [5, 4, 3]).where("frequency > 0").select("bin0", "bin1", "bin2", "frequency")),
+    "h3_lineitem": _on("lineitem", lambda d: hist.h(d, ["l_quantity", "l_discount", "l_tax"], [5, 4, 3]).select("bin0", "bin1", "bin2", "frequency")),
     "collection_by_flag": _on("lineitem", lambda d: _flat(hist.collection(d, "l_returnflag", "l_quantity", 10))),
-    "polar_embeddings": _on("embeddings", lambda d: coords.polar(d.select(F.get("embedding", F.lit(0)).cast("double").alias("x"), F.get("embedding", F.lit(1)).cast("double").alias("y")), "x", "y")),
+    "polar_embeddings": _on("embeddings", lambda d: _flat(coords.polar(_xyz(d), "x", "y").withColumn("size", F.round("size", 9)))),
     "h1_sqrt": _on("orders", lambda d: _flat(hist.h1(d, "o_totalprice", "sqrt"))),
     "h1_rice": _on("orders", lambda d: _flat(hist.h1(d, "o_totalprice", "rice"))),
-    "h1_pretty_time": _on("events", lambda d: _flat(hist.h1(d.select(F.unix_timestamp(F.col("ts").cast("timestamp")).alias("t")), "t", "pretty", bin_count=30, kind="time"))),
-    "h1_knuth": _on("orders", lambda d: _flat(hist.h1(d, "o_totalprice", "knuth"))),
+    "h1_pretty_time": _on("events", lambda d: _flat(hist.h1(d.select(_EVENT_SECONDS.alias("t")), "t", "pretty", bin_count=30, kind="time"))),
+    "h1_knuth": _on("events", lambda d: _flat(hist.h1(d, "value", "knuth"))),
     "h1_slice": _on("lineitem", lambda d: _flat(shape.slice_bins(hist.h1(d, "l_quantity", 10), 2, 7))),
     "h1_slice_dropped": _on("lineitem", lambda d: shape.dropped(hist.h1(d, "l_quantity", 10), 2, 7)),
     "h1_mask": _on("lineitem", lambda d: _flat(shape.pick_bins(hist.h1(d, "l_quantity", 10), F.col("bin") % 3 == 0))),
@@ -100,7 +107,7 @@ QUERIES = {
     "collection_total": _on("lineitem", lambda d: _flat(shape.total_of(hist.collection(d, "l_returnflag", "l_quantity", 10)))),
     "collection_members": _on("lineitem", lambda d: shape.normalize_members(hist.collection(d, "l_returnflag", "l_quantity", 10)).select("name", "bin", F.round("frequency", 9).alias("frequency"))),
     "collection_bins": _on("lineitem", lambda d: shape.normalize_members(hist.collection(d, "l_returnflag", "l_quantity", 10), "bin").select("name", "bin", F.round("frequency", 9).alias("frequency"))),
-    "radial_embeddings": _on("embeddings", lambda d: coords.radial(_xyz(d), "x", "y", "z", _RADII).select("bin0", "frequency")),
+    "radial_embeddings": _on("embeddings", lambda d: coords.radial(_xyz(d), "x", "y", "z", _RADII).select("bin0", F.round("size", 9).alias("size"), "frequency")),
     "azimuthal_embeddings": _on("embeddings", lambda d: coords.azimuthal(_xyz(d), "x", "y").select("bin0", F.round("size", 6).alias("size"), "frequency")),
     "spherical_embeddings": _on("embeddings", lambda d: coords.spherical(_xyz(d), "x", "y", "z", _RADII, 4, 8).select("bin0", "bin1", "bin2", "frequency", F.round("size", 9).alias("size"))),
     "spherical_surface_embeddings": _on("embeddings", lambda d: coords.spherical_surface(_xyz(d), "x", "y", "z", 4, 8).select("bin0", "bin1", "frequency", F.round("size", 9).alias("size"))),
@@ -119,7 +126,7 @@ def _nd(axes):
 
 
 _TWO, _ = _nd([("l_quantity", 10), ("l_discount", 5)])
-_THREE, _K3 = _nd([("l_quantity", 5), ("l_discount", 4), ("l_tax", 3)])
+_THREE, _ = _nd([("l_quantity", 5), ("l_discount", 4), ("l_tax", 3)])
 _QTY = dict(t="lineitem", c="l_quantity", n=10)
 _ADAPT = "SELECT floor(l_extendedprice/5000e0)::BIGINT AS bin, floor(l_extendedprice/5000e0)*5000e0 AS \"left\", (floor(l_extendedprice/5000e0)+1)*5000e0 AS \"right\", count(*) AS frequency FROM lineitem GROUP BY ALL"
 
@@ -129,20 +136,20 @@ ORACLE_SQL = {
     "h1_numpy_price": _sql("lineitem", "l_extendedprice", 100),
     "h1_static_gaps": _sql("orders", "o_totalprice", edges=_GAPS),
     "h1_missed": "SELECT count(*) FILTER (o_totalprice < 0) AS underflow, count(*) FILTER (o_totalprice > 300000) AS overflow, count(*) FILTER (o_totalprice >= 50000 AND o_totalprice < 60000) AS inner_missed FROM orders",
-    "h1_weighted": _sql("lineitem", "l_discount", 10, weight="l_quantity", pick="bin, round(l, 6) AS \"left\", round(r, 6) AS \"right\", round(frequency, 3) AS frequency"),
+    "h1_weighted": _sql("lineitem", "l_discount", 10, weight="l_quantity", also=", coalesce(sum(x.l_quantity * x.l_quantity), 0) AS error2", pick='bin, round(l, 6) AS "left", round(r, 6) AS "right", frequency, error2'),
     "h1_cumulative": _sql(**_QTY, pick="bin, (sum(frequency) OVER (ORDER BY bin))::BIGINT AS cumulative"),
     "h1_normalize": _sql(**_QTY, pick="bin, round(frequency / (sum(frequency) OVER ())::DOUBLE, 9) AS frequency"),
     "h1_density": _sql(**_QTY, pick="bin, round(frequency / (r - l), 4) AS density"),
     "h1_merge2": _sql(**_QTY, pick="(bin // 2)::BIGINT AS bin, round(min(l), 6) AS \"left\", round(max(r), 6) AS \"right\", sum(frequency)::BIGINT AS frequency", tail=" GROUP BY bin // 2"),
     "h1_stats": "SELECT sum(l_quantity) AS \"sum\", sum(l_quantity*l_quantity) AS sum2, min(l_quantity) AS \"min\", max(l_quantity) AS \"max\", count(l_quantity)::DOUBLE AS weight, round(sum(l_quantity)/count(*), 6) AS mean, round((sum(l_quantity*l_quantity) - sum(l_quantity)*sum(l_quantity)/count(*))/count(*), 4) AS variance FROM lineitem",
     "h1_integer": "SELECT i - 5e-1 AS \"left\", i + 5e-1 AS \"right\", count(p_size) AS frequency FROM (SELECT unnest(range((SELECT min(p_size) FROM part), (SELECT max(p_size) FROM part) + 1)) AS i) LEFT JOIN part ON p_size = i GROUP BY i",
-    "h1_fixed_width": "SELECT floor(l_extendedprice/5000e0)*5000e0 AS \"left\", count(*) AS frequency FROM lineitem GROUP BY ALL",
+    "h1_fixed_width": "WITH m AS (SELECT floor(min(l_extendedprice)/5000e0)::BIGINT a, floor(max(l_extendedprice)/5000e0)::BIGINT b FROM lineitem) SELECT i * 5000e0 AS \"left\", count(l_extendedprice) AS frequency FROM (SELECT unnest(range(a, b + 1)) i FROM m) LEFT JOIN lineitem ON floor(l_extendedprice/5000e0) = i GROUP BY i",
     "h1_adaptive": _ADAPT,
     "h1_adaptive_merge": _ADAPT,
     "h1_quantile": "WITH q AS (SELECT quantile_cont(n_chars, [0, 0.25, 0.5, 0.75, 1]) q FROM documents), e AS (SELECT i - 1 AS bin, q[i] l, q[i+1] r FROM q, range(1, 5) t(i)) SELECT bin, round(l, 4) AS \"left\", round(r, 4) AS \"right\", count(n_chars) AS frequency FROM e LEFT JOIN documents ON n_chars >= l AND (n_chars < r OR (bin = 3 AND n_chars = r)) GROUP BY ALL",
     "h2_qty_discount": _TWO + "SELECT a.bin0, b.bin1, coalesce(n, 0) AS frequency FROM e0 a CROSS JOIN e1 b LEFT JOIN g ON g.bin0 = a.bin0 AND g.bin1 = b.bin1",
     "h2_projection": _TWO + "SELECT a.bin0, round(a.l, 6) AS left0, round(a.r, 6) AS right0, coalesce(sum(n), 0)::BIGINT AS frequency FROM e0 a LEFT JOIN g USING (bin0) GROUP BY ALL",
-    "h3_lineitem": _THREE + f"SELECT {_K3}, n AS frequency FROM g",
+    "h3_lineitem": _THREE + "SELECT a.bin0, b.bin1, c.bin2, coalesce(n, 0) AS frequency FROM e0 a CROSS JOIN e1 b CROSS JOIN e2 c LEFT JOIN g ON g.bin0 = a.bin0 AND g.bin1 = b.bin1 AND g.bin2 = c.bin2",
     "collection_by_flag": "WITH m AS (SELECT min(l_quantity) lo, max(l_quantity) hi FROM lineitem), e AS (SELECT i AS bin, lo+i*((hi-lo)/10) l, CASE WHEN i=9 THEN hi ELSE lo+(i+1)*((hi-lo)/10) END r FROM m, range(0,10) t(i)), n AS (SELECT DISTINCT l_returnflag AS name FROM lineitem) SELECT name, bin, round(l, 6) AS \"left\", round(r, 6) AS \"right\", count(l_quantity) AS frequency FROM n CROSS JOIN e LEFT JOIN lineitem x ON x.l_returnflag = name AND l_quantity >= l AND (l_quantity < r OR (bin = 9 AND l_quantity = r)) GROUP BY ALL",
 }
 
@@ -159,7 +166,6 @@ def _counted_sql(t, c, k, closed=True, lo=None, w=None, extra=""):
 
 
 _STURGES = "ceil(log2(n)) + 1"
-_NICE = "(SELECT arg_min(x, abs(ln(x / raw))) FROM (SELECT unnest([0.5, 1, 2, 2.5, 5, 10])::DOUBLE * pow(10, floor(log10(raw))) x))"
 _FROM_LO = "floor((hi - a) / w) + 1"
 _SKEW = ", (avg(pow(o_totalprice - m, 3)) / pow(stddev_pop(o_totalprice), 3)) sk"
 _AR = "WITH e AS (SELECT i AS bin, i * 10e0 l, i * 10e0 + 10 r FROM range(0, 5) t(i)) SELECT bin, l AS \"left\", r AS \"right\", count(*) FILTER (l_returnflag = 'A') {} count(*) FILTER (l_returnflag = 'R') AS frequency, count(*)::DOUBLE AS error2 FROM e JOIN lineitem ON l_returnflag IN ('A', 'R') AND l_quantity >= l AND (l_quantity < r OR (bin = 4 AND l_quantity = r)) GROUP BY ALL"
@@ -189,7 +195,7 @@ ORACLE_SQL |= {
     "h1_sturges": _counted_sql("orders", "o_totalprice", _STURGES),
     "h1_sqrt": _counted_sql("orders", "o_totalprice", "ceil(sqrt(n))"),
     "h1_rice": _counted_sql("orders", "o_totalprice", "ceil(2 * pow(n, 1e0 / 3))"),
-    "h1_doane": _counted_sql("(SELECT *, avg(o_totalprice) OVER () m FROM orders)", "o_totalprice", "ceil(1 + log2(n) + log2(1 + abs(sk) / sqrt(6e0 * (n - 2) / ((n + 1e0) * (n + 3)))))", extra=_SKEW),
+    "h1_doane": _counted_sql("(SELECT *, avg(o_totalprice) OVER () m FROM orders)", "o_totalprice", "ceil(1 + log2(n) + log2(1 + abs(sk) / sqrt(6e0 * (n - 2) / (n + 1e0) * (n + 3))))", extra=_SKEW),
     "h1_scott": _counted_sql("orders", "o_totalprice", _FROM_LO, False, "lo", "3.5e0 * sd * pow(n, -1e0 / 3)", ", stddev_pop(o_totalprice) sd"),
     "h1_freedman": _counted_sql("orders", "o_totalprice", _FROM_LO, False, "lo", "2e0 * iq * pow(n, -1e0 / 3)", ", quantile_cont(o_totalprice, 0.75) - quantile_cont(o_totalprice, 0.25) iq"),
     "h1_slice": _sql(**_QTY, pick="bin - 2 AS bin, round(l, 6) AS \"left\", round(r, 6) AS \"right\", frequency", tail=" WHERE bin BETWEEN 2 AND 6"),
@@ -211,10 +217,66 @@ ORACLE_SQL |= {
     "collection_total": _BY_FLAG + 'SELECT bin, "left", "right", sum(frequency)::BIGINT AS frequency FROM c GROUP BY ALL',
     "collection_members": _BY_FLAG + "SELECT name, bin, round(frequency / (sum(frequency) OVER (PARTITION BY name))::DOUBLE, 9) AS frequency FROM c",
     "collection_bins": _BY_FLAG + "SELECT name, bin, round(frequency / (sum(frequency) OVER (PARTITION BY bin))::DOUBLE, 9) AS frequency FROM c",
-    "radial_embeddings": _angles([("r", _RADII)], ""),
+    "radial_embeddings": _angles([("r", _RADII)], "pi() * (r0 * r0 - l0 * l0)"),
     "azimuthal_embeddings": _angles([("phi", _even(6.283185307179586, 16))], "r0 - l0").replace(", 9) AS size", ", 6) AS size"),
     "spherical_embeddings": _angles([("r", _RADII), _THETA, _PHI], "(pow(r0, 3) - pow(l0, 3)) / 3 * (cos(l1) - cos(r1)) * (r2 - l2)"),
     "spherical_surface_embeddings": _angles([_THETA, _PHI], "(cos(l0) - cos(r0)) * (r1 - l1)"),
     "cylindrical_embeddings": _angles([("rho", _RADII), _PHI, ("z", _HEIGHTS)], "(r0 * r0 - l0 * l0) / 2 * (r1 - l1) * (r2 - l2)"),
     "cylindrical_surface_embeddings": _angles([_PHI, ("z", _HEIGHTS)], "(r0 - l0) * (r1 - l1)"),
 }
+
+
+# --- bins whose width is chosen from candidates ---------------------------------------------------
+def _nice_sql(t, c, n, candidates):
+    """Fixed-width bins at multiples of the candidate width x nearest to raw, the range over n. candidates: SQL rows x over r."""
+    return (
+        f"WITH s AS (SELECT min({c})::DOUBLE lo, max({c})::DOUBLE hi FROM {t}), r AS (SELECT *, (hi - lo) / {n} raw FROM s), v AS ({candidates}), "
+        "w AS (SELECT lo, hi, arg_min(x, abs(ln(x / raw))) w FROM v GROUP BY lo, hi), f AS (SELECT *, floor(lo / w) f, ceil((hi - floor(lo / w) * w) / w) n FROM w), "
+        "k AS (SELECT *, (n + CASE WHEN n = 0 OR (f + n) * w = hi THEN 1 ELSE 0 END)::BIGINT k FROM f), "
+        "e AS (SELECT i AS bin, (f + i) * w l, (f + i + 1) * w r FROM k, (SELECT unnest(range((SELECT k FROM k))) i)) "
+        f'SELECT bin, round(l, 6) AS "left", round(r, 6) AS "right", count({c}) AS frequency FROM e LEFT JOIN {t} ON {c} >= l AND {c} < r GROUP BY ALL'
+    )
+
+
+_TENS = "(VALUES (0.5e0), (1), (2), (2.5), (5), (10)) m(m)"
+_SIXTY, _DAY = "(VALUES (1e0), (2), (5), (10), (15), (20), (30)) m(m)", "(VALUES (1e0), (2), (3), (4), (6), (12)) m(m)"
+_CLOCK = " UNION ALL ".join(
+    f"SELECT r.*, {x} x FROM r, {m} WHERE {when}"
+    for x, m, when in [
+        ("m * pow(10, floor(log10(raw)))", _TENS, "raw < 0.8"), ("m", _SIXTY, "raw >= 0.8 AND raw < 50"), ("m * 60", _SIXTY, "raw >= 50 AND raw < 3000"),
+        ("m * 3600", _DAY, "raw >= 3000 AND raw < 70000"), ("m * pow(10, floor(log10(raw / 86400))) * 86400", _TENS, "raw >= 70000"),
+    ]
+)
+_SPARSE = "WITH RECURSIVE " + _sql("orders", "o_totalprice", 40)[5:].split(" SELECT bin, round")[0]
+_FOLDED = """, f(bin, own, "group", held) AS (
+  SELECT -1::BIGINT, 0::BIGINT, 0::BIGINT, 0e0
+  UNION ALL
+  SELECT g.bin, "group" + o, "group" + o + CASE WHEN h > 500 THEN 1 ELSE 0 END, CASE WHEN h > 500 THEN 0 ELSE h END
+  FROM (SELECT f.bin + 1 AS bin, "group", CASE WHEN g.frequency >= 500 AND held > 0 THEN 1 ELSE 0 END o,
+               CASE WHEN g.frequency >= 500 AND held > 0 THEN g.frequency ELSE held + g.frequency END h FROM f JOIN g ON g.bin = f.bin + 1) g)
+SELECT own AS bin, round(min(l), 6) AS "left", round(max(r), 6) AS "right", sum(frequency)::BIGINT AS frequency FROM f JOIN g USING (bin) GROUP BY own"""
+_POLAR = """WITH v AS (SELECT embedding[1]::DOUBLE x, embedding[2]::DOUBLE y FROM embeddings),
+u AS (SELECT sqrt(x*x+y*y) r, CASE WHEN atan2(y, x) < 0 THEN atan2(y, x) + 2*pi() ELSE atan2(y, x) END phi FROM v), m AS (SELECT min(r) lo, max(r) hi FROM u),
+e0 AS (SELECT i AS bin0, lo + i*((hi-lo)/10) l0, CASE WHEN i = 9 THEN hi ELSE lo + (i+1)*((hi-lo)/10) END r0 FROM m, range(0, 10) t(i)),
+e1 AS (SELECT i AS bin1, i*(2*pi()/16) l1, CASE WHEN i = 15 THEN 2*pi() ELSE (i+1)*(2*pi()/16) END r1 FROM range(0, 16) t(i))
+SELECT bin0, round(l0, 6) AS left0, round(r0, 6) AS right0, bin1, round(l1, 6) AS left1, round(r1, 6) AS right1, count(r) AS frequency, round((r0*r0 - l0*l0) / 2 * (r1 - l1), 9) AS size
+FROM e0 CROSS JOIN e1 LEFT JOIN u ON r >= l0 AND (r < r0 OR (bin0 = 9 AND r = r0)) AND phi >= l1 AND (phi < r1 OR (bin1 = 15 AND phi = r1)) GROUP BY bin0, l0, r0, bin1, l1, r1"""
+# Knuth's rule over every count of bins up to 300
+_KNUTH = """WITH s AS (SELECT min(value)::DOUBLE lo, max(value)::DOUBLE hi, count(value) n FROM events),
+c AS (SELECT m, least(floor((value - lo) / (hi - lo) * m), m - 1) k, count(*) f FROM events, s, range(1, 301) t(m) GROUP BY ALL),
+p AS (SELECT m, n, sum(lgamma(f + 0.5)) + (m - count(*)) * lgamma(0.5) + n * ln(m) + lgamma(m / 2e0) - m * lgamma(0.5) - lgamma(n + m / 2e0) p FROM c, s GROUP BY m, n),
+b AS (SELECT arg_max(m, p) m FROM p), e AS (SELECT i AS bin, lo + i*((hi-lo)/m) l, CASE WHEN i = m-1 THEN hi ELSE lo + (i+1)*((hi-lo)/m) END r, m FROM s, b, (SELECT unnest(range((SELECT m FROM b))) i))
+SELECT bin, round(l, 6) AS "left", round(r, 6) AS "right", count(value) AS frequency FROM e LEFT JOIN events ON value >= l AND (value < r OR (bin = m - 1 AND value = r)) GROUP BY ALL"""
+
+ORACLE_SQL |= {
+    "h1_pretty": _nice_sql("customer", "c_acctbal", 10, f"SELECT r.*, m * pow(10, floor(log10(raw))) x FROM r, {_TENS}"),
+    "h1_pretty_time": _nice_sql("(SELECT floor(epoch(ts))::BIGINT t FROM events)", "t", 30, _CLOCK),
+    "h1_exponential": "WITH s AS (SELECT min(value) lo, max(value) hi FROM events WHERE value > 0), p AS (SELECT *, log10(lo) a, (log10(hi) - log10(lo)) / 10 w FROM s), e AS (SELECT i AS bin, CASE WHEN i = 0 THEN lo ELSE pow(10, a + i*w) END l, CASE WHEN i = 9 THEN hi ELSE pow(10, a + (i+1)*w) END r FROM p, range(0, 10) t(i)) SELECT bin, round(l, 6) AS \"left\", round(r, 6) AS \"right\", count(value) AS frequency FROM e LEFT JOIN events ON value > 0 AND value >= l AND (value < r OR (bin = 9 AND value = r)) GROUP BY ALL",
+    "h1_merge_sparse": _SPARSE + _FOLDED,
+    "h1_knuth": _KNUTH,
+    "polar_embeddings": _POLAR,
+    "h2_weighted": _TWO.replace("count(*) AS n", "sum(l_linenumber)::DOUBLE AS n, sum(l_linenumber * l_linenumber)::DOUBLE AS e") + "SELECT a.bin0, b.bin1, coalesce(n, 0) AS frequency, coalesce(e, 0) AS error2 FROM e0 a CROSS JOIN e1 b LEFT JOIN g ON g.bin0 = a.bin0 AND g.bin1 = b.bin1",
+    "h2_ranges": "WITH m AS (SELECT min(l_discount) lo, max(l_discount) hi FROM lineitem), e0 AS (SELECT i AS bin0, 10 + i * 5e0 l0, 15 + i * 5e0 r0 FROM range(0, 4) t(i)), e1 AS (SELECT i AS bin1, lo + i*((hi-lo)/5) l1, CASE WHEN i = 4 THEN hi ELSE lo + (i+1)*((hi-lo)/5) END r1 FROM m, range(0, 5) t(i)) SELECT bin0, l0 AS left0, r0 AS right0, bin1, count(l_quantity) AS frequency FROM e0 CROSS JOIN e1 LEFT JOIN lineitem ON l_quantity >= l0 AND (l_quantity < r0 OR (bin0 = 3 AND l_quantity = r0)) AND l_discount >= l1 AND (l_discount < r1 OR (bin1 = 4 AND l_discount = r1)) GROUP BY bin0, l0, r0, bin1, l1, r1",
+    "h1_adaptive_weighted": _ADAPT.replace("count(*) AS frequency", "sum(l_linenumber)::DOUBLE AS frequency, sum(l_linenumber * l_linenumber)::DOUBLE AS error2"),
+    "h1_adaptive_fill": _ADAPT,
+}

@@ -2,23 +2,65 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def adaptive(df: DataFrame, col: str, width: float, shift: float = 0.0) -> DataFrame:
-    """bin, left, right, frequency of a batch or a stream (complete or update mode; the state is a row per bin)."""
+#: More bins than this between the ends are refused, as one far value could ask for billions.
+MOST_BINS = 50_000_000
+
+
+def _value(x: Column, width: float, shift: float) -> Column:
+    """The bin of a value; one too far out for a whole number is refused."""
+    k = F.floor((x - shift) / width)
+    far = F.abs((x - shift) / width) > 9e15
+    return F.when(far, F.raise_error(F.lit("a value is too far from the others for bins of this width")).cast("long")).otherwise(k.cast("long"))
+
+
+def adaptive(df: DataFrame, col: str, width: float, shift: float = 0.0, weights: str | None = None) -> DataFrame:
+    """bin, left, right, frequency of a batch or a stream (complete or update mode; the state is a row per bin).
+
+    With weights, also error2, the sum of their squares.
+    """
+    if width <= 0:
+        raise ValueError("a positive width is needed")
     x = F.col(col).cast("double")
-    d = df.where(x.isNotNull() & ~F.isnan(x)).groupBy(F.floor((x - shift) / width).cast("long").alias("bin")).agg(F.count("*").alias("frequency"))
-    return d.select("bin", (F.col("bin") * width + shift).alias("left"), ((F.col("bin") + 1) * width + shift).alias("right"), "frequency")
+    w = F.col(weights).cast("double") if weights else None
+    sums = [F.count("*").alias("frequency")] if w is None else [F.sum(w).alias("frequency"), F.sum(w * w).alias("error2")]
+    d = df.where(x.isNotNull() & ~F.isnan(x)).groupBy(_value(x, width, shift).alias("bin")).agg(*sums)
+    return d.select("bin", (F.col("bin") * width + shift).alias("left"), ((F.col("bin") + 1) * width + shift).alias("right"), *(c for c in ("frequency", "error2") if c in d.columns))
 
 
 def merge(*parts: DataFrame) -> DataFrame:
-    """Adaptive histograms of one width and shift, added up by key."""
-    both = parts[0]
-    for p in parts[1:]:
-        both = both.unionByName(p)
-    return both.groupBy("bin", "left", "right").agg(F.sum("frequency").alias("frequency"))
+    """Adaptive histograms added up by key; the job fails unless they have one width and shift."""
+    both = reduce(DataFrame.unionByName, parts)
+    width = F.col("right") - F.col("left")
+    rules = [F.struct(width.alias("w"), (F.col("left") - F.col("bin") * width).alias("s")).alias("rule")]
+    d = both.select("*", *rules)
+    sums = [F.sum(c).alias(c) for c in ("frequency", "error2") if c in both.columns]
+    d = d.groupBy("bin").agg(F.min("left").alias("left"), F.max("right").alias("right"), F.min("rule").alias("a"), F.max("rule").alias("b"), *sums)
+    every = Window.partitionBy()  # a row per bin
+    a, b = F.min("a").over(every), F.max("b").over(every)
+    near = (F.abs(a["w"] - b["w"]) <= 1e-9 * F.abs(b["w"])) & (F.abs(a["s"] - b["s"]) <= 1e-6 * F.abs(b["w"]))
+    left = F.when(near, F.col("left")).otherwise(F.raise_error(F.lit("adaptive histograms need one width and shift to be put together")).cast("double"))
+    return d.withColumn("left", left).select("bin", "left", "right", *(c for c in ("frequency", "error2") if c in both.columns))
+
+
+def fill(hist: DataFrame, df: DataFrame, col: str, weights: str | None = None) -> DataFrame:
+    """An adaptive histogram with a batch's values added; its axis grows where they need it."""
+    r = hist.agg(F.min(F.struct("bin", "left", "right"))).first()[0]
+    if not r:
+        raise ValueError("an empty table doesn't tell its width; begin with adaptive()")
+    width = r["right"] - r["left"]
+    more = adaptive(df, col, width, r["left"] - r["bin"] * width, weights)
+    if "error2" in hist.columns and "error2" not in more.columns:
+        more = more.withColumn("error2", F.col("frequency").cast("double"))
+    if "error2" in more.columns and "error2" not in hist.columns:
+        hist = hist.withColumn("error2", F.col("frequency").cast("double"))
+    both = hist.select("bin", "left", "right", *more.columns[3:]).unionByName(more)
+    return both.groupBy("bin").agg(F.min("left").alias("left"), F.max("right").alias("right"), *(F.sum(c).alias(c) for c in more.columns[3:]))
 
 
 def adaptive_nd(df: DataFrame, cols: list[str], widths: list[float], weights: str | None = None) -> DataFrame:
@@ -36,7 +78,8 @@ def fill_gaps(hist: DataFrame) -> DataFrame:
     """An adaptive histogram with the empty bins between its first and last; bins are rows, so is this."""
     step = F.min(F.col("right") - F.col("left")).alias("width")
     ends = hist.agg(F.min("bin").alias("lo"), F.max("bin").alias("hi"), step, F.min_by(F.col("left") - F.col("bin") * (F.col("right") - F.col("left")), "bin").alias("shift"))
-    grid = ends.where(F.col("lo").isNotNull()).select(F.explode(F.sequence("lo", "hi")).alias("bin"), "width", "shift")
+    many = F.when(F.col("hi") - F.col("lo") >= MOST_BINS, F.raise_error(F.lit(f"more than {MOST_BINS} bins between the first and the last")).cast("long")).otherwise(F.col("hi"))
+    grid = ends.where(F.col("lo").isNotNull()).select(F.explode(F.sequence("lo", many)).alias("bin"), "width", "shift")
     full = grid.join(hist.select("bin", "frequency"), "bin", "left")
     left = F.col("bin") * F.col("width") + F.col("shift")
     return full.select("bin", left.alias("left"), (left + F.col("width")).alias("right"), F.coalesce("frequency", F.lit(0)).alias("frequency"))
