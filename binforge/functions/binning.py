@@ -41,21 +41,26 @@ class Binning:
     def __len__(self) -> int:
         return len(self.bins)
 
-    def __getitem__(self, index) -> Binning:
-        """The bins of a slice, a list of indices or a mask; edges are no longer computed."""
+    def kept(self, index) -> list[int]:
+        """The bins that a slice, a list of indices or a mask keeps, in order."""
         n = len(self.bins)
         if isinstance(index, slice):
             if index.step not in (None, 1):
                 raise IndexError("the order of bins can't change")
-            kept = range(n)[index]
-        else:
-            index = list(index)
-            if index and isinstance(index[0], bool):
-                if len(index) != n:
-                    raise IndexError("a mask needs a value for each bin")
-                index = [k for k, on in enumerate(index) if on]
-            kept = [range(n)[k] for k in index]
-        return Binning(tuple(self.bins[k] for k in kept), self.closed)
+            return list(range(n)[index])
+        index = list(index)
+        if index and isinstance(index[0], bool):
+            if len(index) != n:
+                raise IndexError("a mask needs a value for each bin")
+            return [k for k, on in enumerate(index) if on]
+        kept = [range(n)[k] for k in index]
+        if any(b <= a for a, b in zip(kept, kept[1:])):
+            raise IndexError("the order of bins can't change")
+        return kept
+
+    def __getitem__(self, index) -> Binning:
+        """The bins of a slice, a list of indices or a mask; edges are no longer computed."""
+        return Binning(tuple(self.bins[k] for k in self.kept(index)), self.closed)
 
     @property
     def consecutive(self) -> bool:

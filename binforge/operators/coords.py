@@ -93,5 +93,62 @@ def cylindrical_surface(df: DataFrame, x: str, y: str, z: str, phi_bins=16, z_bi
     return h(d, ["phi", "z"], [_even(phi_bins, phi_range), z_bins], **how).withColumn("size", _width(0) * _width(1) * cylinder)
 
 
+# --- the same by name of the kind, for histograms as objects --------------------------------------
+FULL_RANGES = {"phi": FULL, "theta": (0.0, math.pi)}
+_COORDINATES = {
+    "r": lambda x, y, *z: radius(x, y, *z), "rho": lambda x, y, *z: F.hypot(x, y), "phi": lambda x, y, *z: azimuth(x, y),
+    "theta": inclination, "z": lambda x, y, z: z,
+}
+_POINT = {
+    "r": lambda *p: math.hypot(*p), "rho": lambda x, y, *z: math.hypot(x, y), "phi": lambda x, y, *z: math.atan2(y, x) % (2 * math.pi),
+    "theta": lambda x, y, z: math.atan2(math.hypot(x, y), z), "z": lambda x, y, z: z,
+}
+AXES = {
+    "polar": ("r", "phi"), "radial": ("r",), "azimuthal": ("phi",), "spherical": ("r", "theta", "phi"),
+    "spherical_surface": ("theta", "phi"), "cylindrical": ("rho", "phi", "z"), "cylindrical_surface": ("phi", "z"),
+}
+#: How many coordinates a kind is made from; radial takes two or three.
+_FROM = {"polar": (2,), "radial": (2, 3), "azimuthal": (2, 3), "spherical": (3,), "spherical_surface": (3,), "cylindrical": (3,), "cylindrical_surface": (3,)}
+
+
+def usual_bins(kind: str) -> list[int]:
+    return [16 if a in FULL_RANGES else 10 for a in AXES[kind]]
+
+
+def even(bins, range_: tuple[float, float] | None):
+    """Equal bins over a range where only a number of them is given."""
+    return equal_width(*range_, bins) if isinstance(bins, int) and range_ else bins
+
+
+def _known(kind: str, n: int, transformed: bool) -> tuple[str, ...]:
+    if kind not in AXES:
+        raise ValueError(f"unknown kind {kind}")
+    if n not in ((len(AXES[kind]),) if transformed else _FROM[kind]):
+        raise ValueError(f"{kind} isn't made from {n} coordinates")
+    return AXES[kind]
+
+
+def transformed(df: DataFrame, kind: str, cols, already: bool, keep: list[str]) -> tuple[DataFrame, tuple[str, ...]]:
+    """Columns of the kind's axes, and their names."""
+    axes = _known(kind, len(cols), already)
+    xs = [F.col(c).cast("double") for c in cols]
+    made = xs if already else [_COORDINATES[a](*xs) for a in axes]
+    return df.select(*(x.alias(a) for a, x in zip(axes, made)), *keep), axes
+
+
+def point(kind: str, value) -> tuple[float, ...]:
+    """One point's coordinates."""
+    return tuple(_POINT[a](*value) for a in _known(kind, len(value), False))
+
+
+def size_of(kind: str, r: float = 1.0) -> Column:
+    """Sizes of bins, from the columns leftI and rightI."""
+    return {
+        "polar": lambda: _powers(0, 2) * _width(1), "radial": lambda: math.pi * (F.col("right0") ** 2 - F.col("left0") ** 2), "azimuthal": lambda: _width(0),
+        "spherical": lambda: _powers(0, 3) * _cap(1) * _width(2), "spherical_surface": lambda: _cap(0) * _width(1) * r**2,
+        "cylindrical": lambda: _powers(0, 2) * _width(1) * _width(2), "cylindrical_surface": lambda: _width(0) * _width(1) * r,
+    }[kind]()
+
+
 def _kept(how: dict) -> list[str]:
     return [how["weights"]] if how.get("weights") else []

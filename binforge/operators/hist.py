@@ -90,24 +90,28 @@ def per_axis(value, n: int, what: str) -> list:
 
 
 def h(df: DataFrame, cols: Sequence[str], bins=10, *, weights: str | None = None, dropna: bool = True, **how) -> DataFrame:
-    """N-D: binI, leftI, rightI for each axis I, frequency, error2. A list of bins, or of an option, is one for each axis."""
-    axes, got, _ = counted_nd(df, cols, bins, weights=weights, dropna=dropna, **how)
+    """N-D: binI, leftI, rightI for each axis I, frequency, error2.
+
+    A list as long as there are axes has the bins of each, or an option's value for each; another list of numbers is the edges of all.
+    """
+    axes, got = counted_nd(df, cols, bins, weights=weights, dropna=dropna, **how)
     return densified(df.sparkSession, axes, got)
 
 
-def counted_nd(df: DataFrame, cols: Sequence[str], bins=10, *, weights: str | None = None, dropna: bool = True, **how) -> tuple[list, DataFrame, DataFrame]:
-    """The axes, what they hold (bin0, bin1, ..., frequency, error2; as in `counted` also what no bin holds), the rows counted."""
+def counted_nd(df: DataFrame, cols: Sequence[str], bins=10, *, weights: str | None = None, dropna: bool = True, more: Sequence[Column] = (), **how) -> tuple[list, DataFrame]:
+    """The axes, and what they hold: bin0, bin1, ..., frequency, error2, `more` sums; as in `counted` also what no bin holds."""
     cols = list(cols)
     if not cols:
         raise ValueError("at least one column is needed")
     numeric(df, *cols, *([weights] if weights else []))
-    df = without_missing(df, cols, dropna)
-    n = len(cols)
+    df, n = without_missing(df, cols, dropna), len(cols)
+    if isinstance(bins, list) and len(bins) != n and all(isinstance(x, (int, float)) for x in bins):
+        bins = [bins] * n  # edges of all axes
     options = {k: per_axis(v, n, k) for k, v in how.items()}
     axes = infer_all(df, cols, per_axis(bins, n, "bins"), [{k: v[i] for k, v in options.items() if v[i] is not None} for i in range(n)])
     # no filter on the indices: it would be pushed below and every index be computed twice
     keys = [a.assign(F.col(c)).alias(f"bin{i}") for i, (a, c) in enumerate(zip(axes, cols))]
-    return axes, df.groupBy(*keys).agg(*_sums(weights)), df
+    return axes, df.groupBy(*keys).agg(*_sums(weights), *more)
 
 
 def densified(spark, axes: Sequence, got: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from binforge.operators import coords, hist, shape
+from binforge.operators.histogram import Histogram, cut
 from binforge.sources.io import table
 from binforge.streaming import adaptive as stream
 
@@ -51,7 +52,29 @@ def _two_flags(d, sign):
     return _flat(hist.add(a, r, sign), "bin", "left", "right", "frequency", "error2")
 
 
+def _summary(spark, h, **more):
+    """What a histogram says of itself, as one row."""
+    facts = {"total": float(h.total), "missed": float(h.missed), **more}
+    return spark.createDataFrame([tuple(facts.values())], ", ".join(f"{k} {'double' if isinstance(v, float) else 'long'}" for k, v in facts.items()))
+
+
+def _object_1d(spark, d):
+    h = Histogram.of(table(spark, d, "lineitem"), "l_quantity", bins=5, range=(10.0, 40.0), median=True)
+    s = h.stats
+    return _summary(spark, h, underflow=float(h.underflow), overflow=float(h.overflow), mean=round(s.mean, 6), std=round(s.std, 6), median=float(s.median))
+
+
+def _object_2d(spark, d):
+    h = Histogram.of(table(spark, d, "lineitem"), "l_quantity", "l_discount", bins=[3, 5], range=[(10.0, 40.0), None])
+    return _summary(spark, h, row2=float(h[1, 2][1]), at=float(h.projection("l_quantity").frequencies()[h.find_bin(25.0, axis="l_quantity")]))
+
+
 QUERIES = {
+    "object_1d": _object_1d,
+    "object_2d": _object_2d,
+    "object_merged": _on("lineitem", lambda d: _flat(sum(Histogram.of(d.where(F.col("l_returnflag") == f), "l_extendedprice", bins="fixed_width", bin_width=5000.0, adaptive=True) for f in "ANR").table())),
+    "cut_quantity": _on("lineitem", lambda d: cut(d, "l_quantity", [10, 20, 30, 40]).groupBy(F.col("interval.left").alias("left"), F.col("interval.right").alias("right")).agg(F.count("*").alias("frequency"))),
+    "stats_merged": _on("lineitem", lambda d: hist.merge_statistics(*(hist.statistics(d.where(F.col("l_returnflag") == f), "l_quantity") for f in "ANR")).select("sum", "sum2", "min", "max", "weight", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"))),
     "h1_numpy_quantity": _LINE("l_quantity", 10),
     "h1_numpy_discount": _LINE("l_discount", 10),
     "h1_numpy_price": _LINE("l_extendedprice", 100),
@@ -280,3 +303,10 @@ ORACLE_SQL |= {
     "h1_adaptive_weighted": _ADAPT.replace("count(*) AS frequency", "sum(l_linenumber)::DOUBLE AS frequency, sum(l_linenumber * l_linenumber)::DOUBLE AS error2"),
     "h1_adaptive_fill": _ADAPT,
 }
+ORACLE_SQL |= {
+    "object_1d": "SELECT (count(*) FILTER (l_quantity BETWEEN 10 AND 40))::DOUBLE AS total, (count(*) FILTER (NOT l_quantity BETWEEN 10 AND 40))::DOUBLE AS missed, (count(*) FILTER (l_quantity < 10))::DOUBLE AS underflow, (count(*) FILTER (l_quantity > 40))::DOUBLE AS overflow, round(avg(l_quantity), 6) AS mean, round(stddev_pop(l_quantity), 6) AS std, quantile_cont(l_quantity, 0.5) AS median FROM lineitem",
+    "object_2d": "WITH m AS (SELECT min(l_discount) lo, max(l_discount) hi FROM lineitem), x AS (SELECT l_quantity q, l_discount d, lo + 2*((hi-lo)/5) a, lo + 3*((hi-lo)/5) b FROM lineitem, m) SELECT (count(*) FILTER (q BETWEEN 10 AND 40))::DOUBLE AS total, (count(*) FILTER (NOT q BETWEEN 10 AND 40))::DOUBLE AS missed, (count(*) FILTER (q >= 20 AND q < 30 AND d >= a AND d < b))::DOUBLE AS row2, (count(*) FILTER (q >= 20 AND q < 30))::DOUBLE AS at FROM x",
+    "object_merged": ORACLE_SQL["h1_adaptive_filled"].replace("SELECT bin, bin * 5000e0", "SELECT bin - (SELECT min(bin) FROM a) AS bin, bin * 5000e0"),
+    "cut_quantity": 'SELECT CASE WHEN l_quantity > 10 AND l_quantity <= 40 THEN (ceil(l_quantity / 10) - 1) * 10 END AS "left", CASE WHEN l_quantity > 10 AND l_quantity <= 40 THEN ceil(l_quantity / 10) * 10 END AS "right", count(*) AS frequency FROM lineitem GROUP BY ALL',
+    "stats_merged": 'SELECT sum(l_quantity) AS "sum", sum(l_quantity*l_quantity) AS sum2, min(l_quantity) AS "min", max(l_quantity) AS "max", count(l_quantity)::DOUBLE AS weight, round(avg(l_quantity), 6) AS mean, round(stddev_pop(l_quantity), 6) AS std FROM lineitem',
+}
