@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field, replace
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -111,6 +112,14 @@ class Histogram:
         out = Histogram(df.sparkSession, tuple(axes), cells, names, name, title, stats, keep_missed, whole and dtype != "float", adaptive)
         return out if keep_missed else out._only_bins()
 
+    @staticmethod
+    def empty(spark: SparkSession, *axes: B.Binning, axis_names: Sequence[str] | None = None, **more) -> Histogram:
+        """Of no values, to be filled."""
+        if not axes:
+            raise ValueError("at least one axis is needed")
+        names = tuple(axis_names or (f"axis{i}" for i in range(len(axes))))
+        return Histogram(spark, tuple(axes), {}, names, stats=Statistics() if len(axes) == 1 else INVALID, **more)
+
     @staticmethod
     def special(df: DataFrame, kind: str, *cols: str, bins: Sequence | None = None, ranges: Sequence | None = None, transformed: bool = False, radius: float = 1.0, **how) -> Histogram:
         """Of a kind of coords.AXES: the columns' coordinates are transformed, unless they are already."""
@@ -415,6 +424,10 @@ class Histogram:
     def normalize(self, percent: bool = False) -> Histogram:
         return self * ((100 if percent else 1) / self.total) if self.total else self
 
+    def numpy_like(self):
+        """Frequencies in the histogram's shape, and edges, as numpy has them."""
+        return np.array(self.frequencies()).reshape(self.shape), (np.array(self.edges) if self.ndim == 1 else [np.array(e) for e in self.edges])
+
     def densities(self) -> list[float]:
         """Frequencies over sizes, of all bins."""
         widths = [[r - x for x, r in a.bins] for a in self.axes]

@@ -7,6 +7,7 @@ import math
 from collections.abc import Callable, Sequence
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, NumericType
@@ -233,3 +234,40 @@ def _posteriors(df: DataFrame, col: str, lo: float, hi: float, n: int, counts: l
         logs[r["m"]] += r["times"] * math.lgamma(r["count"] + 0.5)
         empty[r["m"]] += r["times"]
     return {m: logs[m] + (m - empty[m]) * math.lgamma(0.5) for m in counts}
+
+
+#: Distinct values from which Bayesian blocks are found; the search takes their square in steps.
+MOST_DISTINCT = 20_000
+
+
+@register_binning("blocks")
+def bayesian_blocks(df: DataFrame, col: str, range=None, p0: float = 0.05) -> B.Binning:
+    """Blocks of constant rate with the highest fitness (Scargle et al. 2013), for up to MOST_DISTINCT distinct values.
+
+    Spark counts the distinct values; the search over their counts is one of dynamic programming.
+    """
+    x = F.col(col).cast("double")
+    d = df.where(x.between(*map(float, range))) if range else df
+    rows = d.groupBy(x.alias("x")).count().orderBy("x").limit(MOST_DISTINCT + 1).collect()
+    if len(rows) > MOST_DISTINCT:
+        raise ValueError(f"Bayesian blocks are found from at most {MOST_DISTINCT} distinct values")
+    if len(rows) < 2:
+        raise ValueError("blocks need more than one value")
+    v, n = np.array([r["x"] for r in rows]), np.array([r["count"] for r in rows], float)
+    edges = np.r_[v[0], (v[1:] + v[:-1]) / 2, v[-1]]
+    prior = 4 - math.log(73.53 * p0 * n.sum() ** -0.478)
+    upto = np.cumsum(n)
+    best, last = np.zeros(len(v)), np.zeros(len(v), int)
+    for k in builtins.range(len(v)):
+        width = edges[k + 1] - edges[: k + 1]
+        count = upto[k] - np.r_[0, upto[:k]]
+        with np.errstate(divide="ignore"):
+            fit = count * (np.log(count) - np.log(width)) - prior
+        fit[1:] += best[:k]
+        last[k] = np.argmax(fit)
+        best[k] = fit[last[k]]
+    cuts, k = [len(v)], len(v)
+    while k:
+        k = int(last[k - 1])
+        cuts.append(k)
+    return B.from_edges(edges[cuts[::-1]])

@@ -6,12 +6,14 @@ A histogram table is small: its bins come to the driver, never the data's rows.
 from __future__ import annotations
 
 import json
+import math
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from binforge.functions.binning import Binning
+from binforge.functions.binning import Binning, equal_width
+from binforge.operators.histogram import INVALID, Histogram, Statistics
 
 VERSION = 1
 
@@ -71,6 +73,51 @@ def binning_from_index(index: pd.IntervalIndex) -> Binning:
     return Binning(tuple((float(i.left), float(i.right)) for i in index), closed=False)
 
 
+def binning_to_index(b: Binning) -> pd.IntervalIndex:
+    """Left-closed intervals; bins with gaps between them are refused."""
+    if not b.consecutive:
+        raise ValueError("bins with gaps have no interval index")
+    return pd.IntervalIndex.from_breaks(b.edges, closed="left")
+
+
+def to_series(hist: DataFrame) -> pd.Series:
+    return to_pandas(hist)["frequency"]
+
+
+def read_geant4(spark: SparkSession, path: str) -> Histogram:
+    """A Geant4 CSV of one or two axes, with its title and, of one axis, its moments and what lies outside."""
+    lines = [r[0] for r in spark.read.text(path).collect()]  # one histogram's file
+    meta = [x[1:].split(" ", 1) for x in lines if x.startswith("#")]
+    said = lambda key: [v for k, *rest in meta for v in rest if k == key]
+    n_axes = int(said("dimension")[0])
+    if n_axes not in (1, 2):
+        raise ValueError(f"files of one or two axes are read, not of {n_axes}")
+    axes = []
+    for a in said("axis"):
+        kind, n, lo, hi = a.split()
+        if kind != "fixed":
+            raise ValueError(f"unknown kind of axis {kind}")
+        axes.append(equal_width(float(lo), float(hi), int(n)))
+    rows = []
+    for x in lines:
+        try:
+            rows.append([float(v) for v in x.split(",")])
+        except ValueError:  # a line of names
+            continue
+    sizes = [len(a) + 2 for a in axes]
+    if len(axes) != n_axes or len(rows) != math.prod(sizes):
+        raise ValueError("a row for each bin, underflow and overflow are needed")
+    cells = {}
+    for k, r in enumerate(rows):
+        key = (k - 1,) if n_axes == 1 else (k // sizes[1] - 1, k % sizes[1] - 1)
+        if r[1] or r[2]:
+            cells[key] = (r[1], r[2])
+    inner = [r for k, r in enumerate(rows) if n_axes == 1 and 0 < k < sizes[0] - 1]
+    stats = Statistics(sum=sum(r[3] for r in inner), sum2=sum(r[4] for r in inner), weight=sum(r[1] for r in inner)) if n_axes == 1 else INVALID
+    title = (said("title") or [None])[0]
+    return Histogram(spark, tuple(axes), cells, tuple(f"axis{i}" for i in range(n_axes)), title, title, stats, whole=False)
+
+
 def load_geant4(spark: SparkSession, path: str) -> DataFrame:
     """bin, left, right, frequency, error2 of a 1-D Geant4 CSV; bin -1 is the underflow, n the overflow (no edges)."""
     lines = [r[0] for r in spark.read.text(path).collect()]  # one histogram's file

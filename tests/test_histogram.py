@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from binforge.functions import binning as B
 from binforge.operators import hist, infer, shape
 from binforge.operators.histogram import Histogram, Statistics, cut
+from binforge.sources import examples, formats
 from binforge.streaming import adaptive
 
 EDGES, FREQ = [1.2, 1.4, 1.5, 1.7, 1.8], [4.0, 0.0, 3.0, 7.2]
@@ -340,3 +341,41 @@ def test_own_binnings(spark):
     assert len(Histogram.of(d, "x", bins=lambda df, c: B.from_edges([0, 9])).axes[0]) == 1
     with pytest.raises(ValueError):
         Histogram.of(d, "x", bins="nope")
+
+
+def test_blocks(spark):
+    rng = np.random.default_rng(3)
+    values = np.r_[rng.uniform(0, 10, 200), rng.uniform(4, 5, 400)]
+    edges = infer.infer(column(spark, values), "x", "blocks").edges
+    assert 4 <= len(edges) <= 7 and min(abs(np.array(edges) - 4)) < 0.15 and min(abs(np.array(edges) - 5)) < 0.15
+    with pytest.raises(ValueError):
+        infer.infer(column(spark, [1.0]), "x", "blocks")
+
+
+def test_empty_and_views(spark):
+    h = Histogram.empty(spark, B.from_edges([0, 1, 2]), B.from_edges([0, 5]), axis_names=["a", "b"])
+    assert h.total == 0 and h.shape == (2, 1) and h.fill((0.5, 1)).total == 1
+    f, e = h.fill((1.5, 1), 3).numpy_like()
+    assert f.tolist() == [[0], [3]] and e[0].tolist() == [0, 1, 2]
+    with pytest.raises(ValueError):
+        Histogram.empty(spark)
+
+
+def test_examples(spark):
+    d = examples.normal(spark, 5000, 3)
+    assert d.columns == ["x", "y", "z"] and abs(Histogram.of(d, "x").stats.mean) < 0.1 and examples.uniform(spark, 100, 2, 3).where("x < 2 or x > 3").count() == 0
+
+
+def test_geant4_of_two_axes(spark, tmp_path):
+    head = "#class h2d\n#title Both\n#dimension 2\n#axis fixed 2 0 8\n#axis fixed 1 0 1\n#bin_number 12\nentries,Sw,Sw2,Sxw0,Sx2w0,Sxw1,Sx2w1\n"
+    (tmp_path / "h.csv").write_text(head + "".join(f"{k},{k},{2 * k},0,0,0,0\n" for k in range(12)))
+    h = formats.read_geant4(spark, str(tmp_path / "h.csv"))
+    assert h.shape == (2, 1) and h.frequencies() == [4, 7] and h.errors2() == [8, 14] and h.name == "Both" and h.missed == 66 - 11
+    one = "#title One\n#dimension 1\n#axis fixed 2 0 8\nentries,Sw,Sw2,Sxw0,Sx2w0\n9,9,9,0,0\n1,1,1,.5,.25\n2,3,5,9,9\n1,2,4,9,9\n"
+    (tmp_path / "h1.csv").write_text(one)
+    h = formats.read_geant4(spark, str(tmp_path / "h1.csv"))
+    assert (h.underflow, h.overflow, h.frequencies(), h.stats.sum) == (9, 2, [1, 3], 9.5)
+    with pytest.raises(ValueError):
+        formats.binning_to_index(B.static([(0, 1), (2, 3)]))
+    assert formats.binning_from_index(formats.binning_to_index(B.from_edges([0, 1, 3]))).edges == [0, 1, 3]
+    assert formats.to_series(h.table()).tolist() == [1, 3]
