@@ -23,9 +23,12 @@ dealt by size and a hash of their id into blocks, and each two blocks that can h
 meet once, their texts cut into shingles once a block. What leaves is a count a member
 (n_links) or the links themselves (links()), not the pairs that were looked at.
 
+A row is known by a hash of its id and text, so neither repeated nor null ids mix up texts.
+
 Defined results: null, empty or wordless text has an empty set, links with nothing
 and is its own component; fewer than N words make one shingle; repeated rows of an
-id give a row each.
+id give a row each, whether their texts are equal or not; a component is named by its smallest
+id that is not null, if it has one; other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -37,11 +40,13 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
-from .common import materialize, table
+from .common import LOWER, UPPER, WORD, materialize, table
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -137,15 +142,22 @@ def keys(s: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     return np.concatenate(out)
 
 
-def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def row_key() -> Column:
+    """What a row is known by: rows of equal id and text are the same."""
+    return F.xxhash64("doc_id", F.col("doc_id").isNull(), "text", F.col("text").isNull())
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     known = _Words()
     for b in batches:
-        rows = []
-        for doc, text in zip(b["doc_id"], b["text"]):
-            s = shingles(text if isinstance(text, str) else None, known)
-            same = int(_mix(s * _C).sum(dtype=np.uint64).astype(np.int64)) if len(s) else None
-            rows.append((doc, len(s), same, sketch(s)))
-        yield pd.DataFrame({"doc_id": [r[0] for r in rows], "n_shingles": [r[1] for r in rows], "same": pd.array([r[2] for r in rows], "Int64"), "sketch": [r[3] for r in rows]})
+        size, same, parity = [], [], []
+        for text in b.column("text").to_pylist():
+            s = shingles(text, known)
+            size.append(len(s))
+            same.append(int(_mix(s * _C).sum(dtype=np.uint64).astype(np.int64)) if len(s) else None)
+            parity.append(sketch(s))
+        more = [pa.array(size, pa.int64()), pa.array(same, pa.int64()), pa.array(parity, pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("key"), *more], ["doc_id", "key", "n_shingles", "same", "sketch"])
 
 
 def _keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -269,14 +281,28 @@ def _link_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame([(min(rows[k][6], rows[x][6]), max(rows[k][6], rows[x][6])) for x in found], columns=["a", "b"])
 
 
+def _class_id(docs: DataFrame) -> Column:
+    """A whole number for each class: its smallest id, if that is a whole number and no other class has it, else a hash below zero.
+
+    The smallest id of a group is the likeliest original of its near copies, which the others are compared with first.
+    """
+    key = F.col("first.key")
+    if not isinstance(docs.schema["doc_id"].dataType, IntegralType):
+        return key
+    alone = F.count("*").over(Window.partitionBy(F.coalesce(F.col("first.doc_id").cast("long"), key))) == 1
+    return F.when(alone & F.col("first.doc_id").isNotNull(), F.col("first.doc_id").cast("long")).otherwise(F.when(key < 0, key).otherwise(-1 - key))
+
+
 def _placed(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Sets of the documents, classes of equal sets, a text of each class, components of linked classes."""
-    d = docs.select("doc_id", "text")
-    sets = materialize(d.mapInPandas(_sets, "doc_id long, n_shingles long, same long, sketch array<long>"), "sets")
+    d = docs.select("doc_id", row_key().alias("key"), "text")
+    sets = materialize(d.mapInArrow(_sets, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, key long, n_shingles long, same long, sketch array<long>"), "sets")
     some = sets.where(F.col("n_shingles") > 0)
-    classes = materialize(some.groupBy("same", "n_shingles").agg(F.min("doc_id").alias("id"), F.first("sketch").alias("sketch"), F.count("*").alias("rows")), "classes")
-    ids = classes.select("id")
-    texts = materialize(d.join(ids, F.col("doc_id") == F.col("id")).groupBy("id").agg(F.first("text").alias("text")), "texts")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("first")
+    classes = some.groupBy("same", "n_shingles").agg(first, F.first("sketch").alias("sketch"), F.count("*").alias("rows"))
+    classes = materialize(classes.withColumn("id", _class_id(docs)), "classes")
+    names = classes.select("id", F.col("first.key").alias("key"))
+    texts = materialize(d.join(names, "key").groupBy("id").agg(F.first("text").alias("text")), "texts")
     # keys that two or more classes share, and each key's hub
     w = Window.partitionBy("key")
     shared = texts.mapInPandas(_keyed, "key long, id long").withColumn("hub", F.min("id").over(w)).withColumn("last", F.max("id").over(w))
@@ -305,7 +331,9 @@ def _placed(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame
 def links(docs: DataFrame) -> DataFrame:
     """a, b: every pair of classes that link, by their class ids, a < b."""
     _, classes, texts, comp = _placed(docs)
-    return _meeting(classes, texts, comp).mapInPandas(_link_pairs, "a long, b long")
+    names = [classes.select(F.col("id").alias(c), F.col("first.doc_id").alias(f"{c}_id")) for c in "ab"]
+    pairs = _meeting(classes, texts, comp).mapInPandas(_link_pairs, "a long, b long").join(names[0], "a").join(names[1], "b")
+    return pairs.select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b"))
 
 
 def join(docs: DataFrame) -> DataFrame:
@@ -315,12 +343,36 @@ def join(docs: DataFrame) -> DataFrame:
     """
     sets, classes, texts, comp = _placed(docs)
     linked = _meeting(classes, texts, comp).mapInPandas(_link_counts, "id long, n long").groupBy("id").agg(F.sum("n").alias("others"))
-    named = classes.join(comp, "id", "left").join(linked, "id", "left")
+    named = classes.join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    low = named.groupBy("comp").agg(F.min("first.doc_id").alias("component_id"))
+    named = named.join(low, "comp").join(linked, "id", "left")
     n_links = (F.col("rows") - 1 + F.coalesce("others", F.lit(0))).alias("n_links")
-    named = named.select("same", "n_shingles", F.col("id").alias("class_id"), F.coalesce("comp", "id").alias("component_id"), n_links)
-    out = sets.drop("sketch").join(named, ["same", "n_shingles"], "left")
+    named = named.select("same", "n_shingles", F.col("first.doc_id").alias("class_id"), "component_id", n_links)
+    out = sets.drop("sketch", "key").join(named, ["same", "n_shingles"], "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
+def representatives(docs: DataFrame) -> DataFrame:
+    """key: row_key() of one row of each component, the one of the smallest id, and of every wordless row."""
+    sets, classes, _, comp = _placed(docs)
+    first = classes.join(comp, "id", "left").groupBy(F.coalesce("comp", "id")).agg(F.min("first").alias("first"))
+    return first.select("first.key").union(sets.where(F.col("n_shingles") == 0).select("key").distinct())
+
+
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join(table(spark, sf_dir, "documents"))
+
+
+#: Every pair by its common shingles: for small tables.
+ORACLE = f"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{WORD}') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + {N - 1}], ' ') AS g FROM w, unnest(range(1, greatest(1, len(w) - {N - 1}) + 1)) AS r(i) WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT c.a, c.b, c = p.n AND c = q.n AS same FROM c JOIN n p ON p.doc_id = c.a JOIN n q ON q.doc_id = c.b WHERE 100 * c >= {PERCENT} * (p.n + q.n - c)),
+r(doc_id, reach) AS (SELECT DISTINCT a, a FROM l UNION SELECT r.doc_id, l.b FROM r JOIN l ON l.a = r.reach),
+p AS (SELECT doc_id, min(reach) AS low FROM r GROUP BY doc_id),
+k AS (SELECT a AS doc_id, count(*) AS links, min(CASE WHEN same THEN b END) AS first FROM l GROUP BY a)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, coalesce(low, doc_id) AS component_id, coalesce(least(doc_id, first), doc_id) AS class_id, coalesce(links, 0)::BIGINT AS n_links
+FROM w LEFT JOIN n USING (doc_id) LEFT JOIN p USING (doc_id) LEFT JOIN k USING (doc_id)
+"""
