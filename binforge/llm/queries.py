@@ -13,4 +13,7 @@ QUERIES = {
     )
 }
 
-ORACLE_SQL = {"op1_quality_rules": quality.ORACLE}
+ORACLE_SQL = {
+    "op1_quality_rules": quality.ORACLE, "op3_ngram_join": ngramjoin.ORACLE, "op4_secret_scan": secrets.ORACLE,
+    "op7_decontaminate": decontaminate.ORACLE, "op9_mix_sources": mixing.ORACLE, "op10_license_scan": licenses.ORACLE,
+}

@@ -1,14 +1,17 @@
 """Secret scans with corpus-wide ownership frequency.
 
 Candidates are found in each whole text; their SHA-256 (never the secret itself)
-is aggregated over the corpus into distinct repositories and owners. A candidate
-that at most MAX_OWNERS owners hold is live-looking, a widely copied one is an
-example. The base kinds are always reported; spans of the method's own kinds are
+is aggregated over the corpus into distinct repositories (documents) and owners. A candidate
+that at most MAX_OWNERS owners hold in at most MAX_REPOS repositories is live-looking, a widely
+copied one is an example. The base kinds are always reported; spans of the method's own kinds are
 added where they are live-looking.
 
+A candidate of more than HOT repositories gets its verdict by a broadcast: there is at most one such for each HOT
+candidates found, so what is sent stays small against the candidates and no task gets more than HOT rows of one hash.
+
 Defined results: null text is empty; a text without secrets has counts 0, the hash
 of the empty string and empty spans; a null owner is an owner of its own; repeated
-rows give a row each and count as one repository.
+rows give a row each and count as one repository; null ids count as one repository of their owner; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ import re
 import sys
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,8 +43,9 @@ EXTRA = {
     "sk": r"\bsk[-_][A-Za-z0-9_-]{16,}",
     "pem": r"-----BEGIN [A-Z ]*PRIVATE KEY-----",
 }
-MAX_OWNERS = 2
-CANDIDATES = "doc_id long, owner string, row long, n_assign long, n_access long, n_hex long, base_sha256 string, base string, extra array<struct<start:int,kind:int,end:int,hash:string>>, hashes array<string>"
+MAX_OWNERS, MAX_REPOS = 2, 50
+HOT = 10_000
+CANDIDATES = "owner string, row long, n_assign long, n_access long, n_hex long, base_sha256 string, base string, extra array<struct<start:int,kind:int,end:int,hash:string>>, hashes array<string>"
 
 
 def find(text: str) -> tuple[list[tuple[int, int, int, str]], list[tuple[int, int, int, str]]]:
@@ -62,21 +66,23 @@ def _joined(spans: list) -> str:
     return ",".join(f"{names[s[1]]}:{s[0]}:{s[2]}" for s in spans)
 
 
-def _candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     digest = lambda s: hashlib.sha256(s.encode("utf-8", "surrogatepass")).hexdigest()
+    span = pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32()), ("hash", pa.string())])
+    kinds = {"n_assign": pa.int64(), "n_access": pa.int64(), "n_hex": pa.int64(), "base_sha256": pa.string(), "base": pa.string(), "extra": pa.list_(span), "hashes": pa.list_(pa.string())}
     for b in batches:
         rows = []
-        for doc, owner, row, text in zip(b["doc_id"], b["owner"], b["row"], b["text"]):
-            base, extra = find(text if isinstance(text, str) else "")
+        for text in b.column("text").to_pylist():
+            base, extra = find(text or "")
             n, joined = [x[1] for x in base], _joined(base)
-            hashes = sorted({digest(x[3]) for x in base + extra})
-            rows.append((doc, owner, row, n.count(0), n.count(1), n.count(2), digest(joined), joined, [(s, k, e, digest(x)) for s, k, e, x in extra], hashes))
-        yield pd.DataFrame(rows, columns=["doc_id", "owner", "row", "n_assign", "n_access", "n_hex", "base_sha256", "base", "extra", "hashes"])
+            rows.append((n.count(0), n.count(1), n.count(2), digest(joined), joined, [(s, k, e, digest(x)) for s, k, e, x in extra], sorted({digest(x[3]) for x in base + extra})))
+        more = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds.values())]
+        yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", "owner", "row")), *more], ["doc_id", "owner", "row", *kinds])
 
 
 def candidates(docs: DataFrame, owner: str = "source") -> DataFrame:
     d = docs.select("doc_id", F.coalesce(F.col(owner).cast("string"), F.lit("\0")).alias("owner"), F.monotonically_increasing_id().alias("row"), "text")
-    return d.mapInPandas(_candidates, CANDIDATES)
+    return d.mapInArrow(_candidates, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {CANDIDATES}")
 
 
 def ownership(found: DataFrame) -> DataFrame:
@@ -86,12 +92,15 @@ def ownership(found: DataFrame) -> DataFrame:
     return repos.groupBy("hash", "owner").agg(F.count("*").alias("n")).groupBy("hash").agg(F.sum("n").alias("repos"), F.count("*").alias("owners"))
 
 
-def scan(docs: DataFrame, max_owners: int = MAX_OWNERS, owner: str = "source") -> DataFrame:
+def scan(docs: DataFrame, max_owners: int = MAX_OWNERS, max_repos: int = MAX_REPOS, owner: str = "source", hot: int = HOT) -> DataFrame:
     """doc_id, counts, base_sha256, spans, n_live and n_example (distinct secrets of each sort)."""
     found = materialize(candidates(docs, owner), "secrets")
-    own = ownership(found)
-    some = found.where(F.size("hashes") > 0)
-    live = some.select("row", F.explode("hashes").alias("hash")).join(own, "hash").withColumn("live", F.col("owners") <= max_owners)
+    live = (F.col("owners") <= max_owners) & (F.col("repos") <= max_repos)
+    own = materialize(ownership(found).select("hash", "repos", live.alias("live")), "owners")
+    each = found.where(F.size("hashes") > 0).select("row", F.explode("hashes").alias("hash"))
+    common = F.broadcast(own.where(F.col("repos") > hot).select("hash", "live"))
+    rare = own.where(F.col("repos") <= hot).select("hash", "live")
+    live = each.join(common, "hash").unionByName(each.join(common, "hash", "left_anti").join(rare, "hash"))
     verdict = live.groupBy("row").agg(F.count_if("live").alias("n_live"), F.count_if(~F.col("live")).alias("n_example"), F.collect_set(F.when(F.col("live"), F.col("hash"))).alias("is_live"))
     d = found.drop("hashes").join(verdict, "row", "left")
     names = F.array(*(F.lit(x) for x in [*KINDS, *EXTRA]))
@@ -106,3 +115,40 @@ def scan(docs: DataFrame, max_owners: int = MAX_OWNERS, owner: str = "source") -
 
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents"))
+
+
+def _spans(name: str, pattern: str, secret: str, least: str) -> str:
+    """CTEs with all matches of a pattern: doc_id, kind, start, end, secret. A match is the first place of its text after the match before."""
+    return rf"""
+m_{name} AS (SELECT doc_id, t, regexp_extract_all(t, '{pattern}') AS m FROM d),
+r_{name}(doc_id, t, m, k, upto, start) AS (
+  SELECT doc_id, t, m, 0, 0, 0 FROM m_{name} WHERE len(m) > 0
+  UNION ALL
+  SELECT doc_id, t, m, k + 1, upto + strpos(substr(t, upto + 1), m[k + 1]) - 1 + length(m[k + 1]), upto + strpos(substr(t, upto + 1), m[k + 1]) - 1
+  FROM r_{name} WHERE k < len(m)),
+s_{name} AS (SELECT * FROM (SELECT doc_id, '{name}' AS kind, start, upto AS stop, {secret} AS secret FROM (SELECT *, m[k] AS x FROM r_{name} WHERE k > 0)) WHERE {least})"""
+
+
+def _oracle() -> str:
+    q = lambda x: x.replace("'", "''")
+    kinds = [("assign", q(ASSIGN), rf"regexp_extract(x, '{q(ASSIGN)}', 2)", "length(secret) >= 12"), ("access", ACCESS, "x", "true"), ("hex", HEX, "x", "true")]
+    kinds += [(k, q(p), "x", "true") for k, p in EXTRA.items()]
+    names = [*KINDS, *EXTRA]
+    order = "CASE kind " + " ".join(f"WHEN '{k}' THEN {i}" for i, k in enumerate(names)) + " END"
+    every = " UNION ALL ".join(f"SELECT * FROM s_{k[0]}" for k in kinds)
+    joined = f"string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, {order})"
+    return f"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(source, chr(0)) AS owner, coalesce(text, '') AS t FROM documents),{",".join(_spans(*k) for k in kinds)},
+every AS (SELECT e.*, owner, sha256(secret) AS hash, {order} AS place FROM ({every}) e JOIN d USING (doc_id)),
+own AS (SELECT hash, count(DISTINCT owner) <= {MAX_OWNERS} AND count(DISTINCT doc_id) <= {MAX_REPOS} AS live FROM every GROUP BY hash),
+g AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+        sha256(coalesce({joined} FILTER (place < {len(KINDS)}), '')) AS base_sha256, {joined} FILTER (place < {len(KINDS)} OR live) AS spans,
+        count(DISTINCT hash) FILTER (live) AS n_live, count(DISTINCT hash) FILTER (NOT live) AS n_example
+      FROM every JOIN own USING (hash) GROUP BY doc_id)
+SELECT doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access, coalesce(n_hex, 0)::BIGINT AS n_hex,
+       coalesce(base_sha256, sha256('')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0)::BIGINT AS n_live, coalesce(n_example, 0)::BIGINT AS n_example
+FROM d LEFT JOIN g USING (doc_id)
+"""
+
+
+ORACLE = _oracle()
