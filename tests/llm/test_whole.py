@@ -41,6 +41,22 @@ def test_every_link_within_a_component(spark, monkeypatch):
         assert set(pairs) == {(a, b) for a in classes for b in want[a] & classes if a < b}
 
 
+def test_a_hub_unlike_the_others_is_no_square(spark):
+    """Near copies under common keys with a first text that few of them link with."""
+    rng = np.random.default_rng(9)
+    base = [f"t{x}" for x in rng.integers(0, 10**6, 400)]
+    texts = {0: " ".join(base[:330] + [f"o{k}" for k in range(70)])}
+    for k in range(1, 60):
+        w = list(base)
+        w[int(rng.integers(0, 400))] = f"e{k}"
+        texts[k] = " ".join(w)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r["doc_id"]: (r["component_id"], r["n_links"]) for r in ngramjoin.join(docs).collect()}
+    want = brute_links(texts)
+    assert {i: n for i, (_, n) in got.items()} == {i: len(x) for i, x in want.items()}
+    assert {c for i, (c, _) in got.items() if i} == {1} and got[0][0] == 0 and not want[0]
+
+
 def test_six_notices_in_one_file(spark):
     notices = {
         "apache-2.0": "Licensed under the Apache License, Version 2.0.",
