@@ -28,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -190,19 +191,20 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
     """doc_id, held_out, score, predicted, n_hits."""
     weights, curve = model["weights"], model["curve"]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = build(weights) if weights else None
         for b in batches:
-            rows = []
-            for doc, text in zip(b["doc_id"], map(_str, b["text"])):
+            scores, n_hits = [], []
+            for text in map(_str, b.column("text").to_pylist()):
                 found = hits(text, automaton, model["exceptions"]) if weights else []
                 x, y = features(found, weights, len(text))
                 z = max(-30.0, min(30.0, curve[0] + curve[1] * x + curve[2] * y))
-                s = 1 / (1 + math.exp(-z))
-                rows.append((doc, s, int(s >= 0.5), len(found)))
-            yield pd.DataFrame(rows, columns=["doc_id", "score", "predicted", "n_hits"]).astype({"doc_id": "Int64"})
+                scores.append(1 / (1 + math.exp(-z)))
+                n_hits.append(len(found))
+            more = [pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32()), pa.array(n_hits, pa.int64())]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *more], ["doc_id", "score", "predicted", "n_hits"])
 
-    got = docs.select("doc_id", "text").mapInPandas(run, "doc_id long, score double, predicted int, n_hits long")
+    got = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double, predicted int, n_hits long")
     return got.select("doc_id", (fold_of(F.col("doc_id")) == 0).alias("held_out"), "score", "predicted", "n_hits")
 
 
