@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, words
+from .common import materialize, table, words
 
 SYMBOLS = "#*$%&|<>"
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
@@ -106,7 +106,7 @@ def ablation(led: DataFrame, policy: Policy) -> DataFrame:
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    led = ledger(table(spark, sf_dir, "documents"))
+    led = materialize(ledger(table(spark, sf_dir, "documents")), "quality-ledger")
     failed = F.col("fail_bits").bitwiseAND(F.lit(BASE.mask)) != 0
     return apply_policy(led, V1).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), "kept", "fail_bits", "policy")
 
