@@ -19,7 +19,7 @@ def _flat(df, *cols):
     return df.select(*(F.round(c, 6).alias(c) if c.rstrip("0123456789") in ("left", "right") else F.col(c) for c in cols or [c for c in df.columns if c != "error2"]))
 
 
-_EVENT_SECONDS = F.expr("timestampdiff(SECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)")  # whatever the session's time zone
+_EVENT_SECONDS = "timestampdiff(SECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts) AS t"  # whatever the session's time zone
 
 
 def _sql(t, c, n=None, edges=None, right=True, pick="bin, round(l, 6) AS \"left\", round(r, 6) AS \"right\", frequency", tail="", extra="", weight=None, also=""):
@@ -108,7 +108,7 @@ QUERIES = {
     "polar_embeddings": _on("embeddings", lambda d: _flat(coords.polar(_xyz(d), "x", "y").withColumn("size", F.round("size", 9)))),
     "h1_sqrt": _on("orders", lambda d: _flat(hist.h1(d, "o_totalprice", "sqrt"))),
     "h1_rice": _on("orders", lambda d: _flat(hist.h1(d, "o_totalprice", "rice"))),
-    "h1_pretty_time": _on("events", lambda d: _flat(hist.h1(d.select(_EVENT_SECONDS.alias("t")), "t", "pretty", bin_count=30, kind="time"))),
+    "h1_pretty_time": _on("events", lambda d: _flat(hist.h1(d.selectExpr(_EVENT_SECONDS), "t", "pretty", bin_count=30, kind="time"))),
     "h1_knuth": _on("events", lambda d: _flat(hist.h1(d, "value", "knuth"))),
     "h1_slice": _on("lineitem", lambda d: _flat(shape.slice_bins(hist.h1(d, "l_quantity", 10), 2, 7))),
     "h1_slice_dropped": _on("lineitem", lambda d: shape.dropped(hist.h1(d, "l_quantity", 10), 2, 7)),
