@@ -36,11 +36,11 @@ from .ngramjoin import _A, _mix, _Words
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 BATCH = 1_000_000  # words
-SLOT_CHARS, LEAST_SLOTS = 2_000_000, 512
+SLOT_CHARS, LEAST_SLOTS = 1_500_000, 16
 MIX = (0.7, 0.25, 0.05)  # bigram, unigram, uniform base
 BASE = 2.0**-24  # the uniform base's probability of a word, in both models
-#: Target ids up to this many are broadcast (8 bytes each); more are joined by a shuffle.
-BROADCAST_IDS = 2_000_000
+#: Target ids up to this many are broadcast (about 120 bytes each in a hash table); more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
 PACKED = "batch long, slot long, kind int, data binary, background binary, target binary"
 SCORED = "doc_id long, n_tokens long, target_loss double, background_loss double, score double"
 DOCS, WORDS, PAIRS = 0, 1, 2
