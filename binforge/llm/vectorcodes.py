@@ -119,7 +119,7 @@ def fit(rows: DataFrame, stored: DataFrame, parts: int = PARTS, entries: int = E
     if len(dims) > 1 or any(d % parts for d in dims):
         raise ValueError(f"vectors need one length, a multiple of {parts}")
     first = rows.orderBy(F.col("vec_id").asc_nulls_last(), "embedding").limit(entries).select("embedding").collect()
-    books = integers(np.array([r["embedding"] for r in first], np.float64)).reshape(len(first), parts, -1).transpose(1, 0, 2)
+    books = integers(np.array([r["embedding"] for r in first], np.float64)).reshape(len(first), parts, dims[0] // parts if dims else 0).transpose(1, 0, 2)
     data = stored.select("size", "data").rdd.map(lambda r: (r["size"], bytes(r["data"])))
     for _ in range(rounds if len(first) else 0):
         books = refined(data, books)
