@@ -35,11 +35,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, table
-from .tokenstore import BLOCK, LETTERS, SIMPLE, _byte_letters, _Words
+from .tokenstore import LETTERS, SIMPLE, _byte_letters, _Words
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 SIZE, END = 2048, 0
+#: Bytes of text encoded at once, about.
+BLOCK = 2_000_000
 #: Rows of first numbers (a partition and length each, some 40 bytes) that may be broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 500_000
 PRE_TOKENS = re.compile(r"[^\W\d_]+|[0-9]|(?:[^\w\s]|_)+")
