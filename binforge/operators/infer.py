@@ -7,13 +7,14 @@ import math
 from collections.abc import Callable, Sequence
 from functools import reduce
 
-import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, NumericType
 
 from binforge.functions import binning as B
 
+from .quantile import quantiles
+
 COUNTS = ("default", "sqrt", "sturges", "rice", "doane")
 
 
@@ -75,7 +76,7 @@ def infer_all(df: DataFrame, cols: Sequence[str], bins: Sequence, options: Seque
 
 def _needs(x: Column, bins, *, range=None, **_) -> dict[str, Column]:
     """The aggregates over the data that a binning is made of."""
-    named = isinstance(bins, str) and bins != "quantile" and bins not in REGISTRY
+    named = isinstance(bins, str) and bins not in ("quantile", "blocks") and bins not in REGISTRY
     if not named and not isinstance(bins, int):
         return {}
     if range:
@@ -91,6 +92,8 @@ def _needs(x: Column, bins, *, range=None, **_) -> dict[str, Column]:
 def _finish(d: DataFrame, col: str, bins, m: dict, *, range=None, bin_count: int | None = None, bin_width: float = 1.0, q=None, qrange=(0.0, 1.0), kind: str | None = None, min_bin_width: float | None = None, max_bin_width: float | None = None, align: bool = True, **more) -> B.Binning:
     if isinstance(bins, B.Binning):
         return bins
+    if bins == "blocks":
+        from . import blocks  # noqa: F401  registers itself
     if isinstance(bins, str) and bins in REGISTRY:
         given = dict(range=range, bin_count=bin_count, **more)
         return REGISTRY[bins](d, col, **{k: v for k, v in given.items() if v is not None})
@@ -137,58 +140,6 @@ def _finish(d: DataFrame, col: str, bins, m: dict, *, range=None, bin_count: int
     raise ValueError(f"unknown binning {bins}")
 
 
-#: Values that a bracket of a quantile may hold to be sorted at once.
-BRACKET = 100_000
-
-
-def quantiles(df: DataFrame, col: str, at: Sequence[float], bracket: int = BRACKET) -> list[float]:
-    """Exact quantiles with linear interpolation.
-
-    Each needed rank is put between two values by sketches, again and again until few values are
-    left between them; only those are brought together. Every pass is one aggregate job for all quantiles.
-    """
-    x = F.col(col).cast("double")
-    d = present(df, col).select(x.alias("x"))
-    row = d.agg(F.count("x").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).first()
-    n = row["n"]
-    if not n:
-        raise ValueError("quantiles of no values")
-    ranks = sorted({r for q in at for r in (math.floor(q * (n - 1)), math.ceil(q * (n - 1)))})
-    # for each rank: the bracket's ends, values below it, values in it
-    held = {r: (row["lo"], row["hi"], 0, n) for r in ranks}
-    value: dict[int, float] = {0: row["lo"], n - 1: row["hi"]}
-    while wide := [r for r in ranks if r not in value and held[r][3] > bracket]:
-        probes = []
-        for r in wide:
-            lo, hi, below, m = held[r]
-            f = [min(1.0, max(0.0, (r - below) / m + e)) for e in (-0.002, 0.002)]
-            probes.append(F.percentile_approx(F.when(F.col("x").between(lo, hi), F.col("x")), F.array(*map(F.lit, f)), 2000))
-        got = d.agg(*(p.alias(f"p{k}") for k, p in enumerate(probes))).first()
-        counts = [c for k in builtins.range(len(wide)) for c in (F.count_if(F.col("x") < got[k][0]), F.count_if(F.col("x") <= got[k][0]), F.count_if(F.col("x") < got[k][1]), F.count_if(F.col("x") <= got[k][1]))]
-        seen = d.agg(*(c.alias(f"c{k}") for k, c in enumerate(counts))).first()
-        for k, r in enumerate(wide):
-            (a, b), (lt_a, le_a, lt_b, le_b), (lo, hi, below, m) = got[k], seen[4 * k : 4 * k + 4], held[r]
-            if lt_a <= r < le_a:  # ties hold the rank
-                value[r] = a
-            elif lt_b <= r < le_b:
-                value[r] = b
-            elif le_a <= r < lt_b:  # strictly between
-                held[r] = (math.nextafter(a, math.inf), math.nextafter(b, -math.inf), le_a, lt_b - le_a)
-            elif r < lt_a:
-                held[r] = (lo, math.nextafter(a, -math.inf), below, lt_a - below)
-            else:
-                held[r] = (math.nextafter(b, math.inf), hi, le_b, below + m - le_b)
-    if few := [r for r in ranks if r not in value]:
-        lists = [F.get(F.array_sort(F.collect_list(F.when(F.col("x").between(*held[r][:2]), F.col("x")))), F.lit(r - held[r][2])).alias(f"v{k}") for k, r in enumerate(few)]
-        value |= dict(zip(few, d.agg(*lists).first()))
-    out = []
-    for q in at:
-        p = q * (n - 1)
-        a, b = value[math.floor(p)], value[math.ceil(p)]
-        out.append(a + (b - a) * (p - math.floor(p)))
-    return out
-
-
 def knuth_count(df: DataFrame, col: str, lo: float, hi: float, n: int) -> int:
     """The count of equal bins with the highest posterior by Knuth's rule.
 
@@ -234,40 +185,3 @@ def _posteriors(df: DataFrame, col: str, lo: float, hi: float, n: int, counts: l
         logs[r["m"]] += r["times"] * math.lgamma(r["count"] + 0.5)
         empty[r["m"]] += r["times"]
     return {m: logs[m] + (m - empty[m]) * math.lgamma(0.5) for m in counts}
-
-
-#: Distinct values from which Bayesian blocks are found; the search takes their square in steps.
-MOST_DISTINCT = 20_000
-
-
-@register_binning("blocks")
-def bayesian_blocks(df: DataFrame, col: str, range=None, p0: float = 0.05) -> B.Binning:
-    """Blocks of constant rate with the highest fitness (Scargle et al. 2013), for up to MOST_DISTINCT distinct values.
-
-    Spark counts the distinct values; the search over their counts is one of dynamic programming.
-    """
-    x = F.col(col).cast("double")
-    d = df.where(x.between(*map(float, range))) if range else df
-    rows = d.groupBy(x.alias("x")).count().orderBy("x").limit(MOST_DISTINCT + 1).collect()
-    if len(rows) > MOST_DISTINCT:
-        raise ValueError(f"Bayesian blocks are found from at most {MOST_DISTINCT} distinct values")
-    if len(rows) < 2:
-        raise ValueError("blocks need more than one value")
-    v, n = np.array([r["x"] for r in rows]), np.array([r["count"] for r in rows], float)
-    edges = np.r_[v[0], (v[1:] + v[:-1]) / 2, v[-1]]
-    prior = 4 - math.log(73.53 * p0 * n.sum() ** -0.478)
-    upto = np.cumsum(n)
-    best, last = np.zeros(len(v)), np.zeros(len(v), int)
-    for k in builtins.range(len(v)):
-        width = edges[k + 1] - edges[: k + 1]
-        count = upto[k] - np.r_[0, upto[:k]]
-        with np.errstate(divide="ignore"):
-            fit = count * (np.log(count) - np.log(width)) - prior
-        fit[1:] += best[:k]
-        last[k] = np.argmax(fit)
-        best[k] = fit[last[k]]
-    cuts, k = [len(v)], len(v)
-    while k:
-        k = int(last[k - 1])
-        cuts.append(k)
-    return B.from_edges(edges[cuts[::-1]])
