@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import bisect
 import math
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,6 +20,38 @@ from pyspark.sql import functions as F
 TREE = 256
 
 
+@dataclass(frozen=True, eq=False)
+class EqualBins(Sequence):
+    """n bins whose k-th edge is (first + k) * width + shift, but for the last one where `last` puts it right; none is held."""
+
+    first: float
+    width: float
+    shift: float
+    n: int
+    last: float
+
+    def __len__(self) -> int:
+        return self.n
+
+    def edge(self, k: int) -> float:
+        return self.last if k == self.n else (self.first + k) * self.width + self.shift
+
+    def __getitem__(self, k):
+        if isinstance(k, slice):
+            return tuple((self.edge(i), self.edge(i + 1)) for i in range(self.n)[k])
+        k = range(self.n)[k]
+        return self.edge(k), self.edge(k + 1)
+
+    def __iter__(self) -> Iterator[tuple[float, float]]:
+        return ((self.edge(k), self.edge(k + 1)) for k in range(self.n))
+
+    def __eq__(self, other) -> bool:
+        return len(self) == len(other) and all(a == b for a, b in zip(self, other))
+
+    def __hash__(self) -> int:
+        return hash((self.n, self.edge(0), self.last))
+
+
 @dataclass(frozen=True)
 class Binning:
     """Rising, non-overlapping bins.
@@ -27,14 +60,19 @@ class Binning:
     `bins` may have put right. Their index and edges are computed, so no list of them stands in a plan.
     """
 
-    bins: tuple[tuple[float, float], ...]
+    bins: Sequence[tuple[float, float]]  # a tuple, or EqualBins where a rule computes them
     closed: bool = True
     width: float | None = field(default=None, compare=False)  # of equal bins
     rule: tuple[float, float, float] | None = field(default=None, compare=False)
 
     def __post_init__(self):
-        if not self.bins:
+        if not len(self.bins):
             raise ValueError("a binning needs at least one bin")
+        if isinstance(self.bins, EqualBins):
+            ends = [self.bins[k] for k in (0, max(0, len(self.bins) - 2), len(self.bins) - 1)]  # the others are as wide as the first
+            if any(not a < b for a, b in ends):
+                raise ValueError("bins must rise and not overlap")
+            return
         if any(a >= b for a, b in self.bins) or any(x[1] > y[0] for x, y in zip(self.bins, self.bins[1:])):
             raise ValueError("bins must rise and not overlap")
 
@@ -64,11 +102,13 @@ class Binning:
 
     @property
     def consecutive(self) -> bool:
-        return all(x[1] == y[0] for x, y in zip(self.bins, self.bins[1:]))
+        return isinstance(self.bins, EqualBins) or all(x[1] == y[0] for x, y in zip(self.bins, self.bins[1:]))
 
     @property
     def regular(self) -> bool:
         """Whether all bins have the same width, up to rounding."""
+        if isinstance(self.bins, EqualBins):
+            return math.isclose(self.bins[-1][1] - self.bins[-1][0], self.bins.width, rel_tol=1e-9)
         w = [b - a for a, b in self.bins]
         return self.consecutive and all(math.isclose(x, w[0], rel_tol=1e-9) for x in w)
 
@@ -80,15 +120,17 @@ class Binning:
 
     @property
     def total_width(self) -> float:
-        return sum(b - a for a, b in self.bins)
+        return self.bins[-1][1] - self.bins[0][0] if isinstance(self.bins, EqualBins) else sum(b - a for a, b in self.bins)
 
     def same(self, other: Binning) -> bool:
         """Whether the edges are equal, up to rounding."""
         near = lambda x, y: abs(x - y) <= 1e-8 + 1e-5 * abs(y)
+        if self.rule and self.rule == other.rule and len(self.bins) == len(other.bins):
+            return near(self.bins[-1][1], other.bins[-1][1])
         return len(self.bins) == len(other.bins) and all(near(a, c) and near(b, d) for (a, b), (c, d) in zip(self.bins, other.bins))
 
     def as_static(self) -> Binning:
-        return Binning(self.bins, self.closed)
+        return Binning(tuple(self.bins), self.closed)
 
     def as_fixed_width(self) -> Binning:
         """As bins of one width, whose index is computed; ValueError where widths differ."""
@@ -105,7 +147,7 @@ class Binning:
             raise ValueError(f"a number is needed, not {x!r}")
         if math.isnan(x):
             return None
-        k = bisect.bisect_right(self.bins, (x, math.inf)) - 1
+        k = bisect.bisect_right(self.bins, x, key=lambda b: b[0]) - 1
         if k < 0:
             return -1
         if x < self.bins[k][1]:
@@ -114,6 +156,18 @@ class Binning:
             return k if x == self.bins[k][1] else len(self.bins)
         return None
 
+    def to_dict(self) -> dict:
+        """What makes the binning; edges only where no rule computes them."""
+        own = {"count": len(self.bins), "last": self.bins[-1][1]} if isinstance(self.bins, EqualBins) else {"bins": [list(b) for b in self.bins]}
+        return own | {"closed": self.closed, "width": self.width, "rule": list(self.rule) if self.rule else None}
+
+    @staticmethod
+    def from_dict(d: dict) -> Binning:
+        rule = tuple(map(float, d["rule"])) if d.get("rule") else None
+        if "count" in d:
+            return equal_bins(*rule, d["count"], d["closed"], d["last"])
+        return Binning(tuple((float(x), float(y)) for x, y in d["bins"]), d["closed"], d["width"], rule)
+
     def edge(self, k: Column) -> Column:
         """The k-th edge of bins with a rule."""
         first, width, shift = self.rule
@@ -166,6 +220,12 @@ def _bisect(x: Column, lefts: list[float]) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(len(lefts).bit_length() + 1)), start, step, lambda s: s["lo"])
 
 
+def equal_bins(first: float, width: float, shift: float, n: int, closed: bool, last: float | None = None) -> Binning:
+    """n bins by a rule; last: the right edge of the last one, where it is not to be computed."""
+    rule = (float(first), float(width), float(shift))
+    return Binning(EqualBins(*rule, n, float(last) if last is not None else (rule[0] + n) * rule[1] + rule[2]), closed, float(width), rule)
+
+
 def from_edges(edges, closed: bool = True, width: float | None = None, rule: tuple[float, float, float] | None = None) -> Binning:
     edges = [float(e) for e in edges]
     return Binning(tuple(zip(edges, edges[1:])), closed, width, rule)
@@ -192,7 +252,7 @@ def equal_width(lo: float, hi: float, n: int) -> Binning:
     if not (math.isfinite(lo) and math.isfinite(hi) and math.isfinite(hi - lo)) or lo >= hi:
         raise ValueError("equal bins need a finite range of more than one value")
     step = (hi - lo) / _checked(n)
-    return from_edges([i * step + lo for i in range(n)] + [hi], width=step, rule=(0.0, step, lo))
+    return equal_bins(0.0, step, lo, n, True, hi)
 
 
 def fixed_width(lo: float, hi: float, width: float, align: bool = True, shift: float = 0.0, closed: bool = False) -> Binning:
@@ -204,11 +264,11 @@ def fixed_width(lo: float, hi: float, width: float, align: bool = True, shift: f
     if not align:  # bins from lo itself
         n = max(1, math.ceil((hi - lo) / width))
         n += not closed and lo + n * width <= hi
-        return from_edges([i * width + lo for i in range(n + 1)], closed, width, (0.0, width, lo))
+        return equal_bins(0.0, width, lo, n, closed)
     n = max(0, math.ceil((hi - (first * width + shift)) / width))
     if n == 0 or (not closed and (first + n) * width + shift == hi):
         n += 1
-    return from_edges([(first + i) * width + shift for i in range(n + 1)], closed, width, (float(first), width, shift))
+    return equal_bins(first, width, shift, n, closed)
 
 
 def pretty_width(raw: float) -> float:
@@ -237,20 +297,24 @@ def exponential(lo: float, hi: float, n: int) -> Binning:
     return from_edges([lo] + [10 ** (a + i * step) for i in range(1, n)] + [hi])
 
 
-def ideal_bin_count(n: int, method: str = "default", skew: float = 0.0) -> int:
-    if n < 1:
+def _doane(n: int, skew: float) -> int:
+    if n < 3:
         return 1
-    if method == "default":
-        return 7 if n <= 32 else ideal_bin_count(n, "sturges")
-    if method == "sqrt":
-        return math.ceil(math.sqrt(n))
-    if method == "sturges":
-        return math.ceil(math.log2(n)) + 1
-    if method == "rice":
-        return math.ceil(2 * n ** (1 / 3))
-    if method == "doane":
-        if n < 3:
-            return 1
-        sigma = math.sqrt(6 * (n - 2) / (n + 1) * (n + 3))  # not the textbook's: results must be those that users have
-        return math.ceil(1 + math.log2(n) + math.log2(1 + abs(skew) / sigma))
-    raise ValueError(f"unknown method {method}")
+    sigma = math.sqrt(6 * (n - 2) / (n + 1) * (n + 3))  # not the textbook's: results must be those that users have
+    return math.ceil(1 + math.log2(n) + math.log2(1 + abs(skew) / sigma))
+
+
+#: Numbers of bins by rule, of n values and their skew.
+BIN_COUNTS = {
+    "sqrt": lambda n, _: math.ceil(math.sqrt(n)),
+    "sturges": lambda n, _: math.ceil(math.log2(n)) + 1,
+    "rice": lambda n, _: math.ceil(2 * n ** (1 / 3)),
+    "doane": _doane,
+    "default": lambda n, _: 7 if n <= 32 else BIN_COUNTS["sturges"](n, 0.0),
+}
+
+
+def ideal_bin_count(n: int, method: str = "default", skew: float = 0.0) -> int:
+    if method not in BIN_COUNTS:
+        raise ValueError(f"unknown method {method}")
+    return BIN_COUNTS[method](n, skew) if n >= 1 else 1

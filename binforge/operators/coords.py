@@ -3,6 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Mapping
+from dataclasses import dataclass, field
+from functools import reduce
+from operator import mul
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -93,26 +97,76 @@ def cylindrical_surface(df: DataFrame, x: str, y: str, z: str, phi_bins=16, z_bi
     return h(d, ["phi", "z"], [_even(phi_bins, phi_range), z_bins], **how).withColumn("size", _width(0) * _width(1) * cylinder)
 
 
-# --- the same by name of the kind, for histograms as objects --------------------------------------
+# --- coordinate systems by name, for histograms as objects ------------------------------------------
 FULL_RANGES = {"phi": FULL, "theta": (0.0, math.pi)}
-_COORDINATES = {
+_COLUMNS = {
     "r": lambda x, y, *z: radius(x, y, *z), "rho": lambda x, y, *z: F.hypot(x, y), "phi": lambda x, y, *z: azimuth(x, y),
     "theta": inclination, "z": lambda x, y, z: z,
 }
-_POINT = {
+_POINTS = {
     "r": lambda *p: math.hypot(*p), "rho": lambda x, y, *z: math.hypot(x, y), "phi": lambda x, y, *z: math.atan2(y, x) % (2 * math.pi),
     "theta": lambda x, y, z: math.atan2(math.hypot(x, y), z), "z": lambda x, y, z: z,
 }
-AXES = {
-    "polar": ("r", "phi"), "radial": ("r",), "azimuthal": ("phi",), "spherical": ("r", "theta", "phi"),
-    "spherical_surface": ("theta", "phi"), "cylindrical": ("rho", "phi", "z"), "cylindrical_surface": ("phi", "z"),
-}
-#: How many coordinates a kind is made from; radial takes two or three.
-_FROM = {"polar": (2,), "radial": (2, 3), "azimuthal": (2, 3), "spherical": (3,), "spherical_surface": (3,), "cylindrical": (3,), "cylindrical_surface": (3,)}
+
+
+@dataclass(frozen=True)
+class Coordinates:
+    """A coordinate system: its axes, each made from `sources` (a number, or several allowed) cartesian coordinates.
+
+    columns, points: for each axis, a function of the source columns that gives a column, and of numbers that
+    gives a number. size: of the bins, a column over leftI and rightI, from a radius. ranges: of axes that have a
+    full one. projections: the system that some of the axes make up.
+    """
+
+    axes: tuple[str, ...]
+    sources: tuple[int, ...]
+    columns: Mapping[str, Callable[..., Column]]
+    points: Mapping[str, Callable[..., float]]
+    size: Callable[[float], Column] | None = None
+    ranges: Mapping[str, tuple[float, float]] = field(default_factory=dict)
+    projections: Mapping[tuple[str, ...], str] = field(default_factory=dict)
+
+    def __post_init__(self):
+        if not self.axes or len(set(self.axes)) < len(self.axes) or not self.sources:
+            raise ValueError("a coordinate system has axes of different names and a number of sources")
+        if missing := [a for a in self.axes if a not in self.columns or a not in self.points]:
+            raise ValueError(f"no function for the axes {', '.join(missing)}")
+        if any(a not in self.axes for kept in [*self.projections, self.ranges] for a in kept):
+            raise ValueError("ranges and projections are of the system's axes")
+
+
+SYSTEMS: dict[str, Coordinates] = {}
+
+
+def register_coordinates(name: str, system: Coordinates) -> Coordinates:
+    """Makes a system known as a kind of histogram, in place of one of that name."""
+    SYSTEMS[name] = system
+    return system
+
+
+def _own(name: str, axes: tuple[str, ...], sources: tuple[int, ...], size: Callable[[float], Column], **projections: tuple[str, ...]) -> None:
+    ranges = {a: FULL_RANGES[a] for a in axes if a in FULL_RANGES}
+    register_coordinates(name, Coordinates(axes, sources, {a: _COLUMNS[a] for a in axes}, {a: _POINTS[a] for a in axes}, size, ranges, {v: k for k, v in projections.items()}))
+
+
+_own("radial", ("r",), (2, 3), lambda _: math.pi * (F.col("right0") ** 2 - F.col("left0") ** 2))
+_own("azimuthal", ("phi",), (2, 3), lambda _: _width(0))
+_own("polar", ("r", "phi"), (2,), lambda _: _powers(0, 2) * _width(1), radial=("r",), azimuthal=("phi",))
+_own("spherical", ("r", "theta", "phi"), (3,), lambda _: _powers(0, 3) * _cap(1) * _width(2), radial=("r",), spherical_surface=("theta", "phi"))
+_own("spherical_surface", ("theta", "phi"), (3,), lambda r: _cap(0) * _width(1) * r**2)
+_own("cylindrical", ("rho", "phi", "z"), (3,), lambda _: _powers(0, 2) * _width(1) * _width(2), radial=("rho",), azimuthal=("phi",), polar=("rho", "phi"), cylindrical_surface=("phi", "z"))
+_own("cylindrical_surface", ("phi", "z"), (3,), lambda r: _width(0) * _width(1) * r, azimuthal=("phi",))
+
+
+def system(kind: str) -> Coordinates:
+    if kind not in SYSTEMS:
+        raise ValueError(f"unknown kind {kind}")
+    return SYSTEMS[kind]
 
 
 def usual_bins(kind: str) -> list[int]:
-    return [16 if a in FULL_RANGES else 10 for a in AXES[kind]]
+    own = system(kind)
+    return [16 if a in own.ranges else 10 for a in own.axes]
 
 
 def even(bins, range_: tuple[float, float] | None):
@@ -120,34 +174,36 @@ def even(bins, range_: tuple[float, float] | None):
     return equal_width(*range_, bins) if isinstance(bins, int) and range_ else bins
 
 
-def _known(kind: str, n: int, transformed: bool) -> tuple[str, ...]:
-    if kind not in AXES:
-        raise ValueError(f"unknown kind {kind}")
-    if n not in ((len(AXES[kind]),) if transformed else _FROM[kind]):
+def _known(kind: str, n: int, transformed: bool) -> Coordinates:
+    own = system(kind)
+    if n not in ((len(own.axes),) if transformed else own.sources):
         raise ValueError(f"{kind} isn't made from {n} coordinates")
-    return AXES[kind]
+    return own
 
 
 def transformed(df: DataFrame, kind: str, cols, already: bool, keep: list[str]) -> tuple[DataFrame, tuple[str, ...]]:
     """Columns of the kind's axes, and their names."""
-    axes = _known(kind, len(cols), already)
+    own = _known(kind, len(cols), already)
     xs = [F.col(c).cast("double") for c in cols]
-    made = xs if already else [_COORDINATES[a](*xs) for a in axes]
-    return df.select(*(x.alias(a) for a, x in zip(axes, made)), *keep), axes
+    made = xs if already else [own.columns[a](*xs) for a in own.axes]
+    return df.select(*(x.alias(a) for a, x in zip(own.axes, made)), *keep), own.axes
 
 
 def point(kind: str, value) -> tuple[float, ...]:
     """One point's coordinates."""
-    return tuple(_POINT[a](*value) for a in _known(kind, len(value), False))
+    own = _known(kind, len(value), False)
+    return tuple(own.points[a](*value) for a in own.axes)
+
+
+def projected(kind: str | None, axes: tuple[str, ...]) -> str | None:
+    """The kind that the kept axes make up, if any."""
+    return system(kind).projections.get(axes) if kind else None
 
 
 def size_of(kind: str, r: float = 1.0) -> Column:
-    """Sizes of bins, from the columns leftI and rightI."""
-    return {
-        "polar": lambda: _powers(0, 2) * _width(1), "radial": lambda: math.pi * (F.col("right0") ** 2 - F.col("left0") ** 2), "azimuthal": lambda: _width(0),
-        "spherical": lambda: _powers(0, 3) * _cap(1) * _width(2), "spherical_surface": lambda: _cap(0) * _width(1) * r**2,
-        "cylindrical": lambda: _powers(0, 2) * _width(1) * _width(2), "cylindrical_surface": lambda: _width(0) * _width(1) * r,
-    }[kind]()
+    """Sizes of bins, from the columns leftI and rightI: those of a system without sizes are products of widths."""
+    own = system(kind)
+    return own.size(r) if own.size else reduce(mul, map(_width, range(len(own.axes))))
 
 
 def _kept(how: dict) -> list[str]:

@@ -12,6 +12,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from binforge.functions import meta
+from binforge.functions.binning import MOST_BINS
+
+from . import arithmetic
 from .infer import infer, infer_all, numeric, present, quantiles, without_missing
 
 
@@ -40,7 +44,7 @@ def h1(df: DataFrame, col: str, bins=10, *, weights: str | None = None, dropna:
     b = infer(df, col, bins, **how)
     got = counted(df, col, b, weights)
     full = b.grid(df.sparkSession).join(F.broadcast(got) if len(b) <= BROADCAST_BINS else got, "bin", "left")
-    return full.select("bin", "left", "right", *_filled(full, got, ["bin"]))
+    return meta.described(full.select("bin", "left", "right", *_filled(full, got, ["bin"])), [meta.of_binning(b, col)])
 
 
 #: What was counted is sent to all tasks up to so many bins; more are joined by a shuffle.
@@ -89,13 +93,14 @@ def per_axis(value, n: int, what: str) -> list:
     return value
 
 
-def h(df: DataFrame, cols: Sequence[str], bins=10, *, weights: str | None = None, dropna: bool = True, **how) -> DataFrame:
-    """N-D: binI, leftI, rightI for each axis I, frequency, error2.
+def h(df: DataFrame, cols: Sequence[str], bins=10, *, weights: str | None = None, dropna: bool = True, dense: bool = True, **how) -> DataFrame:
+    """N-D: binI, leftI, rightI for each axis I, frequency, error2; with dense off, of occupied bins only.
 
     A list as long as there are axes has the bins of each, or an option's value for each; another list of numbers is the edges of all.
     """
     axes, got = counted_nd(df, cols, bins, weights=weights, dropna=dropna, **how)
-    return densified(df.sparkSession, axes, got)
+    full = densified(df.sparkSession, axes, got) if dense else _edged(df.sparkSession, axes, got)
+    return meta.described(full, [meta.of_binning(a, c) for a, c in zip(axes, cols)])
 
 
 def counted_nd(df: DataFrame, cols: Sequence[str], bins=10, *, weights: str | None = None, dropna: bool = True, more: Sequence[Column] = (), **how) -> tuple[list, DataFrame]:
@@ -105,8 +110,8 @@ def counted_nd(df: DataFrame, cols: Sequence[str], bins=10, *, weights: str | No
         raise ValueError("at least one column is needed")
     numeric(df, *cols, *([weights] if weights else []))
     df, n = without_missing(df, cols, dropna), len(cols)
-    if isinstance(bins, list) and len(bins) != n and all(isinstance(x, (int, float)) for x in bins):
-        bins = [bins] * n  # edges of all axes
+    if isinstance(bins, list) and len(bins) != n and all(isinstance(x, (int, float)) or (isinstance(x, tuple) and len(x) == 2) for x in bins):
+        bins = [bins] * n  # edges, or pairs of them, of all axes
     options = {k: per_axis(v, n, k) for k, v in how.items()}
     axes = infer_all(df, cols, per_axis(bins, n, "bins"), [{k: v[i] for k, v in options.items() if v[i] is not None} for i in range(n)])
     # no filter on the indices: it would be pushed below and every index be computed twice
@@ -114,20 +119,34 @@ def counted_nd(df: DataFrame, cols: Sequence[str], bins=10, *, weights: str | No
     return axes, df.groupBy(*keys).agg(*_sums(weights), *more)
 
 
+def _with_edges(spark, axes: Sequence, rows: DataFrame) -> DataFrame:
+    """rows of bin0, bin1, ... with leftI, rightI."""
+    for i, a in enumerate(axes):
+        if a.rule:
+            rows = rows.withColumns({f"left{i}": a.edge(F.col(f"bin{i}")), f"right{i}": a.edge(F.col(f"bin{i}") + 1)})
+        else:
+            rows = rows.join(F.broadcast(a.grid(spark, str(i))), f"bin{i}")  # uneven bins are listed by the driver
+    return rows
+
+
+def _edged(spark, axes: Sequence, got: DataFrame) -> DataFrame:
+    """The occupied bins of the axes with their edges."""
+    for i, a in enumerate(axes):
+        got = got.where(F.col(f"bin{i}").between(0, len(a) - 1))
+    return _with_edges(spark, axes, got).select(*(f"{k}{i}" for i in range(len(axes)) for k in ("bin", "left", "right")), "frequency", "error2")
+
+
 def densified(spark, axes: Sequence, got: DataFrame) -> DataFrame:
-    """All bins of the axes with what was counted in them."""
+    """All bins of the axes with what was counted in them; ValueError for more than MOST_BINS."""
     size = reduce(lambda p, a: p * len(a.bins), axes, 1)
+    if size > MOST_BINS:
+        raise ValueError(f"{size} bins are too many: more than {MOST_BINS}; with dense=False only occupied ones are made")
     # the grid of bins, a product of the axes and not of rows, made by the executors
     rows, step = spark.range(size), 1
     for i in reversed(range(len(axes))):
         rows = rows.withColumn(f"bin{i}", F.floor(F.col("id") / step).cast("long") % len(axes[i].bins))
         step *= len(axes[i].bins)
-    rows = rows.drop("id")
-    for i, a in enumerate(axes):
-        if a.rule:
-            rows = rows.withColumns({f"left{i}": a.edge(F.col(f"bin{i}")), f"right{i}": a.edge(F.col(f"bin{i}") + 1)})
-        else:
-            rows = rows.join(F.broadcast(a.grid(spark, str(i))), f"bin{i}")  # uneven bins are listed by the driver
+    rows = _with_edges(spark, axes, rows.drop("id"))
     names = [f"bin{i}" for i in range(len(axes))]
     rows = rows.join(F.broadcast(got) if size <= BROADCAST_BINS else got, names, "left")
     return rows.select(*(f"{k}{i}" for i in range(len(axes)) for k in ("bin", "left", "right")), *_filled(rows, got, names))
@@ -159,8 +178,33 @@ def collection(df: DataFrame, name: str, col: str, bins=10, *, weights: str | No
 
 
 # --- on histograms; bins are few, so windows here are over a small table ---------------
+#: Bins up to which running sums are taken in one task; of more, by ranges of so many.
+RUNNING_BINS = 1_000_000
+
+
+def running(hist: DataFrame, value: Column, by: Sequence[str] = (), bin: str = "bin", n: int | None = None) -> Column | tuple[DataFrame, Column]:
+    """hist and a column of the running sums of value along bins (within `by`).
+
+    Where the axis is known to have more than RUNNING_BINS bins, each range of that many is summed on its own, after the totals of the ranges before.
+    """
+    along = lambda keys: Window.partitionBy(*keys).orderBy(bin).rowsBetween(Window.unboundedPreceding, 0)
+    if not n or n <= RUNNING_BINS:
+        return hist, F.sum(value).over(along(by))
+    ranged = hist.withColumn("_range", F.floor(F.col(bin) / RUNNING_BINS)).withColumn("_value", value)
+    totals = ranged.groupBy("_range", *by).agg(F.sum("_value").alias("_total"))
+    earlier = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select("_range", *by, F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_before"))
+    return ranged.join(totals, ["_range", *by]), F.col("_before") + F.sum("_value").over(along(["_range", *by]))
+
+
+def _known_bins(hist: DataFrame, axis: int = 0) -> int | None:
+    told = meta.axes_of(hist)[axis]
+    return told.get("n") if told else None
+
+
 def cumulative(hist: DataFrame) -> DataFrame:
-    return hist.withColumn("cumulative", F.sum("frequency").over(Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)))
+    rows, total = running(hist, F.col("frequency"), n=_known_bins(hist))
+    return rows.select(*hist.columns, total.alias("cumulative"))
 
 
 def normalize(hist: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -210,42 +254,93 @@ def projection(hist: DataFrame, *axes: int) -> DataFrame:
     return hist.groupBy(*keys).agg(F.sum("frequency").alias("frequency"), F.sum("error2").alias("error2"))
 
 
-def add(a: DataFrame, b: DataFrame, sign: int = 1) -> DataFrame:
-    """a + b, or a - b where sign is -1; errors add up either way.
+def add(a: DataFrame, b: DataFrame, sign: int = 1, dense: bool | None = None) -> DataFrame:
+    """a + b, or a - b where sign is -1, of tables with the same number of axes; errors add up either way.
 
-    Bins must be the same, or lie on one grid of equal widths and offset, along which the result grows; else ValueError.
+    On each axis bins must be the same, or lie on one grid of equal widths and offset, along which the result grows; else ValueError.
+    dense: whether the bins that lie between the two are made, which is usual in N-D; in 1-D without, bins are numbered as they are.
+    A negative frequency fails the job, unless arithmetic is free.
     """
-    _same_grid(a, b)
-    both = a.unionByName(b.withColumn("frequency", F.col("frequency") * sign))
-    w = Window.orderBy("left")
-    # edges that differ by rounding only are one bin
-    near = F.coalesce(F.abs(F.col("left") - F.lag("left").over(w)) <= 1e-8 + 1e-5 * F.abs(F.col("right") - F.col("left")), F.lit(False))
-    both = both.withColumn("bin", F.sum(F.when(near, 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, 0)) - 1)
-    got = both.groupBy("bin").agg(F.min("left").alias("left"), F.max("right").alias("right"), F.sum("frequency").alias("frequency"), F.sum("error2").alias("error2"))
-    return got.select(F.col("bin").cast("long").alias("bin"), "left", "right", "frequency", "error2")
-
-
-def _same_grid(a: DataFrame, b: DataFrame) -> None:
-    """ValueError unless the bins are the same or multiples of one width from one offset."""
-    tolerance = 1e-8
-    width = F.col("right") - F.col("left")
-    facts = [x.agg(F.min(width).alias("w0"), F.max(width).alias("w1"), F.min("left").alias("lo"), F.max("right").alias("hi"), F.count("*").alias("n")).first() for x in (a, b)]
+    axes = meta.suffixes(a)
+    if axes != meta.suffixes(b):
+        raise ValueError("the histograms have different numbers of axes")
+    facts = [_facts(x, axes) for x in (a, b)]
     if not all(f["n"] for f in facts):
-        return
-    near = lambda x, y, by: abs(x - y) <= tolerance + 1e-5 * by
-    p, q = facts
-    w = p["w0"]
-    if near(w, p["w1"], w) and near(w, q["w0"], w) and near(w, q["w1"], w):
-        off = (q["lo"] - p["lo"]) / w
+        grids = [None] * len(axes)  # one of them is empty
+    else:
+        grids = [_common_grid(a, b, s, *facts) for s in axes]
+    keyed = [_on_grid(x, axes, grids) for x in (a, b.withColumn("frequency", F.col("frequency") * sign))]
+    bins = [f"bin{s}" for s in axes]
+    edges = [f(f"{e}{s}").alias(f"{e}{s}") for s in axes for e, f in (("left", F.min), ("right", F.max))]
+    got = keyed[0].unionByName(keyed[1]).groupBy(*bins).agg(*edges, F.sum("frequency").alias("frequency"), F.sum("error2").alias("error2"))
+    if sign < 0 and not arithmetic.is_free():
+        refused = F.raise_error(F.lit("frequencies would be negative")).cast(got.schema["frequency"].dataType)
+        got = got.withColumn("frequency", F.when(F.col("frequency") < 0, refused).otherwise(F.col("frequency")))
+    if any(g and g["grown"] for g in grids):
+        if len(axes) > 1 if dense is None else dense:
+            got = _filled_between(got, axes, grids)
+        elif len(axes) == 1:
+            got = got.withColumn("bin", F.row_number().over(Window.orderBy("bin")) - 1)
+    return got.select(*(F.col(f"{k}{s}").cast("long" if k == "bin" else "double").alias(f"{k}{s}") for s in axes for k in ("bin", "left", "right")), "frequency", "error2")
+
+
+def _facts(hist: DataFrame, axes: list[str]):
+    """One row: of each axis the least and greatest width, the ends and the last bin; n, the number of rows."""
+    each = []
+    for s in axes:
+        width = F.col(f"right{s}") - F.col(f"left{s}")
+        each += [F.min(width).alias(f"w{s}"), F.max(width).alias(f"v{s}"), F.min(f"left{s}").alias(f"lo{s}"), F.max(f"right{s}").alias(f"hi{s}"), F.max(f"bin{s}").alias(f"k{s}")]
+    return hist.agg(*each, F.count(F.lit(1)).alias("n")).first()
+
+
+def _common_grid(a: DataFrame, b: DataFrame, s: str, p, q) -> dict:
+    """The grid of one width w that both tables' bins of an axis lie on; without w where uneven bins are the same, ValueError otherwise."""
+    near = lambda x, y, by: abs(x - y) <= 1e-8 + 1e-5 * abs(by)
+    w = p[f"w{s}"]
+    if all(near(w, f[f"{k}{s}"], w) for f in (p, q) for k in "wv"):
+        off = (q[f"lo{s}"] - p[f"lo{s}"]) / w
         if abs(off - round(off)) <= 1e-6:
-            return
-    elif p["n"] == q["n"]:
+            lo, hi = min(p[f"lo{s}"], q[f"lo{s}"]), max(p[f"hi{s}"], q[f"hi{s}"])
+            grown = not (near(p[f"lo{s}"], q[f"lo{s}"], w) and near(p[f"hi{s}"], q[f"hi{s}"], w))
+            return {"w": w, "lo": lo, "n": round((hi - lo) / w), "grown": grown}
+    elif p[f"k{s}"] == q[f"k{s}"]:
         from .shape import same_bins
 
-        if same_bins(a, b):
-            return
+        if same_bins(*(x.select(*(F.col(f"{k}{s}").alias(k) for k in ("bin", "left", "right"))).distinct() for x in (a, b))):
+            return {"w": None, "n": p[f"k{s}"] + 1, "grown": False}
     raise ValueError("the bins of the histograms are not compatible")
 
 
+def _on_grid(hist: DataFrame, axes: list[str], grids: list[dict | None]) -> DataFrame:
+    """hist with the bins' numbers on the common grids."""
+    for s, g in zip(axes, grids):
+        if g and g["w"]:
+            hist = hist.withColumn(f"bin{s}", F.round((F.col(f"left{s}") - g["lo"]) / g["w"]).cast("long"))
+    return hist
+
+
+def _filled_between(got: DataFrame, axes: list[str], grids: list[dict | None]) -> DataFrame:
+    """got with the bins of all axes that nothing was counted in."""
+    size = reduce(lambda p, g: p * g["n"], grids, 1)
+    if size > MOST_BINS:
+        raise ValueError(f"{size} bins are too many: more than {MOST_BINS}")
+    rows, step = got.sparkSession.range(size), 1
+    for s, g in zip(axes, grids):
+        rows = rows.withColumn(f"bin{s}", F.floor(F.col("id") / step).cast("long") % g["n"])
+        step *= g["n"]
+    for s, g in zip(axes, grids):
+        left = F.col(f"bin{s}") * F.lit(g["w"] or 0.0) + F.lit(g.get("lo", 0.0))
+        if g["w"]:
+            rows = rows.withColumns({f"_left{s}": left, f"_right{s}": left + F.lit(g["w"])})
+        else:
+            own = got.groupBy(f"bin{s}").agg(F.min(f"left{s}").alias(f"_left{s}"), F.max(f"right{s}").alias(f"_right{s}"))
+            rows = rows.join(own, f"bin{s}")
+    full = rows.drop("id").join(got, [f"bin{s}" for s in axes], "left")
+    edges = [F.coalesce(f"{e}{s}", f"_{e}{s}").alias(f"{e}{s}") for s in axes for e in ("left", "right")]
+    return full.select(*(f"bin{s}" for s in axes), *edges, *_filled(full, got, []))
+
+
 def scale(hist: DataFrame, by: float) -> DataFrame:
+    if by < 0 and not arithmetic.is_free():
+        raise ValueError("frequencies would be negative")
     return hist.withColumn("frequency", F.col("frequency") * by).withColumn("error2", F.col("error2") * by * by)

@@ -18,19 +18,12 @@ from pyspark.sql import functions as F
 
 from binforge.functions import binning as B
 
-from . import coords
+from . import arithmetic, coords
 from .hist import counted_nd, densified, quantiles
+from .infer import numeric, without_missing
 
 #: Occupied bins that may be brought to the driver.
 MOST_ROWS = 5_000_000
-#: The kind that a projection of a special histogram is, by the axes kept.
-PROJECTED = {
-    ("polar", ("r",)): "radial", ("polar", ("phi",)): "azimuthal", ("spherical", ("theta", "phi")): "spherical_surface",
-    ("spherical", ("r",)): "radial", ("cylindrical", ("rho", "phi")): "polar", ("cylindrical", ("rho",)): "radial",
-    ("cylindrical", ("phi",)): "azimuthal", ("cylindrical", ("phi", "z")): "cylindrical_surface",
-}
-
-
 @dataclass(frozen=True)
 class Statistics:
     """Sums over all values, whether a bin holds them or not; the median is lost by merging."""
@@ -79,8 +72,13 @@ class Histogram:
     keep_missed: bool = True
     whole: bool = True  # frequencies are whole numbers
     adaptive: bool = False
-    kind: str | None = None  # of coords.AXES
+    kind: str | None = None  # of coords.SYSTEMS
     radius: float = 1.0  # of surfaces
+    meta: dict = field(default_factory=dict)  # whatever else is to be known, as JSON has it
+
+    def __post_init__(self):
+        if not arithmetic.is_free() and any(f < 0 for k, (f, _) in self.cells.items() if self._inside(k)):
+            raise ValueError("frequencies would be negative")
 
     # --- made from data -----------------------------------------------------------------------
     @staticmethod
@@ -122,12 +120,12 @@ class Histogram:
 
     @staticmethod
     def special(df: DataFrame, kind: str, *cols: str, bins: Sequence | None = None, ranges: Sequence | None = None, transformed: bool = False, radius: float = 1.0, **how) -> Histogram:
-        """Of a kind of coords.AXES: the columns' coordinates are transformed, unless they are already."""
+        """Of a kind of coords.SYSTEMS: the columns' coordinates are transformed, unless they are already."""
         d, at = coords.transformed(df, kind, cols, transformed, [how["weights"]] if how.get("weights") else [])
         usual = coords.usual_bins(kind)
         bins = [usual[k] if b is None else b for k, b in enumerate(bins or [None] * len(at))]
         ranges = list(ranges or [None] * len(at))
-        bins = [coords.even(b, r or coords.FULL_RANGES.get(a)) for a, b, r in zip(at, bins, ranges)]
+        bins = [coords.even(b, r or coords.system(kind).ranges.get(a)) for a, b, r in zip(at, bins, ranges)]
         return replace(Histogram.of(d, *at, bins=bins, **how), kind=kind, radius=radius, stats=INVALID)
 
     # --- what it is ------------------------------------------------------------------------------
@@ -288,12 +286,13 @@ class Histogram:
         for key, c in self.cells.items():
             if self._inside(key):
                 _add(cells, tuple(key[i] for i in keep), c)
-        kept = tuple(coords.AXES[self.kind][i] for i in keep) if self.kind else ()
-        return self._without([i for i in range(self.ndim) if i not in keep], cells, PROJECTED.get((self.kind, kept)))
+        kept = tuple(coords.system(self.kind).axes[i] for i in keep) if self.kind else ()
+        out = self._without([i for i in range(self.ndim) if i not in keep], cells, coords.projected(self.kind, kept))
+        return replace(out, radius=self.axes[0].bins[-1][1]) if (self.kind, out.kind) == ("cylindrical", "cylindrical_surface") else out
 
     def _without(self, axes: list[int], cells: dict, kind: str | None) -> Histogram:
         kept = [i for i in range(self.ndim) if i not in axes]
-        kind = kind if kind and len(coords.AXES[kind]) == len(kept) else None
+        kind = kind if kind and len(coords.system(kind).axes) == len(kept) else None
         return replace(self, axes=tuple(self.axes[i] for i in kept), cells=cells, axis_names=tuple(self.axis_names[i] for i in kept), stats=INVALID, kind=kind)
 
     def transpose(self) -> Histogram:
@@ -349,16 +348,22 @@ class Histogram:
         return self._combined(other, 1)
 
     def __radd__(self, other) -> Histogram:
-        return self if other == 0 else NotImplemented  # sum() begins with 0
+        if isinstance(other, (int, float)) and other == 0:  # sum() begins with 0
+            return self
+        return self._combined(other, 1)
+
+    __array_ufunc__ = None  # numpy leaves array + histogram to the histogram
 
     def __sub__(self, other: Histogram) -> Histogram:
         return self._combined(other, -1)
 
     def _combined(self, other, sign: int) -> Histogram:
         if not isinstance(other, Histogram):
-            raise TypeError("only a histogram can be added to a histogram")
+            return self._with_array(other, lambda f, x: f + sign * x, lambda e, x: e + abs(x), "added to")
         if self.ndim != other.ndim:
             raise ValueError("the histograms have different numbers of axes")
+        if self.kind != other.kind or (self.kind and not math.isclose(self.radius, other.radius)):
+            raise ValueError(f"histograms of different coordinates: {self.kind or 'plain'} and {other.kind or 'plain'}, radius {self.radius} and {other.radius}")
         a, b = self, other
         if not all(x.same(y) for x, y in zip(a.axes, b.axes)):
             a, b = a._aligned(b), b._aligned(a)
@@ -366,12 +371,26 @@ class Histogram:
         for k, (f, e) in b.cells.items():
             g, d = cells.get(k, (0, 0))
             cells[k] = (g + sign * f, d + e)
-        if any(f < 0 for k, (f, _) in cells.items() if a._inside(k)):
-            raise ValueError("frequencies would be negative")
         both = lambda x, y: x if x == y else None
         names = tuple(both(x, y) or f"axis{i}" for i, (x, y) in enumerate(zip(a.axis_names, b.axis_names)))
         stats = a.stats + b.stats if sign == 1 else INVALID
-        return replace(a, cells=cells, axis_names=names, name=both(a.name, b.name), title=both(a.title, b.title), stats=stats, whole=a.whole and b.whole, keep_missed=a.keep_missed and b.keep_missed)
+        meta = {k: both(a.meta.get(k), b.meta.get(k)) for k in a.meta.keys() | b.meta.keys()}
+        return replace(a, cells=cells, axis_names=names, name=both(a.name, b.name), title=both(a.title, b.title), stats=stats, whole=a.whole and b.whole, keep_missed=a.keep_missed and b.keep_missed, meta=meta)
+
+    def _with_array(self, other, frequency, error2, what: str) -> Histogram:
+        """Free arithmetic: numbers for all bins, or one for each in the histogram's shape; what was missed isn't known any more."""
+        if not arithmetic.is_free() or isinstance(other, (str, bytes)) or other is None:
+            raise TypeError(f"only a number or a histogram of the same kind can be {what} a histogram")
+        values = np.broadcast_to(np.asarray(other), self.shape)
+        if values.dtype.kind not in "iufb":
+            raise TypeError("numbers are needed")
+        cells = {}
+        for k in _every(self.shape):
+            f, e = self.cells.get(k, (0, 0))
+            x = values[k].item()
+            cells[k] = (frequency(f, x), error2(e, x))
+        whole = self.whole and values.dtype.kind in "iub" and all(float(f).is_integer() for f, _ in cells.values())
+        return replace(self, cells=cells, stats=INVALID, keep_missed=False, whole=whole)
 
     def _aligned(self, other: Histogram) -> Histogram:
         """On axes that hold those of both, which must be of one width and offset and have missed nothing."""
@@ -393,21 +412,21 @@ class Histogram:
             cells = {(*k[:i], k[i] + back, *k[i + 1 :]): c for k, c in cells.items()}
         return replace(self, axes=tuple(axes), cells=cells)
 
-    def __mul__(self, by: float) -> Histogram:
+    def __mul__(self, by) -> Histogram:
         if isinstance(by, Histogram):
             raise TypeError("histograms can't be multiplied by each other")
         if not isinstance(by, (int, float)):
-            raise TypeError("a histogram is multiplied by a number")
+            return self._with_array(by, lambda f, x: f * x, lambda e, x: e * x * x, "multiplied with")
         cells = {k: (f * by, e * by * by) for k, (f, e) in self.cells.items()}
         return replace(self, cells=cells, stats=self.stats.scaled(by), whole=self.whole and isinstance(by, int))
 
     __rmul__ = __mul__
 
-    def __truediv__(self, by: float) -> Histogram:
+    def __truediv__(self, by) -> Histogram:
         if isinstance(by, Histogram):
             raise TypeError("histograms can't be divided by each other")
         if not isinstance(by, (int, float)):
-            raise TypeError("a histogram is divided by a number")
+            return replace(self._with_array(by, lambda f, x: _over(f, x), lambda e, x: _over(e, x * x), "divided by"), whole=False)
         return replace(self * (1 / by), whole=False)
 
     def __eq__(self, other) -> bool:
@@ -416,7 +435,7 @@ class Histogram:
             return False
         near = lambda x, y: all(math.isclose(p, q, rel_tol=1e-5, abs_tol=1e-8) for p, q in zip(x, y))
         keys = self.cells.keys() | other.cells.keys()
-        same = (self.name, self.title, self.axis_names) == (other.name, other.title, other.axis_names)
+        same = (self.name, self.title, self.axis_names, self.kind, self.meta) == (other.name, other.title, other.axis_names, other.kind, other.meta)
         return same and all(near(self.cells.get(k, (0, 0)), other.cells.get(k, (0, 0))) for k in keys)
 
     __hash__ = None
@@ -484,19 +503,26 @@ class Histogram:
             s = s + Statistics(sum(x * w for (x,), w in both), sum(x * x * w for (x,), w in both), min(xs), max(xs), sum(w for _, w in both))
         return replace(out, cells=cells, stats=s, whole=self.whole and all(isinstance(w, int) for w in weights))
 
-    def fill_n(self, df: DataFrame, *cols: str, weights: str | None = None, dropna: bool = True) -> Histogram:
-        """With the rows of a table more: one aggregate job, whose bins are added to these."""
+    def fill_n(self, df: DataFrame, *cols: str, weights: str | None = None, dropna: bool = True, transformed: bool = False) -> Histogram:
+        """With the rows of a table more: one aggregate job, whose bins are added to these.
+
+        A special histogram takes cartesian columns, unless they are transformed already.
+        """
+        if self.kind:
+            df, cols = coords.transformed(df, self.kind, cols, transformed, [weights] if weights else [])
         if len(cols) != self.ndim:
             raise ValueError(f"{len(cols)} columns for {self.ndim} axes")
+        grown = self
         if self.adaptive:
+            numeric(df, *cols)
+            df = without_missing(df, list(cols), dropna)
             ends = df.agg(*(f(F.col(c).cast("double")).alias(f"{n}{i}") for i, c in enumerate(cols) for n, f in (("lo", F.min), ("hi", F.max)))).first()
             if any(ends[f"lo{i}"] is None for i in range(self.ndim)):
                 return self
             grown = self._grown([tuple(ends[f"{n}{i}"] for i in range(self.ndim)) for n in ("lo", "hi")])
-        else:
-            grown = self
         more = Histogram.of(df, *cols, bins=list(grown.axes), weights=weights, dropna=dropna, axis_names=self.axis_names, name=self.name, title=self.title, keep_missed=self.keep_missed)
-        return replace(grown + more, adaptive=self.adaptive, kind=self.kind, radius=self.radius)
+        more = replace(more, kind=self.kind, radius=self.radius, meta=self.meta)
+        return replace(grown + more, adaptive=self.adaptive, stats=INVALID if self.kind else grown.stats + more.stats)
 
     def _grown(self, points: list[tuple]) -> Histogram:
         axes, cells = [], dict(self.cells)
@@ -511,18 +537,18 @@ class Histogram:
     # --- kept elsewhere ------------------------------------------------------------------------------------
     def to_dict(self) -> dict:
         return {
-            "version": 1, "kind": self.kind, "radius": self.radius, "name": self.name, "title": self.title, "axis_names": list(self.axis_names), "keep_missed": self.keep_missed,
-            "whole": self.whole, "adaptive": self.adaptive, "stats": vars(self.stats), "axes": [{"bins": [list(b) for b in a.bins], "closed": a.closed, "width": a.width, "rule": list(a.rule) if a.rule else None} for a in self.axes],
+            "version": 2, "type": "histogram", "kind": self.kind, "radius": self.radius, "name": self.name, "title": self.title, "axis_names": list(self.axis_names), "keep_missed": self.keep_missed,
+            "whole": self.whole, "adaptive": self.adaptive, "meta": self.meta, "stats": vars(self.stats), "axes": [a.to_dict() for a in self.axes],
             "cells": [[list(k), *c] for k, c in sorted(self.cells.items(), key=repr)],
         }
 
     @staticmethod
     def from_dict(spark: SparkSession, d: dict) -> Histogram:
-        if d["version"] > 1:
+        if d["version"] > 2:
             raise ValueError(f"written by a newer version: {d['version']}")
-        axes = tuple(B.Binning(tuple(map(tuple, a["bins"])), a["closed"], a["width"], tuple(a["rule"]) if a["rule"] else None) for a in d["axes"])
+        axes = tuple(map(B.Binning.from_dict, d["axes"]))
         cells = {tuple(k): (f, e) for k, f, e in d["cells"]}
-        return Histogram(spark, axes, cells, tuple(d["axis_names"]), d["name"], d["title"], Statistics(**d["stats"]), d["keep_missed"], d["whole"], d["adaptive"], d["kind"], d["radius"])
+        return Histogram(spark, axes, cells, tuple(d["axis_names"]), d["name"], d["title"], Statistics(**d["stats"]), d["keep_missed"], d["whole"], d["adaptive"], d["kind"], d["radius"], d.get("meta") or {})
 
 
 def _every(shape: tuple[int, ...]) -> list[tuple[int, ...]]:
@@ -532,6 +558,10 @@ def _every(shape: tuple[int, ...]) -> list[tuple[int, ...]]:
     return out
 
 
+def _over(a: float, b: float) -> float:
+    return a / b if b else math.nan if not a else math.copysign(math.inf, a)
+
+
 def _add(cells: dict, key: tuple, c: Cell) -> None:
     f, e = cells.get(key, (0, 0))
     cells[key] = (f + c[0], e + c[1])
@@ -543,7 +573,33 @@ def _extended(a: B.Binning, low: int, high: int) -> tuple[B.Binning, int]:
     n = high - low
     if n > B.MOST_BINS:
         raise ValueError(f"{n} bins are too many")
-    return B.from_edges([(first + low + i) * width + shift for i in range(n + 1)], False, width, (first + low, width, shift)), -low
+    return B.equal_bins(first + low, width, shift, n, False), -low
+
+
+def assert_histograms_equal(left: Histogram, right: Histogram, *, check_dtype: bool = True, check_frequencies: bool = True, check_bins: bool = True, check_binnings: bool = True, check_metadata: bool = True, rtol: float = 1e-7, atol: float = 0.0) -> None:
+    """AssertionError, with the first difference, unless the histograms agree in what is checked."""
+    if left.ndim != right.ndim or left.kind != right.kind:
+        raise AssertionError(f"kinds differ: {left.ndim} axes, {left.kind} and {right.ndim} axes, {right.kind}")
+    if check_dtype and left.whole != right.whole:
+        raise AssertionError(f"types differ: whole frequencies {left.whole} and {right.whole}")
+    near = lambda x, y: math.isclose(x, y, rel_tol=rtol, abs_tol=atol) or (math.isnan(x) and math.isnan(y))
+    if left.shape != right.shape:
+        raise AssertionError(f"shapes differ: {left.shape} and {right.shape}")
+    if check_bins or check_binnings:
+        for name, a, b in zip(left.axis_names, left.axes, right.axes):
+            for k, (x, y) in enumerate(zip(a.bins, b.bins)):
+                if not (near(x[0], y[0]) and near(x[1], y[1])):
+                    raise AssertionError(f"axis {name}, bin {k}: {x} and {y}")
+            if check_binnings and a.closed != b.closed:
+                raise AssertionError(f"axis {name}: only one holds its last edge")
+    if check_frequencies:
+        for k in sorted(left.cells.keys() | right.cells.keys(), key=repr):
+            if left._inside(k) and not near(left.cells.get(k, (0, 0))[0], right.cells.get(k, (0, 0))[0]):
+                raise AssertionError(f"bin {k}: {left.cells.get(k, (0, 0))[0]} and {right.cells.get(k, (0, 0))[0]}")
+    if check_metadata:
+        told = lambda h: {"name": h.name, "title": h.title, "axis_names": h.axis_names, "radius": h.radius, **h.meta}
+        if told(left) != told(right):
+            raise AssertionError(f"metadata differ: {told(left)} and {told(right)}")
 
 
 def cut(df: DataFrame, col: str, bins=10, name: str = "interval", **how) -> DataFrame:

@@ -7,7 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .hist import assert_no_gap
+from binforge.functions import meta
+
+from .hist import _known_bins, assert_no_gap, running
 
 _SUMS = ("frequency", "error2")
 
@@ -30,7 +32,7 @@ def slice_bins(hist: DataFrame, start: int | None = 0, stop: int | None = None)
     start, stop = _bounds(hist, start, stop)
     d = hist.where(F.col("bin") >= start)
     d = d if stop is None else d.where(F.col("bin") < stop)
-    return d.withColumn("bin", F.col("bin") - start)
+    return d.withColumn("bin", F.col("bin") - start)  # a new column: what was known of the axis goes
 
 
 def dropped(hist: DataFrame, start: int | None = 0, stop: int | None = None) -> DataFrame:
@@ -57,9 +59,10 @@ def select_axis(hist: DataFrame, axis: int, index: int | slice) -> DataFrame:
         d = hist.where(b >= start)
         d = d if stop is None else d.where(b < stop)
         return d.withColumn(f"bin{axis}", b - start)
-    if index < 0:
-        index = _bounds(hist, index, None, f"bin{axis}")[0]
-    return hist.where(b == index).drop(f"bin{axis}", f"left{axis}", f"right{axis}")
+    n = _known_bins(hist, axis) or (hist.agg(F.max(f"bin{axis}")).first()[0] or 0) + 1
+    if not isinstance(index, int) or not -n <= index < n:
+        raise IndexError(f"axis {axis} has bins 0 to {n - 1}")
+    return hist.where(b == index % n).drop(f"bin{axis}", f"left{axis}", f"right{axis}")
 
 
 def transpose(hist: DataFrame) -> DataFrame:
@@ -70,8 +73,8 @@ def transpose(hist: DataFrame) -> DataFrame:
 
 def accumulate(hist: DataFrame, axis: int, n_axes: int) -> DataFrame:
     """Running sums of frequency along an axis; error2 stays."""
-    w = Window.partitionBy(*(f"bin{i}" for i in range(n_axes) if i != axis)).orderBy(f"bin{axis}").rowsBetween(Window.unboundedPreceding, 0)
-    return hist.withColumn("frequency", F.sum("frequency").over(w))
+    rows, total = running(hist, F.col("frequency"), [f"bin{i}" for i in range(n_axes) if i != axis], f"bin{axis}", _known_bins(hist, axis))
+    return rows.withColumn("_sum", total).select(*(F.col("_sum").alias(c) if c == "frequency" else F.col(c) for c in hist.columns))
 
 
 def merge_axis(hist: DataFrame, axis: int, amount: int, n_axes: int) -> DataFrame:
@@ -82,6 +85,30 @@ def merge_axis(hist: DataFrame, axis: int, amount: int, n_axes: int) -> DataFram
     return got.where(F.col("_whole").isNotNull()).drop("_whole")
 
 
+def regroup(hist: DataFrame, groups: DataFrame, axis: int | None = None) -> DataFrame:
+    """Bins put together by a map table (old, new) for an axis of any length, of 1-D tables or an axis of N-D ones.
+
+    The map is joined, not collected. The job fails where a bin is left out or stands in two groups, where a group's bins are
+    not neighbours, or where a gap lies within one. New numbers become 0, 1, ... in the order of the axis only if they are already.
+    """
+    s = "" if axis is None else str(axis)
+    if f"bin{s}" not in hist.columns:
+        raise ValueError(f"no axis {axis}")
+    fails = lambda why, kind: F.raise_error(F.lit(why)).cast(kind)
+    twice = F.when(F.count(F.lit(1)) > 1, fails("a bin is in two groups", "long")).otherwise(F.min("new").cast("long"))
+    to = groups.groupBy(F.col("old").cast("long").alias("_old")).agg(twice.alias("_new"))
+    # neighbours: as many old bins as lie between a group's ends
+    spans = to.groupBy("_new").agg((F.max("_old") - F.min("_old") + 1 == F.count(F.lit(1))).alias("_together"))
+    to = to.join(spans, "_new")
+    named = F.when(F.col("_new").isNull(), fails("a bin is in no group", "long")).when(~F.col("_together"), fails("a group's bins are not neighbours", "long")).otherwise(F.col("_new"))
+    rows = hist.join(to, hist[f"bin{s}"] == to["_old"], "left").withColumn("_to", named)
+    others = [f"{k}{x}" for x in meta.suffixes(hist) if x != s for k in ("bin", "left", "right")]
+    edges = [F.min(f"left{s}").alias(f"left{s}"), F.max(f"right{s}").alias(f"right{s}")]
+    got = rows.groupBy(*others, "_to").agg(*edges, *_totals(hist), assert_no_gap(hist, axis, s).alias("_whole"))
+    got = got.where(F.col("_whole").isNotNull()).withColumnRenamed("_to", f"bin{s}")
+    return got.select(*(c for c in hist.columns if c in got.columns))
+
+
 def merge_sparse(hist: DataFrame, least: float) -> DataFrame:
     """Adjacent bins joined until a bin holds more than `least`; a bin that holds it alone starts anew.
 
@@ -115,13 +142,14 @@ def plot_data(hist: DataFrame, density: bool = False, cumulative: bool = False)
     """bin, center, width, value, error; density and cumulative together give the distribution function."""
     width = F.col("right") - F.col("left")
     value, error = F.col("frequency").cast("double"), F.sqrt("error2")
+    rows = hist
     if cumulative:
-        value = F.sum(value).over(Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0))
+        rows, value = running(hist, value, n=_known_bins(hist))
         value = F.try_divide(value, F.sum("frequency").over(Window.partitionBy())) if density else value
         error = F.lit(None).cast("double")
     elif density:
         value, error = value / width, error / width
-    return hist.select("bin", ((F.col("left") + F.col("right")) / 2).alias("center"), width.alias("width"), value.alias("value"), error.alias("error"))
+    return rows.select("bin", ((F.col("left") + F.col("right")) / 2).alias("center"), width.alias("width"), value.alias("value"), error.alias("error"))
 
 
 def bars(hist: DataFrame, width: int = 80) -> DataFrame:
