@@ -13,51 +13,70 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from binforge.functions.binning import Binning, equal_width
+from binforge.operators.collection import Collection
 from binforge.operators.histogram import INVALID, Histogram, Statistics
 
-VERSION = 1
+from . import stored
+
+VERSION = 2
 
 
 def binning_to_dict(b: Binning) -> dict:
-    return {"bins": [list(x) for x in b.bins], "closed": b.closed, "width": b.width}
+    return b.to_dict()
 
 
 def binning_from_dict(d: dict) -> Binning:
-    return Binning(tuple((float(x), float(y)) for x, y in d["bins"]), d["closed"], d["width"])
+    return Binning.from_dict(d)
 
 
-def to_dict(hist: DataFrame, **meta) -> dict:
-    """Rows and schema of a histogram of any dimension, with what `meta` says of it (name, title, axis names)."""
+def to_dict(hist: DataFrame | Histogram | Collection, **meta) -> dict:
+    """A histogram of any dimension or a collection; `meta` goes with a table, which keeps its columns' metadata too."""
+    if not isinstance(hist, DataFrame):
+        return hist.to_dict()
     order = [c for c in hist.columns if c == "name" or c.startswith("bin")]
     rows = [r.asDict() for r in hist.orderBy(*order).collect()]
-    return {"version": VERSION, "schema": hist.schema.jsonValue(), "rows": rows, "meta": meta}
+    return {"version": VERSION, "type": "table", "schema": hist.schema.jsonValue(), "rows": rows, "meta": meta}
 
 
-def from_dict(spark: SparkSession, d: dict) -> DataFrame:
+def from_dict(spark: SparkSession, d: dict) -> DataFrame | Histogram | Collection:
+    """What to_dict() was given: a table, a Histogram or a Collection."""
     from pyspark.sql.types import StructType
 
     if d.get("version", 0) > VERSION:
         raise ValueError(f"written by a newer version: {d['version']}")
+    kind = d.get("type") or ("table" if "schema" in d else "histogram")
+    if kind == "collection":
+        return Collection.from_dict(spark, d)
+    if kind == "histogram":
+        return Histogram.from_dict(spark, d)
+    if kind != "table":
+        raise ValueError(f"unknown type {kind}")
     schema = StructType.fromJson(d["schema"])
     return spark.createDataFrame([tuple(r[f] for f in schema.names) for r in d["rows"]], schema)
 
 
-def to_json(hist: DataFrame, **meta) -> str:
+def to_json(hist: DataFrame | Histogram | Collection, **meta) -> str:
     return json.dumps(to_dict(hist, **meta))
 
 
-def from_json(spark: SparkSession, text: str) -> DataFrame:
+def from_json(spark: SparkSession, text: str) -> DataFrame | Histogram | Collection:
     return from_dict(spark, json.loads(text))
 
 
-def save_json(hist: DataFrame, path: str, **meta) -> None:
-    hist.sparkSession.createDataFrame([(to_json(hist, **meta),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+def save_json(hist: DataFrame | Histogram | Collection, path: str, **meta) -> None:
+    hist_spark = hist.sparkSession if isinstance(hist, DataFrame) else hist.spark
+    hist_spark.createDataFrame([(to_json(hist, **meta),)], "value string").coalesce(1).write.mode("overwrite").text(path)
 
 
-def load_json(spark: SparkSession, path: str) -> DataFrame:
+def load_json(spark: SparkSession, path: str) -> DataFrame | Histogram | Collection:
     return from_json(spark, spark.read.text(path, wholetext=True).first()[0])
 
 
+def as_histogram(hist: DataFrame) -> Histogram:
+    """The object of a table that knows its axes."""
+    return stored.from_table(hist)
+
+
 def to_pandas(hist: DataFrame) -> pd.DataFrame:
     """frequency and error of a 1-D histogram over left-closed intervals."""
     d = hist.orderBy("bin").toPandas()
