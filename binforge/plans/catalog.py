@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from binforge.operators import coords, hist, shape
+from binforge.operators.arithmetic import free_arithmetic
 from binforge.operators.histogram import Histogram, cut
 from binforge.sources.io import table
 from binforge.streaming import adaptive as stream
@@ -49,7 +50,8 @@ def _two_flags(d, sign):
     """Histograms of two return flags over the same bins, put together."""
     edges = [0, 10, 20, 30, 40, 50]
     a, r = (hist.h1(d.where(F.col("l_returnflag") == f), "l_quantity", edges) for f in "AR")
-    return _flat(hist.add(a, r, sign), "bin", "left", "right", "frequency", "error2")
+    with free_arithmetic():  # differences may be negative
+        return _flat(hist.add(a, r, sign), "bin", "left", "right", "frequency", "error2")
 
 
 def _summary(spark, h, **more):
@@ -310,3 +312,9 @@ ORACLE_SQL |= {
     "cut_quantity": 'SELECT CASE WHEN l_quantity > 10 AND l_quantity <= 40 THEN (ceil(l_quantity / 10) - 1) * 10 END AS "left", CASE WHEN l_quantity > 10 AND l_quantity <= 40 THEN ceil(l_quantity / 10) * 10 END AS "right", count(*) AS frequency FROM lineitem GROUP BY ALL',
     "stats_merged": 'SELECT sum(l_quantity) AS "sum", sum(l_quantity*l_quantity) AS sum2, min(l_quantity) AS "min", max(l_quantity) AS "max", count(l_quantity)::DOUBLE AS weight, round(avg(l_quantity), 6) AS mean, round(stddev_pop(l_quantity), 6) AS std FROM lineitem',
 }
+
+# queries of another module, which takes helpers from this one
+from . import growing  # noqa: E402
+
+QUERIES |= growing.QUERIES
+ORACLE_SQL |= growing.ORACLE_SQL
