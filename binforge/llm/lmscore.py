@@ -15,7 +15,8 @@ word is one entry a batch, so no slot is hot, and the number of slots follows th
 
 Defined results: null, empty and wordless texts have no tokens, null losses and score;
 with no target document the target model is the uniform base; repeated rows each count
-and are scored; other columns of the input are ignored.
+and are scored; a null id is never a target, and its row is scored like others; ids of any type come back as they
+were (they travel as Arrow data); other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
@@ -41,8 +43,8 @@ MIX = (0.7, 0.25, 0.05)  # bigram, unigram, uniform base
 BASE = 2.0**-24  # the uniform base's probability of a word, in both models
 #: Target ids up to this many are broadcast (about 120 bytes each in a hash table); more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
-PACKED = "batch long, slot long, kind int, data binary, background binary, target binary"
-SCORED = "doc_id long, n_tokens long, target_loss double, background_loss double, score double"
+PACKED = "batch long, slot long, kind int, data binary, background binary, target binary, ids binary"
+SCORED = "n_tokens long, target_loss double, background_loss double, score double"
 DOCS, WORDS, PAIRS = 0, 1, 2
 
 
@@ -80,14 +82,26 @@ def slots_of(h: np.ndarray, slots: int) -> np.ndarray:
     return (h % np.uint64(slots)).astype(np.int64)
 
 
-def _by_slot(slot: np.ndarray, slots: int) -> Iterator[tuple[int, slice]]:
-    """Slots and their stretches in an array ordered by slot."""
-    ends = np.searchsorted(slot, np.arange(slots + 1))
-    return ((s, slice(a, b)) for s, (a, b) in enumerate(zip(ends, ends[1:])) if b > a)
+def _by_slot(slot: np.ndarray) -> Iterator[tuple[int, slice]]:
+    """The slots that occur and their stretches in an array ordered by slot."""
+    starts = np.flatnonzero(np.r_[[True] * min(1, len(slot)), slot[1:] != slot[:-1]])
+    return ((int(slot[a]), slice(a, b)) for a, b in zip(starts, [*starts[1:], len(slot)]))
 
 
-def packed(docs: list[tuple[int, bool, np.ndarray]], batch: int, slots: int) -> Iterator[pd.DataFrame]:
-    """PACKED rows of a batch: its documents as word indices, its words and its pairs with their counts."""
+def frozen(ids: list, kind: pa.DataType) -> bytes:
+    """Ids as Arrow's bytes, whatever their type, nulls among them."""
+    batch, out = pa.record_batch([pa.array(ids, kind)], ["doc_id"]), pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, batch.schema) as w:
+        w.write_batch(batch)
+    return out.getvalue().to_pybytes()
+
+
+def thawed(data: bytes) -> pa.Array:
+    return pa.ipc.open_stream(data).read_all().column(0).combine_chunks()
+
+
+def packed(docs: list[tuple[object, bool, np.ndarray]], kind: pa.DataType, batch: int, slots: int) -> Iterator[pa.RecordBatch]:
+    """PACKED rows of a batch: its documents as word indices with their ids, its words and its pairs with their counts."""
     lens = np.array([len(h) for _, _, h in docs])
     good = np.array([g for _, g, _ in docs], bool)
     token = np.concatenate([h for _, _, h in docs])
@@ -102,36 +116,39 @@ def packed(docs: list[tuple[int, bool, np.ndarray]], batch: int, slots: int) ->
     word, slot = np.r_[np.uint64(0), word[order]], slot[order]
     count = lambda i, n: (np.bincount(i, minlength=n), np.bincount(i[mark], minlength=n))
     spread = int(slots_of(_mix(np.array([batch], np.uint64)), slots)[0])
-    rows = [(batch, spread, DOCS, planes(at, 4), planes(np.r_[lens, [d for d, _, _ in docs]], 8), good.tobytes())]
+    rows = [(batch, spread, DOCS, planes(at, 4), planes(lens, 8), good.tobytes(), frozen([d for d, _, _ in docs], kind))]
     nb, nt = count(at, len(word))
-    for s, x in _by_slot(slot, slots):
+    for s, x in _by_slot(slot):
         y = slice(x.start + 1, x.stop + 1)
-        rows.append((batch, s, WORDS, planes(word[y], 6), planes(nb[y], 8), planes(nt[y], 8)))
+        rows.append((batch, s, WORDS, planes(word[y], 6), planes(nb[y], 8), planes(nt[y], 8), None))
     pair, at = np.unique(pairs_of(at, lens, len(word)), return_inverse=True)
     nb, nt = count(at, len(pair))
     h = pair_hashes(pair, word)
     slot = slots_of(h, slots)
     order = np.argsort(slot, kind="stable")
     h, nb, nt = h[order] >> np.uint64(16), nb[order], nt[order]
-    for s, x in _by_slot(slot[order], slots):
-        rows.append((batch, s, PAIRS, planes(h[x], 6), planes(nb[x], 8), planes(nt[x], 8)))
+    for s, x in _by_slot(slot[order]):
+        rows.append((batch, s, PAIRS, planes(h[x], 6), planes(nb[x], 8), planes(nt[x], 8), None))
+    kinds = [pa.int64(), pa.int64(), pa.int32(), *[pa.binary()] * 4]
     for k in range(0, len(rows), 128):
-        yield pd.DataFrame(rows[k : k + 128], columns=["batch", "slot", "kind", "data", "background", "target"])
+        cols = zip(*rows[k : k + 128])
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["batch", "slot", "kind", "data", "background", "target", "ids"])
 
 
-def _packer(slots: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known, held, size, made = _Words(), [], 0, 0
+def _packer(slots: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, held, size, made, part, kind = _Words(), [], 0, 0, 0, None
         for b in batches:
-            for doc, text, good, part in zip(b["doc_id"], b["text"], b["is_target"], b["part"]):
-                h = word_hashes(text if isinstance(text, str) else None, known)
+            kind = b.schema.field("doc_id").type
+            for doc, text, good, part in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "is_target", "part"))):
+                h = word_hashes(text, known)
                 held.append((doc, good, h))
                 size += len(h) + 16
                 if size >= BATCH:
-                    yield from packed(held, (int(part) << 32) + made, slots)
+                    yield from packed(held, kind, (int(part) << 32) + made, slots)
                     held, size, made = [], 0, made + 1
         if held:
-            yield from packed(held, (int(part) << 32) + made, slots)
+            yield from packed(held, kind, (int(part) << 32) + made, slots)
 
     return run
 
@@ -162,13 +179,13 @@ def losses(c_pair: np.ndarray, c_before: np.ndarray, c_word: np.ndarray, n: np.n
     return -np.log2(MIX[0] * p2 + MIX[1] * p1 + MIX[2] * BASE)
 
 
-def _scorer(slots: int, totals: dict) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["kind", "slot"])
+def _scorer(slots: int, totals: dict) -> Callable[[pa.Table], pa.Table]:
+    def run(table: pa.Table) -> pa.Table:
+        rows = table.to_pandas().sort_values(["kind", "slot"])
         head = rows[rows["kind"] == DOCS].iloc[0]
         good = np.frombuffer(head["target"], bool)
-        lens, doc = np.split(unplanes(head["background"], 8), 2)
-        out = pd.DataFrame({"doc_id": doc, "n_tokens": lens, "target_loss": np.nan, "background_loss": np.nan, "score": np.nan})
+        lens, doc = unplanes(head["background"], 8), thawed(head["ids"])
+        out = {"n_tokens": lens, "target_loss": np.full(len(lens), np.nan), "background_loss": np.full(len(lens), np.nan)}
         token = unplanes(head["data"], 4)
         if len(token):
             whole = lambda kind, c, w: np.concatenate([unplanes(x, w) for x in rows.loc[rows["kind"] == kind, c]])
@@ -193,8 +210,8 @@ def _scorer(slots: int, totals: dict) -> Callable[[pd.DataFrame], pd.DataFrame]:
                 loss = losses(c_pair[kind] - take * own_pair, c_word[before] - take * own_before, c_word[after] - take * own_after, n_left)
                 total = np.bincount(owner_of, weights=loss * own_pair, minlength=len(lens))
                 out[f"{c}_loss"] = np.where(lens > 0, total / np.maximum(lens, 1), np.nan)
-            out["score"] = out["target_loss"] - out["background_loss"]
-        return out.astype(object).where(out.notna(), None)
+        out["score"] = out["target_loss"] - out["background_loss"]
+        return pa.table({"doc_id": doc, "n_tokens": pa.array(lens), **{c: pa.array(out[c], from_pandas=True) for c in ("target_loss", "background_loss", "score")}})
 
     return run
 
@@ -214,9 +231,9 @@ def score(docs: DataFrame, target_ids: DataFrame) -> DataFrame:
         F.coalesce(F.sum(F.when(F.col("is_target"), F.col("n"))), zero).alias("good_words"), F.count_if(F.col("is_target") & (F.col("n") > 0)).alias("good_docs"),
     ).first().asDict()
     slots = max(LEAST_SLOTS, -(-totals["chars"] // SLOT_CHARS))
-    sent = marked.withColumn("part", F.spark_partition_id()).mapInPandas(_packer(slots), PACKED)
+    sent = marked.withColumn("part", F.spark_partition_id()).mapInArrow(_packer(slots), PACKED)
     back = sent.groupBy("slot").applyInPandas(_summed, PACKED)
-    return back.groupBy("batch").applyInPandas(_scorer(slots, totals), SCORED)
+    return back.groupBy("batch").applyInArrow(_scorer(slots, totals), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {SCORED}")
 
 
 def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:

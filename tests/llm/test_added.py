@@ -9,7 +9,9 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from binforge.llm import divergence, packing, vectorcodes
+from pyspark.sql import functions as F
+
+from binforge.llm import divergence, lmscore, packing, vectorcodes
 from binforge.llm.common import table
 
 SF = "/root/testdata/sf0.001"
@@ -206,3 +208,20 @@ def test_shares_of_large_counts():
     for c, n, v in ((6 * 10**12, 10**13, 10**8), (0, 0, 3), (7, 7, 1), (10**9, 9 * 10**15, 10)):
         got = divergence.shares(np.array([c]), np.array([n]), v)
         assert int(got[0]) == 1 + 10**9 * (c + 5) // (n + 5 * v)
+
+
+def test_lm_scores_keep_ids(spark, monkeypatch):
+    """Null ids and ids beyond 2^53 in one batch, repeated rows, clashing names, and ids that are no numbers."""
+    ids = [None, 2**53 + 1, 2**53 + 3, -(2**62) - 1, None, 2**53 + 1, 7]
+    texts = ["a b a", "a b c", "c c c d", "", None, "a b c", "e"]
+    docs = spark.createDataFrame([(i, t, True, 3, b"x") for i, t in zip(ids, texts)], "doc_id long, text string, is_target boolean, part int, ids binary").coalesce(1)
+    good = spark.createDataFrame([(2**53 + 1, 1), (None, 1), (7, 1)], "doc_id long, quality int")
+    got = lmscore.score(docs, good).collect()
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0, r["n_tokens"]) for r in got) == sorted((i is None, i or 0, len((t or "").split())) for i, t in zip(ids, texts))
+    plain = lmscore.score(docs.where("doc_id IS NOT NULL AND length(text) > 0"), good).collect()
+    assert all(r["score"] is not None for r in plain) and all((r["score"] is None) == (r["n_tokens"] == 0) for r in got)
+    named = {r["doc_id"]: r["score"] for r in lmscore.score(docs.withColumn("doc_id", F.concat(F.lit("d"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))), good.withColumn("doc_id", F.concat(F.lit("d"), F.col("doc_id").cast("string")))).collect()}
+    assert named["d7"] == {r["doc_id"]: r["score"] for r in got}[7]
+    monkeypatch.setattr(lmscore, "BATCH", 20)
+    key = lambda r: repr(tuple(round(v, 9) if isinstance(v, float) else v for v in r))
+    assert sorted(map(key, lmscore.score(docs, good).collect())) == sorted(map(key, got))
