@@ -6,7 +6,7 @@ that at most MAX_OWNERS owners hold in at most MAX_REPOS repositories is live-lo
 copied one is an example. The base kinds are always reported; spans of the method's own kinds are
 added where they are live-looking.
 
-A candidate of more than HOT repositories gets its verdict by a broadcast: there is at most one such for each HOT
+A candidate of more than HOT repositories gets its verdict by a broadcast, of up to BROADCAST_HASHES such, else by salted copies: there is at most one such for each HOT
 candidates found, so what is sent stays small against the candidates and no task gets more than HOT rows of one hash.
 
 Defined results: null text is empty; a text without secrets has counts 0, the hash
@@ -45,6 +45,8 @@ EXTRA = {
 }
 MAX_OWNERS, MAX_REPOS = 2, 50
 HOT = 10_000
+#: Common candidates that may be broadcast (some 100 bytes each); of more, copies of each in a join by hash and salt.
+BROADCAST_HASHES, SALTS = 200_000, 64
 CANDIDATES = "owner string, row long, n_assign long, n_access long, n_hex long, base_sha256 string, base string, extra array<struct<start:int,kind:int,end:int,hash:string>>, hashes array<string>"
 
 
@@ -98,9 +100,17 @@ def scan(docs: DataFrame, max_owners: int = MAX_OWNERS, max_repos: int = MAX_REP
     live = (F.col("owners") <= max_owners) & (F.col("repos") <= max_repos)
     own = materialize(ownership(found).select("hash", "repos", live.alias("live")), "owners")
     each = found.where(F.size("hashes") > 0).select("row", F.explode("hashes").alias("hash"))
-    common = F.broadcast(own.where(F.col("repos") > hot).select("hash", "live"))
+    common = own.where(F.col("repos") > hot).select("hash", "live")
     rare = own.where(F.col("repos") <= hot).select("hash", "live")
-    live = each.join(common, "hash").unionByName(each.join(common, "hash", "left_anti").join(rare, "hash"))
+    if common.count() <= BROADCAST_HASHES:
+        common = F.broadcast(common)
+        live = each.join(common, "hash").unionByName(each.join(common, "hash", "left_anti").join(rare, "hash"))
+    else:  # each common candidate in SALTS copies, of which a row meets one
+        salts = F.explode(F.sequence(F.lit(0), F.when(F.col("repos") > hot, F.lit(SALTS - 1)).otherwise(F.lit(0)))).alias("salt")
+        copies = own.select("hash", "live", "repos", salts).select("hash", "live", F.when(F.col("repos") > hot, F.col("salt")).alias("salt"))
+        # a row doesn't know whether its candidate is common, so it asks with its salt and without
+        asked = each.select("row", "hash", F.explode(F.array(F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int"), F.lit(None).cast("int"))).alias("salt"))
+        live = asked.join(copies, (asked["hash"] == copies["hash"]) & asked["salt"].eqNullSafe(copies["salt"])).select("row", copies["hash"], "live")
     verdict = live.groupBy("row").agg(F.count_if("live").alias("n_live"), F.count_if(~F.col("live")).alias("n_example"), F.collect_set(F.when(F.col("live"), F.col("hash"))).alias("is_live"))
     d = found.drop("hashes").join(verdict, "row", "left")
     names = F.array(*(F.lit(x) for x in [*KINDS, *EXTRA]))
