@@ -52,6 +52,11 @@ def fold_of(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string")) % 5
 
 
+def held_out(doc_id: Column) -> Column:
+    """Whether a row is held out from learning; one of a null id is not."""
+    return F.coalesce(fold_of(doc_id) == 0, F.lit(False))
+
+
 def lower_ascii(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 

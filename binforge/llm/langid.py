@@ -15,8 +15,8 @@ documents; a text below it gets a score under 0.5, so one in a language that was
 learned, or letter junk, can be told. A few letters prove little either way.
 
 Defined results: null text and text without a letter are ``und`` with score 0; with
-no labelled row every text is ``und``; repeated rows give a row each; other columns
-are kept as they are, and a name they have already can't be asked for.
+no labelled row every text is ``und``; repeated rows give a row each; a null id is neither learned from nor held
+out; other columns are kept as they are, and a name they have already can't be asked for.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .common import fold_of, materialize, table
+from .common import fold_of, held_out, materialize, table
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -223,4 +223,4 @@ def predict(docs: DataFrame, model: dict, lang: str = "lang_pred", score: str =
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     got = predict(docs.select("doc_id", "text"), fit(docs))
-    return got.select("doc_id", (fold_of(F.col("doc_id")) == 0).alias("held_out"), "lang_pred", "score")
+    return got.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")

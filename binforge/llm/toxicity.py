@@ -8,14 +8,15 @@ exception phrase don't count. The logarithms of the hits' weights, in all and by
 give the score through a logistic curve.
 
 Weights are log odds of a word's presence in toxic and other training documents. Exception
-phrases are EXCEPTIONS and pairs of neighbouring words, one of the lexicon, that are no more
+phrases are learned too: pairs of neighbouring words, one of the lexicon, that are no more
 frequent in toxic documents than elsewhere. All are fitted on at most about SAMPLE labelled rows, chosen by a hash
 of their id among those whose crc32(doc_id) mod 5 is not 0; only those ids are sent to all
 tasks, and only their texts are kept.
 
 Defined results: null and empty texts score as a text without hits; with no
 labelled rows the lexicon is empty and every score 0; repeated rows give a row each
-(repeated labels count once, the highest); other columns of the input are ignored.
+(repeated labels count once, the highest); a null id is not held out, and has no label; other columns of the input
+are ignored.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold_of, materialize, table
+from .common import fold_of, held_out, materialize, table
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -49,7 +50,6 @@ FOLD = {ord(c): to for to, cs in ALIKE.items() for c in cs}
 #: Signs among them that also end a word.
 SIGNS = "@!|$"
 TRAILING = re.compile(r"[@!|$]+(?!\w)")
-EXCEPTIONS = ("clown fish", "class clown", "trash can", "trash bin", "white trash bag")
 
 
 def plain(text: str) -> str:
@@ -145,13 +145,13 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
     # a word has MIN_DOCS toxic documents of the sample, which bounds the lexicon
     rows = words.where((F.col("a") >= MIN_DOCS) & (F.col("word") != "")).select("word", _log_odds(size).alias("w")).where(F.col("w") >= MIN_ODDS).collect()
     weights = {r["word"]: r["w"] for r in rows}
-    model = {"weights": weights, "exceptions": [fold(x) for x in EXCEPTIONS], "curve": [-30.0, 0.0, 0.0]}
+    model = {"weights": weights, "exceptions": [], "curve": [-30.0, 0.0, 0.0]}
     if not weights:
         return model
     near = train.mapInPandas(lambda it: _neighbours(it, weights), "pair string, toxic int").groupBy("pair").agg(*counts)
     # as many again as MIN_DOCS of the sample's documents stand behind each
     mild = near.where((F.col("n") - F.col("a") >= MIN_DOCS) & (_log_odds(size) <= 0)).select("pair").collect()
-    model["exceptions"] = sorted({*model["exceptions"], *(r["pair"] for r in mild)})
+    model["exceptions"] = sorted(r["pair"] for r in mild)
     seen = train.mapInPandas(lambda it: _features(it, model), "toxic int, x double, y double").toPandas()
     model["curve"] = _curve(seen[["x", "y"]].to_numpy(float), seen["toxic"].to_numpy(float)).tolist()
     return model
@@ -205,7 +205,7 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *more], ["doc_id", "score", "predicted", "n_hits"])
 
     got = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double, predicted int, n_hits long")
-    return got.select("doc_id", (fold_of(F.col("doc_id")) == 0).alias("held_out"), "score", "predicted", "n_hits")
+    return got.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "n_hits")
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
