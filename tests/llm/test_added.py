@@ -1,7 +1,9 @@
 """Packing, vector codes and the divergence audit by brute force, and odd inputs."""
 
 import hashlib
+import math
 import re
+import unicodedata
 import zlib
 from collections import Counter
 
@@ -11,8 +13,8 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from binforge.llm import divergence, lmscore, packing, vectorcodes
-from binforge.llm.common import table
+from binforge.llm import divergence, langid, lmscore, packing, secrets, toxicity, vectorcodes
+from binforge.llm.common import held_out, table
 
 SF = "/root/testdata/sf0.001"
 
@@ -225,3 +227,127 @@ def test_lm_scores_keep_ids(spark, monkeypatch):
     monkeypatch.setattr(lmscore, "BATCH", 20)
     key = lambda r: repr(tuple(round(v, 9) if isinstance(v, float) else v for v in r))
     assert sorted(map(key, lmscore.score(docs, good).collect())) == sorted(map(key, got))
+
+
+# --- toxicity by plain matching and counting -------------------------------------------------------------------
+def plain_readings(text):
+    """A text character by character: accents off, look-alikes to one letter, signs at a word's end both ways."""
+    alike = {c: to for to, cs in toxicity.ALIKE.items() for c in cs}
+    low = "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c)).lower()
+    whole = "".join(alike.get(c, c) for c in low)
+    ends = [i for i, c in enumerate(low) if c in toxicity.SIGNS and not re.match(r"[@!|$]*\w", low[i:])]
+    kept = "".join(low[i] if i in ends else c for i, c in enumerate(whole))
+    return [whole, kept] if ends else [whole]
+
+
+def plain_hits(text, lexicon, exceptions):
+    found = set()
+    for t in plain_readings(text):
+        out = [(m.start(), m.end()) for x in exceptions for m in re.finditer(rf"\b{re.escape(x)}\b", t)]
+        for w in lexicon:
+            for m in re.finditer(rf"(?<!\w)(?={re.escape(w)}(?!\w))", t):
+                if not any(a <= m.start() and m.start() + len(w) <= b for a, b in out):
+                    found.add((m.start(), w))
+    return [w for _, w in sorted(found)]
+
+
+def test_toxicity_by_plain_matching(spark):
+    """Lexicon, exceptions, hits and scores of the fitted model by counting words and matching one by one."""
+    docs, labels = table(spark, SF, "documents"), table(spark, SF, "labels")
+    extra = [(10**6 + k, t) for k, t in enumerate(["", "!!!", "id!ot idi0t", "a" * 5000, "ÏDÏOT|", "x$ y"])] + [(None, "nothing"), (10**6, "again")]
+    model = toxicity.fit(docs, labels)
+    marks = {r["doc_id"]: r["toxic"] for r in labels.collect() if r["toxic"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 5}
+    train = [(r["text"] or "", marks[r["doc_id"]]) for r in docs.collect() if r["doc_id"] in marks]
+    n, a = Counter(), Counter()
+    for t, y in train:
+        words = {w for r in plain_readings(t) for w in re.findall(r"\w+", r)}
+        n.update(words)
+        a.update(words if y else ())
+    size = (sum(y for _, y in train), len(train))
+    odds = lambda x, m: math.log((x + 0.5) / (size[0] + 1)) - math.log((m - x + 0.5) / (size[1] - size[0] + 1))
+    want = {w: odds(a[w], n[w]) for w in n if a[w] >= toxicity.MIN_DOCS and odds(a[w], n[w]) >= toxicity.MIN_ODDS}
+    assert model["weights"].keys() == want.keys() and all(math.isclose(model["weights"][w], want[w]) for w in want) and want
+    every = docs.select("doc_id", "text").union(spark.createDataFrame(extra, "doc_id long, text string"))
+    rows = {}
+    for r in toxicity.score(every, model).collect():
+        rows.setdefault(r["doc_id"], []).append(r)
+    c = model["curve"]
+    texts = {}
+    for r in every.collect():
+        texts.setdefault(r["doc_id"], []).append(r["text"] or "")
+    for i, own in texts.items():
+        plain = []
+        for t in own:
+            total = sum(want[w] for w in plain_hits(t, want, model["exceptions"]))
+            z = c[0] + c[1] * math.log1p(total) + c[2] * math.log1p(total / math.sqrt(1 + len(t) / 5))
+            plain.append(1 / (1 + math.exp(-max(-30.0, min(30.0, z)))))
+        assert sorted(r["score"] for r in rows[i]) == pytest.approx(sorted(plain), rel=1e-9)
+        assert all(r["held_out"] == (i is not None and zlib.crc32(str(i).encode()) % 5 == 0) for r in rows[i])
+
+
+# --- language ID by plain counting -------------------------------------------------------------------------------
+def plain_vector(text):
+    """Letter 1-, 2- and 3-grams of a text, one by one, hashed as the model has them."""
+    low = (text or "").lower()
+    if not any(c.isalpha() for c in low):
+        return None
+    c, mask = [32], (1 << 64) - 1
+    for x in low:
+        x = ord(x) if x.isalpha() else 32
+        if x != 32 or c[-1] != 32 or len(c) == 1:
+            c.append(x)
+    c.append(32)
+    k = [(x + 1) * 0x9E3779B97F4A7C15 & mask for x in c]
+    two = [(a * 3 + (b >> 7)) & mask for a, b in zip(k, k[1:])]
+    three = [(a * 0xC2B2AE3D27D4EB4F + (b >> 11)) & mask for a, b in zip(two, k[2:])]
+    counts = Counter((g * 0x165667B19E3779F9 & mask) >> (64 - langid.BITS) for g in [*k, *two, *three])
+    v = np.zeros(1 << langid.BITS)
+    for h, n in counts.items():
+        v[h] = math.sqrt(n)
+    return v / math.sqrt(sum(counts.values()))
+
+
+def test_languages_by_plain_counting(spark):
+    """Predictions and scores of the fitted models by dense sums over plainly counted n-grams."""
+    docs = table(spark, SF, "documents").select("doc_id", "text", "lang")
+    odd = spark.createDataFrame([(10**6, "", None), (10**6 + 1, "12 34 !", "en"), (10**6 + 2, None, "de"), (None, "der die das und nicht", None), (10**6 + 3, "é", None), (10**6 + 3, "é", None), (10**6 + 4, "  a  b\n\nc ", None)], "doc_id long, text string, lang string")
+    every = docs.union(odd)
+    model = langid.fit(every)
+    sure = lambda m: 1 / (1 + math.exp(-4 * m))
+    seen = 0
+    for r in langid.predict(every, model).collect():
+        v = plain_vector(r["text"])
+        if v is None:
+            assert (r["lang_pred"], r["score"]) == ("und", 0.0)
+            continue
+        margin = lambda w: float(v @ w[0].astype(float)) + w[1]  # noqa: B023, E731
+        first = sorted(((margin(w), f) for w, f in zip(model["first"], model["families"])), reverse=True)
+        family = first[0][1] if first else model["families"][0]
+        score = sure((first[0][0] - first[1][0]) / 2) if first else 1.0
+        votes = {x: 0.0 for x in model["members"][family]}
+        p = {pair: sure(margin(w)) for pair, w in model["pairs"].items() if pair[0] in votes and pair[1] in votes}
+        for (a, b), x in p.items():
+            votes[a] += (x > 0.5) + x / len(votes)
+            votes[b] += (x <= 0.5) + (1 - x) / len(votes)
+        best = max(votes, key=votes.get)
+        score = min([score, *(x if a == best else 1 - x for (a, b), x in p.items() if best in (a, b))])
+        cosine, letters = float(v @ model["means"][best].astype(float)), sum(c.isalpha() for c in r["text"])
+        least = next((model["least"][best, k] for k in range(letters.bit_length(), 0, -1) if (best, k) in model["least"]), 0.0)
+        near = [x for _, x in sorted(votes.items(), key=lambda kv: -kv[1])]
+        if cosine < least:
+            score = min(score, 0.5 * cosine / least)
+        if len(near) < 2 or near[0] - near[1] > 1e-3:
+            assert r["lang_pred"] == best and r["score"] == pytest.approx(score, abs=1e-4)
+            seen += 1
+    assert seen > 150
+    marks = {r["doc_id"]: r["held_out"] for r in langid.predict(every, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out")).collect()}
+    assert marks[None] is False and all(m == (zlib.crc32(str(i).encode()) % 5 == 0) for i, m in marks.items() if i is not None)
+
+
+def test_common_secrets_beyond_a_broadcast(spark, monkeypatch):
+    key = "AKIA" + "Z" * 20
+    rows = [(k, f"{key} password = own{k:04d}abcdefgh token: shared{k % 3}abcdefgh", f"s{k % 7}") for k in range(60)] + [(None, key, None), (3, key, "s3")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    want = sorted(map(repr, secrets.scan(docs, hot=5).collect()))
+    monkeypatch.setattr(secrets, "BROADCAST_HASHES", 0)
+    assert sorted(map(repr, secrets.scan(docs, hot=5).collect())) == want == sorted(map(repr, secrets.scan(docs, hot=10**6).collect()))

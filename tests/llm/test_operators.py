@@ -172,7 +172,7 @@ def test_toxicity(spark, odd, none):
 def test_toxic_words_in_disguise():
     lexicon = {toxicity.fold(w): 1.0 for w in ("idiot", "clown", "ass")}
     automaton = toxicity.build(lexicon)
-    n = lambda t: len(toxicity.hits(t, automaton, [toxicity.fold(x) for x in toxicity.EXCEPTIONS]))
+    n = lambda t: len(toxicity.hits(t, automaton, [toxicity.fold(x) for x in ("clown fish", "class clown")]))
     for t in ("you idiot now", "you idiot! now", "idiot$", "1D10Т!!!", "(ïdiot)", "!d!ot", "a$$", "as$", "@ss!", "cIown"):
         assert n(t) == 1, t
     for t in ("idiots", "class", "clown fish", "a class clown", "assume!", ""):
