@@ -118,6 +118,22 @@ class Binning:
             raise ValueError("bins with gaps have no single list of edges")
         return [self.bins[0][0], *(b for _, b in self.bins)]
 
+    @property
+    def edges_with_gaps(self) -> tuple[list[float], list[int]]:
+        """Edges of the bins and of the gaps between them, and which of the stretches are bins."""
+        edges, mask = [self.bins[0][0]], []
+        for a, b in self.bins:
+            if a != edges[-1]:
+                edges.append(a)
+            mask.append(len(edges) - 1)
+            edges.append(b)
+        return edges, mask
+
+    def within(self, other: Binning) -> bool:
+        """Whether each bin is one of the other's."""
+        theirs = set(other.bins)
+        return all(b in theirs for b in self.bins)
+
     @property
     def total_width(self) -> float:
         return self.bins[-1][1] - self.bins[0][0] if isinstance(self.bins, EqualBins) else sum(b - a for a, b in self.bins)
@@ -231,6 +247,20 @@ def from_edges(edges, closed: bool = True, width: float | None = None, rule: tup
     return Binning(tuple(zip(edges, edges[1:])), closed, width, rule)
 
 
+def as_binning(bins) -> Binning:
+    """A binning of itself, of edges, or of pairs of edges, in lists or arrays."""
+    return bins if isinstance(bins, Binning) else static(bins.tolist() if hasattr(bins, "tolist") else bins)
+
+
+def is_rising(edges) -> bool:
+    """Whether edges rise, or pairs of them, without overlaps."""
+    try:
+        as_binning(edges)
+    except ValueError:
+        return False
+    return True
+
+
 def static(bins) -> Binning:
     bins = list(bins)
     return Binning(tuple((float(a), float(b)) for a, b in bins)) if isinstance(bins[0], (tuple, list)) else from_edges(bins)

@@ -207,10 +207,18 @@ def cumulative(hist: DataFrame) -> DataFrame:
     return rows.select(*hist.columns, total.alias("cumulative"))
 
 
+def with_total(hist: DataFrame, name: str, by: Sequence[str] = ()) -> DataFrame:
+    """hist with the sum of frequencies (within `by`): by a window, which takes all bins into a task, or of an axis known to be long by one more aggregate."""
+    n = max((a.get("n") or 0 for a in meta.axes_of(hist) if a), default=0)
+    if by or n <= RUNNING_BINS:
+        return hist.withColumn(name, F.sum("frequency").over(Window.partitionBy(*by)))
+    total = hist.agg(F.sum("frequency").alias(name)).select(name, F.lit(0).alias("_one"))  # a single row
+    return hist.withColumn("_one", F.lit(0)).join(F.broadcast(total), "_one").drop("_one")
+
+
 def normalize(hist: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Frequencies over their total (within `by`), errors2 over its square."""
-    t = F.sum("frequency").over(Window.partitionBy(*by))
-    h_ = hist.withColumn("_t", t)
+    h_ = with_total(hist, "_t", by)
     out = h_.withColumn("frequency", F.coalesce(F.try_divide(F.col("frequency"), "_t"), F.lit(0.0)))
     return (out.withColumn("error2", F.coalesce(F.try_divide(F.col("error2"), F.col("_t") * F.col("_t")), F.lit(0.0))) if "error2" in hist.columns else out).drop("_t")
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from binforge.functions import meta
 
-from .hist import _known_bins, assert_no_gap, running
+from .hist import _known_bins, assert_no_gap, running, with_total
 
 _SUMS = ("frequency", "error2")
 
@@ -144,8 +144,8 @@ def plot_data(hist: DataFrame, density: bool = False, cumulative: bool = False)
     value, error = F.col("frequency").cast("double"), F.sqrt("error2")
     rows = hist
     if cumulative:
-        rows, value = running(hist, value, n=_known_bins(hist))
-        value = F.try_divide(value, F.sum("frequency").over(Window.partitionBy())) if density else value
+        rows, value = running(with_total(hist, "_total") if density else hist, value, n=_known_bins(hist))
+        value = F.try_divide(value, F.col("_total")) if density else value
         error = F.lit(None).cast("double")
     elif density:
         value, error = value / width, error / width
@@ -154,8 +154,8 @@ def plot_data(hist: DataFrame, density: bool = False, cumulative: bool = False)
 
 def bars(hist: DataFrame, width: int = 80) -> DataFrame:
     """bin, bar: each bin's share of the total as a line of #."""
-    share = F.col("frequency") / F.sum("frequency").over(Window.partitionBy())
-    return hist.select("bin", F.repeat(F.lit("#"), F.coalesce(F.round(share * width), F.lit(0)).cast("int")).alias("bar"))
+    share = F.col("frequency") / F.col("_total")
+    return with_total(hist, "_total").select("bin", F.repeat(F.lit("#"), F.coalesce(F.round(share * width), F.lit(0)).cast("int")).alias("bar"))
 
 
 # --- collections: name, bin, left, right, frequency ----------------------------------------

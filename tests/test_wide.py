@@ -4,9 +4,11 @@ import math
 from datetime import datetime, timedelta
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from binforge import api
 from binforge.functions import binning as B
 from binforge.functions import calendar, sql, timeticks
 from binforge.operators import blocks, coords, hist, infer, quantile, shape
@@ -79,7 +81,7 @@ def test_cylinder_projects_on_its_surface(spark):
 def test_many_bins_take_no_room():
     b = B.fixed_width(0.0, 49_999_999.5, 1.0)
     assert len(b) == 50_000_000 and b.find(123.5) == 123 and b.bins[-1] == (49_999_999.0, 50_000_000.0)
-    assert B.Binning.from_dict(b.to_dict()).rule == b.rule and b == B.fixed_width(0.0, 49_999_999.5, 1.0).as_fixed_width() if False else True
+    assert B.Binning.from_dict(b.to_dict()).rule == b.rule and len(B.Binning.from_dict(b.to_dict())) == len(b)
     small = B.equal_width(0.0, 1.0, 3)
     assert small == B.Binning(tuple(small.bins)) and list(small.bins[1:]) == list(small.bins)[1:] and formats.binning_from_dict(formats.binning_to_dict(small)).rule == small.rule
 
@@ -88,7 +90,10 @@ def test_running_sums_by_ranges(spark, monkeypatch):
     t = hist.h1(column(spark, np.random.default_rng(1).normal(size=500)), "x", 40)
     t2 = hist.h2(two(spark, np.random.default_rng(2).normal(size=(300, 2))), "x", "y", [30, 4])
     want = [sorted(map(tuple, f().collect())) for f in (lambda: hist.cumulative(t), lambda: shape.accumulate(t2, 0, 2), lambda: shape.plot_data(t, cumulative=True, density=True))]
+    shares = lambda: [sorted(map(tuple, f.collect())) for f in (hist.normalize(t), hist.normalize(t2), shape.bars(t))]
+    in_one = shares()
     monkeypatch.setattr(hist, "RUNNING_BINS", 7)
+    assert shares() == in_one
     got = [sorted(map(tuple, f().collect())) for f in (lambda: hist.cumulative(t), lambda: shape.accumulate(t2, 0, 2), lambda: shape.plot_data(t, cumulative=True, density=True))]
     for a, b in zip(got, want):
         assert len(a) == len(b) and all(x[:-1] == pytest.approx(y[:-1]) for x, y in zip(a, b))
@@ -356,3 +361,28 @@ def test_many_quantiles(spark, monkeypatch):
             assert all(a == b or math.isclose(a, b, rel_tol=1e-9, abs_tol=1e-12) or math.isnan(b) for a, b in zip(got, want))
     with pytest.raises(ValueError):
         infer.quantiles(column(spark, [1, 2]), "x", [1.5])
+
+
+# --- data that the driver holds ------------------------------------------------------------------------------------------------
+def test_small_data_of_the_driver(spark):
+    s = pd.Series([1.0, 2.0, None, 9.0], name="len")
+    h = api.h1(spark, s, 4)
+    assert h.axis_names == ("len",) and h.frequencies() == [2, 0, 0, 1] and h == api.h1(spark.createDataFrame([(1.0,), (2.0,), (9.0,)], "len double"), "len", 4)
+    assert api.h1(spark, pd.Series([1, None, 3], dtype="Int64"), [0.0, 2.0, 4.0]).frequencies() == [1, 1]
+    assert api.h2(spark, [1, 2, 3], np.array([4, 5, 6]), 2).axis_names == ("axis0", "axis1")
+    assert api.h(spark, np.array([[0, 0], [1, 1], [1, 1]]), bins=2).frequencies() == [1, 0, 0, 2] == api.histogramdd(spark, pd.DataFrame({"a": [0, 1, 1], "b": [0, 1, 1]}), bins=2).frequencies()
+    assert api.h1(spark, [1, 2], [0.0, 1.5, 3.0], weights=[3, 4]).frequencies() == [3, 4]
+    assert api.polar_histogram(spark, [1.0, 0.0], [0.0, 2.0], bins=[2, 4], ranges=[(0.0, 2.0), None]).frequencies() == [0, 0, 0, 0, 1, 1, 0, 0]
+    for bad in (lambda: api.h1(spark, ["a", "b"]), lambda: api.h1(spark, pd.Series(pd.to_datetime(["2024-01-01"]))), lambda: api.h2(spark, [1, 2], [1]), lambda: api.h(spark, np.zeros((2, 2, 2))), lambda: api.h3(spark, [1], [2], [3], weights=[1, 2])):
+        with pytest.raises(ValueError):
+            bad()
+    assert api.frame(spark, [1, 2], names=["a b"]).columns == ["a b"]
+
+
+def test_edges_and_gaps():
+    b = B.as_binning([(0, 1), (1, 2), (4, 5)])
+    assert b.edges_with_gaps == ([0, 1, 2, 4, 5], [0, 1, 3]) and B.as_binning(np.array([0, 1, 2])).edges_with_gaps == ([0, 1, 2], [0, 1])
+    assert B.as_binning([0, 1, 2]).within(b) and not b.within(B.as_binning([0, 1, 2])) and B.as_binning(b) is b
+    assert B.is_rising([0, 1, 2]) and not B.is_rising([0, 2, 1]) and B.is_rising([(0, 1), (3, 4)]) and not B.is_rising([(0, 2), (1, 3)])
+    with pytest.raises(ValueError):
+        b.edges
