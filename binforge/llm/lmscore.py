@@ -11,7 +11,9 @@ Counts come from all documents and grow with them. Documents are taken in batche
 about BATCH words. Each batch sends its distinct words and bigrams with their counts,
 packed by slot of their hash; a slot adds up what all batches have sent, and sends each
 batch the sums of what it asked for; the batch then scores its documents. A frequent
-word is one entry a batch, so no slot is hot, and the number of slots follows the corpus.
+word is one entry a batch, so no slot is hot, and the number of slots follows the corpus. Once there are
+more than PACKED_SLOTS, so that a packed row would hold a few entries only, entries are rows of their own: a grouped sum and
+a join back. Results are the same.
 
 Defined results: null, empty and wordless texts have no tokens, null losses and score;
 with no target document the target model is the uniform base; repeated rows each count
@@ -32,13 +34,14 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, table
+from .common import WORD, materialize, table
 from .ngramjoin import _A, _mix, _Words
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 BATCH = 1_000_000  # words
 SLOT_CHARS, LEAST_SLOTS = 1_500_000, 16
+PACKED_SLOTS = 50_000  # some 75 GB of text; a batch has some 300,000 pairs, so a packed row then holds six
 MIX = (0.7, 0.25, 0.05)  # bigram, unigram, uniform base
 BASE = 2.0**-24  # the uniform base's probability of a word, in both models
 #: Target ids up to this many are broadcast (about 120 bytes each in a hash table); more are joined by a shuffle.
@@ -135,7 +138,7 @@ def packed(docs: list[tuple[object, bool, np.ndarray]], kind: pa.DataType, batch
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["batch", "slot", "kind", "data", "background", "target", "ids"])
 
 
-def _packer(slots: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _packer(make: Callable) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, held, size, made, part, kind = _Words(), [], 0, 0, 0, None
         for b in batches:
@@ -145,14 +148,36 @@ def _packer(slots: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
                 held.append((doc, good, h))
                 size += len(h) + 16
                 if size >= BATCH:
-                    yield from packed(held, kind, (int(part) << 32) + made, slots)
+                    yield from make(held, kind, (int(part) << 32) + made)
                     held, size, made = [], 0, made + 1
         if held:
-            yield from packed(held, kind, (int(part) << 32) + made, slots)
+            yield from make(held, kind, (int(part) << 32) + made)
 
     return run
 
 
+ENTRIES = "batch long, kind int, key long, background long, target long, data binary, lens binary, good binary, ids binary"
+
+
+def entries(docs: list[tuple[object, bool, np.ndarray]], kind: pa.DataType, batch: int) -> Iterator[pa.RecordBatch]:
+    """ENTRIES rows of a batch: its documents as places in its sorted words, and each of its words and pairs with its counts."""
+    lens = np.array([len(h) for _, _, h in docs])
+    good = np.array([g for _, g, _ in docs], bool)
+    mark = np.repeat(good, lens)
+    word, at = np.unique(np.concatenate([h for _, _, h in docs]), return_inverse=True)
+    word, at = np.r_[np.uint64(0), word], at + 1
+    pair, of = np.unique(pairs_of(at, lens, len(word)), return_inverse=True)
+    made = [(WORDS, word[1:], at - 1), (PAIRS, pair_hashes(pair, word) >> np.uint64(16), of)]
+    names = ["batch", "kind", "key", "background", "target", "data", "lens", "good", "ids"]
+    none = [pa.array([None], t) for t in (pa.int64(), pa.int64(), pa.int64())]
+    yield pa.RecordBatch.from_arrays([pa.array([batch]), pa.array([DOCS], pa.int32()), *none, *(pa.array([x], pa.binary()) for x in (planes(at, 4), planes(lens, 8), good.tobytes(), frozen([d for d, _, _ in docs], kind)))], names)
+    for what, keys, i in made:
+        if len(keys):
+            counts = [np.bincount(i, minlength=len(keys)), np.bincount(i[mark], minlength=len(keys))]
+            cols = [pa.array(np.full(len(keys), batch)), pa.array(np.full(len(keys), what, np.int32)), pa.array(keys.astype(np.int64)), *map(pa.array, counts)]
+            yield pa.RecordBatch.from_arrays([*cols, *(pa.nulls(len(keys), pa.binary()) for _ in range(4))], names)
+
+
 def _summed(rows: pd.DataFrame) -> pd.DataFrame:
     """A slot's rows with the sums over all batches in place of each batch's counts."""
     out = [rows[rows["kind"] == DOCS]]
@@ -179,39 +204,67 @@ def losses(c_pair: np.ndarray, c_before: np.ndarray, c_word: np.ndarray, n: np.n
     return -np.log2(MIX[0] * p2 + MIX[1] * p1 + MIX[2] * BASE)
 
 
+def scored(token: np.ndarray, lens: np.ndarray, good: np.ndarray, doc: pa.Array, word: np.ndarray, sums: Callable, totals: dict) -> pa.Table:
+    """A batch's documents with their losses. sums(model, pairs): counts of the model's words, and of the pairs (before * len(word) + word)."""
+    out = {"n_tokens": lens, "target_loss": np.full(len(lens), np.nan), "background_loss": np.full(len(lens), np.nan)}
+    if len(token):
+        pair, at = np.unique(pairs_of(token, lens, len(word)), return_inverse=True)
+        # a document's own counts of pairs and words, which are taken out
+        owner = np.repeat(np.arange(len(lens)), lens)
+        each, own_pair = np.unique(owner * len(pair) + at, return_counts=True)
+        owner_of, kind = np.divmod(each, len(pair))
+        before, after = np.divmod(pair[kind], len(word))
+        seen, n = np.unique(owner * len(word) + token, return_counts=True)
+        own = lambda w: np.where(w > 0, n[np.minimum(np.searchsorted(seen, owner_of * len(word) + w), len(n) - 1)], 1)
+        own_before, own_after = own(before), own(after)
+        for c, starts, n_all, takes in (("background", totals["docs"], totals["words"], np.ones(len(lens), bool)), ("target", totals["good_docs"], totals["good_words"], good)):
+            take = takes[owner_of]
+            c_word, c_pair = sums(c, pair)
+            c_word = np.r_[starts, c_word]
+            n_left = n_all - take * lens[owner_of]
+            loss = losses(c_pair[kind] - take * own_pair, c_word[before] - take * own_before, c_word[after] - take * own_after, n_left)
+            total = np.bincount(owner_of, weights=loss * own_pair, minlength=len(lens))
+            out[f"{c}_loss"] = np.where(lens > 0, total / np.maximum(lens, 1), np.nan)
+    out["score"] = out["target_loss"] - out["background_loss"]
+    return pa.table({"doc_id": doc, "n_tokens": pa.array(lens), **{c: pa.array(out[c], from_pandas=True) for c in ("target_loss", "background_loss", "score")}})
+
+
 def _scorer(slots: int, totals: dict) -> Callable[[pa.Table], pa.Table]:
+    """Of packed rows."""
+
     def run(table: pa.Table) -> pa.Table:
         rows = table.to_pandas().sort_values(["kind", "slot"])
         head = rows[rows["kind"] == DOCS].iloc[0]
-        good = np.frombuffer(head["target"], bool)
-        lens, doc = unplanes(head["background"], 8), thawed(head["ids"])
-        out = {"n_tokens": lens, "target_loss": np.full(len(lens), np.nan), "background_loss": np.full(len(lens), np.nan)}
+        whole = lambda kind, c, w: np.concatenate([unplanes(x, w) for x in rows.loc[rows["kind"] == kind, c]])
         token = unplanes(head["data"], 4)
-        if len(token):
-            whole = lambda kind, c, w: np.concatenate([unplanes(x, w) for x in rows.loc[rows["kind"] == kind, c]])
-            word = np.r_[0, whole(WORDS, "data", 6)]
-            keys = pairs_of(token, lens, len(word))
-            pair, at = np.unique(keys, return_inverse=True)
+        word = np.r_[0, whole(WORDS, "data", 6)] if len(token) else np.zeros(1, np.int64)
+
+        def sums(c: str, pair: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             place = np.empty(len(pair), np.int64)
             place[np.argsort(slots_of(pair_hashes(pair, word), slots), kind="stable")] = np.arange(len(pair))
-            # a document's own counts of pairs and words, which are taken out
-            owner = np.repeat(np.arange(len(lens)), lens)
-            each, own_pair = np.unique(owner * len(pair) + at, return_counts=True)
-            owner_of, kind = np.divmod(each, len(pair))
-            before, after = np.divmod(pair[kind], len(word))
-            seen, n = np.unique(owner * len(word) + token, return_counts=True)
-            own = lambda w: np.where(w > 0, n[np.minimum(np.searchsorted(seen, owner_of * len(word) + w), len(n) - 1)], 1)
-            own_before, own_after = own(before), own(after)
-            for c, starts, n_all, takes in (("background", totals["docs"], totals["words"], np.ones(len(lens), bool)), ("target", totals["good_docs"], totals["good_words"], good)):
-                take = takes[owner_of]
-                c_word = np.r_[starts, whole(WORDS, c, 8)]
-                c_pair = whole(PAIRS, c, 8)[place]
-                n_left = n_all - take * lens[owner_of]
-                loss = losses(c_pair[kind] - take * own_pair, c_word[before] - take * own_before, c_word[after] - take * own_after, n_left)
-                total = np.bincount(owner_of, weights=loss * own_pair, minlength=len(lens))
-                out[f"{c}_loss"] = np.where(lens > 0, total / np.maximum(lens, 1), np.nan)
-        out["score"] = out["target_loss"] - out["background_loss"]
-        return pa.table({"doc_id": doc, "n_tokens": pa.array(lens), **{c: pa.array(out[c], from_pandas=True) for c in ("target_loss", "background_loss", "score")}})
+            return whole(WORDS, c, 8), whole(PAIRS, c, 8)[place]
+
+        return scored(token, unplanes(head["background"], 8), np.frombuffer(head["target"], bool), thawed(head["ids"]), word, sums, totals)
+
+    return run
+
+
+def _plain_scorer(totals: dict) -> Callable[[pa.Table], pa.Table]:
+    """Of rows of an entry each, with the sums over all batches."""
+
+    def run(table: pa.Table) -> pa.Table:
+        kinds = table.column("kind").to_numpy()
+        of = lambda k: {c: table.column(c).filter(pa.array(kinds == k)).to_numpy() for c in ("key", "background", "target")}
+        head = table.filter(pa.array(kinds == DOCS)).to_pylist()[0]
+        words, pairs = of(WORDS), of(PAIRS)
+        order, by_key = np.argsort(words["key"]), np.argsort(pairs["key"])
+        word = np.r_[0, words["key"][order]].astype(np.int64)
+
+        def sums(c: str, pair: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            keys = (pair_hashes(pair, word.astype(np.uint64)) >> np.uint64(16)).astype(np.int64)
+            return words[c][order], pairs[c][by_key][np.searchsorted(pairs["key"][by_key], keys)]
+
+        return scored(unplanes(head["data"], 4), unplanes(head["lens"], 8), np.frombuffer(head["good"], bool), thawed(head["ids"]), word, sums, totals)
 
     return run
 
@@ -231,9 +284,16 @@ def score(docs: DataFrame, target_ids: DataFrame) -> DataFrame:
         F.coalesce(F.sum(F.when(F.col("is_target"), F.col("n"))), zero).alias("good_words"), F.count_if(F.col("is_target") & (F.col("n") > 0)).alias("good_docs"),
     ).first().asDict()
     slots = max(LEAST_SLOTS, -(-totals["chars"] // SLOT_CHARS))
-    sent = marked.withColumn("part", F.spark_partition_id()).mapInArrow(_packer(slots), PACKED)
-    back = sent.groupBy("slot").applyInPandas(_summed, PACKED)
-    return back.groupBy("batch").applyInArrow(_scorer(slots, totals), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {SCORED}")
+    parted, out = marked.withColumn("part", F.spark_partition_id()), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {SCORED}"
+    if slots <= PACKED_SLOTS:
+        sent = parted.mapInArrow(_packer(lambda held, kind, batch: packed(held, kind, batch, slots)), PACKED)
+        return sent.groupBy("slot").applyInPandas(_summed, PACKED).groupBy("batch").applyInArrow(_scorer(slots, totals), out)
+    sent = materialize(parted.mapInArrow(_packer(entries), ENTRIES), "entries", compression="zstd")
+    some = sent.where(F.col("kind") != DOCS)
+    sums = some.groupBy("kind", "key").agg(F.sum("background").alias("background"), F.sum("target").alias("target"))
+    back = some.select("batch", "kind", "key").join(sums, ["kind", "key"])  # a frequent word has a row a batch, which AQE splits
+    rows = sent.where(F.col("kind") == DOCS).unionByName(back, allowMissingColumns=True)
+    return rows.groupBy("batch").applyInArrow(_plain_scorer(totals), out)
 
 
 def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
