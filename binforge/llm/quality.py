@@ -6,7 +6,7 @@ asking what would change without one rule, is integer arithmetic on the ledger a
 never looks at a text again.
 
 Defined results: null or empty text measures 0 everywhere and fails ``few_words``;
-repeated rows give a row each; other columns of the input are ignored.
+repeated rows give a row each; null ids are ids like others; other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -49,6 +49,8 @@ class Policy:
 
 BASE = Policy("base", ("few_words", "repeated_windows"))
 V1 = Policy("v1")
+#: Without the rules on the lengths of words, which drop tables and code.
+V2 = Policy("v2", ("few_words", "repeated_windows", "symbols", "repeated_lines"))
 
 
 def measure(docs: DataFrame) -> DataFrame:
@@ -105,10 +107,19 @@ def ablation(led: DataFrame, policy: Policy) -> DataFrame:
     return led.agg(F.array(*sums).alias("x")).select(F.inline("x"))
 
 
+def sole_rule(policy: Policy) -> Column:
+    """The rule that alone drops a document; null where none or several do."""
+    held = F.col("fail_bits").bitwiseAND(F.lit(policy.mask))
+    return F.coalesce(*(F.when(held == 1 << RULE_NAMES.index(r), F.lit(r)) for r in policy.rules))
+
+
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     led = materialize(ledger(table(spark, sf_dir, "documents")), "quality-ledger")
     failed = F.col("fail_bits").bitwiseAND(F.lit(BASE.mask)) != 0
-    return apply_policy(led, V1).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), "kept", "fail_bits", "policy")
+    both = apply_policy(apply_policy(led, V2).withColumnRenamed("kept", "kept_v2"), V1).withColumn("sole_rule", sole_rule(V1))
+    drops = ablation(led, V1).select(F.col("rule").alias("sole_rule"), F.col("only_this").alias("sole_rule_drops"))  # a row a rule
+    got = both.join(F.broadcast(drops), "sole_rule", "left")
+    return got.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), "kept", "fail_bits", "policy", "kept_v2", "sole_rule", F.coalesce("sole_rule_drops", F.lit(0)).alias("sole_rule_drops"))
 
 
 ORACLE = r"""
@@ -126,5 +137,7 @@ b AS (SELECT *, (CASE WHEN n_words < 50 THEN 1 ELSE 0 END + CASE WHEN 100*n_repe
         + CASE WHEN 100*n_symbols > 10*n_words THEN 4 ELSE 0 END + CASE WHEN 100*n_dup_lines > 30*n_lines THEN 8 ELSE 0 END
         + CASE WHEN word_chars < 2*n_words THEN 16 ELSE 0 END + CASE WHEN word_chars > 20*n_words THEN 32 ELSE 0 END)::BIGINT AS fail_bits FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fail_bits & 3) <> 0 AS base_failed,
-       fail_bits = 0 AS kept, fail_bits, 'v1' AS policy FROM b
+       fail_bits = 0 AS kept, fail_bits, 'v1' AS policy, (fail_bits & 15) = 0 AS kept_v2,
+       CASE fail_bits WHEN 1 THEN 'few_words' WHEN 2 THEN 'repeated_windows' WHEN 4 THEN 'symbols' WHEN 8 THEN 'repeated_lines' WHEN 16 THEN 'short_words' WHEN 32 THEN 'long_words' END AS sole_rule,
+       CASE WHEN bit_count(fail_bits) = 1 THEN count(*) OVER (PARTITION BY fail_bits) ELSE 0 END::BIGINT AS sole_rule_drops FROM b
 """
