@@ -13,7 +13,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from binforge.llm import divergence, langid, lmscore, packing, secrets, toxicity, vectorcodes
+from binforge.llm import divergence, langid, lmscore, packing, quality, secrets, toxicity, vectorcodes
 from binforge.llm.common import held_out, table
 
 SF = "/root/testdata/sf0.001"
@@ -224,9 +224,11 @@ def test_lm_scores_keep_ids(spark, monkeypatch):
     assert all(r["score"] is not None for r in plain) and all((r["score"] is None) == (r["n_tokens"] == 0) for r in got)
     named = {r["doc_id"]: r["score"] for r in lmscore.score(docs.withColumn("doc_id", F.concat(F.lit("d"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))), good.withColumn("doc_id", F.concat(F.lit("d"), F.col("doc_id").cast("string")))).collect()}
     assert named["d7"] == {r["doc_id"]: r["score"] for r in got}[7]
-    monkeypatch.setattr(lmscore, "BATCH", 20)
-    key = lambda r: repr(tuple(round(v, 9) if isinstance(v, float) else v for v in r))
-    assert sorted(map(key, lmscore.score(docs, good).collect())) == sorted(map(key, got))
+    for batch, slots in ((20, 1), (lmscore.BATCH, 1), (20, lmscore.PACKED_SLOTS)):  # entries as rows of their own, and packed
+        monkeypatch.setattr(lmscore, "BATCH", batch)
+        monkeypatch.setattr(lmscore, "PACKED_SLOTS", slots)
+        key = lambda r: repr(tuple(round(v, 9) if isinstance(v, float) else v for v in r))
+        assert sorted(map(key, lmscore.score(docs, good).collect())) == sorted(map(key, got))
 
 
 # --- toxicity by plain matching and counting -------------------------------------------------------------------
@@ -351,3 +353,18 @@ def test_common_secrets_beyond_a_broadcast(spark, monkeypatch):
     want = sorted(map(repr, secrets.scan(docs, hot=5).collect()))
     monkeypatch.setattr(secrets, "BROADCAST_HASHES", 0)
     assert sorted(map(repr, secrets.scan(docs, hot=5).collect())) == want == sorted(map(repr, secrets.scan(docs, hot=10**6).collect()))
+
+
+def test_quality_versions_and_ablation(spark):
+    """Policies applied and rules left out, on the ledger's bits alone; null ids and repeated rows."""
+    rows = [(None, "few words"), (1, "a b c " * 40), (1, "a b c " * 40), (2, " ".join(f"word{k}" for k in range(60))), (3, " ".join(f"{k}" for k in range(10, 70))), (4, " ".join("x" * 30 + str(k) for k in range(60))), (None, None)]
+    docs = spark.createDataFrame([(*r, 7, "p") for r in rows], "doc_id long, text string, fail_bits long, policy string")
+    led = quality.ledger(docs)
+    got = sorted(((r["doc_id"] or 0, r["fail_bits"]) for r in led.collect()))
+    assert [i for i, _ in got] == [0, 0, 1, 1, 2, 3, 4] and sum(b == 0 for _, b in got) == 2
+    one, two = (quality.apply_policy(led, p) for p in (quality.V1, quality.V2))
+    assert one.where("kept").count() == 2 and two.where("kept").count() == 3
+    for r in quality.ablation(led, quality.V1).collect():
+        without = quality.Policy("x", tuple(x for x in quality.RULE_NAMES if x != r["rule"]))
+        assert quality.apply_policy(led, without).where("kept").count() == 2 + r["only_this"]
+        assert led.where(quality.sole_rule(quality.V1) == r["rule"]).count() == r["only_this"]

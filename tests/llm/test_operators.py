@@ -327,8 +327,9 @@ def test_lm_score(spark, odd, none, monkeypatch):
     good = docs.where("lang = 'en'").select("doc_id")
     few = docs.limit(40).select("doc_id", F.substring("text", 1, 1500).alias("text")).union(odd.select("doc_id", "text")).cache()
     want = sorted(brute_losses([tuple(r) for r in few.collect()], {r[0] for r in good.collect()}), key=repr)
-    for batch in (lmscore.BATCH, 700):
+    for batch, slots in ((lmscore.BATCH, lmscore.PACKED_SLOTS), (700, lmscore.PACKED_SLOTS), (700, 1)):  # packed by slot, and an entry a row
         monkeypatch.setattr(lmscore, "BATCH", batch)
+        monkeypatch.setattr(lmscore, "PACKED_SLOTS", slots)
         got = sorted((tuple(r)[:4] for r in lmscore.score(few, good).collect()), key=repr)
         assert len(got) == len(want)
         for g, w in zip(sorted(got, key=lambda r: r[:2]), sorted(want, key=lambda r: r[:2])):
