@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from binforge.llm import divergence, langid, lmscore, packing, quality, secrets, toxicity, vectorcodes
-from binforge.llm.common import held_out, table
+from binforge.llm.common import held_out, materialize, table
 
 SF = "/root/testdata/sf0.001"
 
@@ -359,7 +359,7 @@ def test_quality_versions_and_ablation(spark):
     """Policies applied and rules left out, on the ledger's bits alone; null ids and repeated rows."""
     rows = [(None, "few words"), (1, "a b c " * 40), (1, "a b c " * 40), (2, " ".join(f"word{k}" for k in range(60))), (3, " ".join(f"{k}" for k in range(10, 70))), (4, " ".join("x" * 30 + str(k) for k in range(60))), (None, None)]
     docs = spark.createDataFrame([(*r, 7, "p") for r in rows], "doc_id long, text string, fail_bits long, policy string")
-    led = quality.ledger(docs)
+    led = materialize(quality.ledger(docs), "ledger")
     got = sorted(((r["doc_id"] or 0, r["fail_bits"]) for r in led.collect()))
     assert [i for i, _ in got] == [0, 0, 1, 1, 2, 3, 4] and sum(b == 0 for _, b in got) == 2
     one, two = (quality.apply_policy(led, p) for p in (quality.V1, quality.V2))
