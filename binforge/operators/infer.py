@@ -56,7 +56,7 @@ def register_binning(name: str):
 def infer(df: DataFrame, col: str, bins=10, **options) -> B.Binning:
     """The binning that `bins` names: a Binning, a count, a method's name, edges or pairs, or a function of (df, col).
 
-    options: range, bin_count, bin_width, q, qrange, kind ("time"), min_bin_width, max_bin_width, align.
+    options: range, bin_count, bin_width, q, qrange, kind ("time"), min_bin_width, max_bin_width, align, most_bins ("knuth").
     """
     return infer_all(df, [col], [bins], [options])[0]
 
@@ -89,13 +89,13 @@ def _needs(x: Column, bins, *, range=None, **_) -> dict[str, Column]:
     return out
 
 
-def _finish(d: DataFrame, col: str, bins, m: dict, *, range=None, bin_count: int | None = None, bin_width: float = 1.0, q=None, qrange=(0.0, 1.0), kind: str | None = None, min_bin_width: float | None = None, max_bin_width: float | None = None, align: bool = True, **more) -> B.Binning:
+def _finish(d: DataFrame, col: str, bins, m: dict, *, range=None, bin_count: int | None = None, bin_width: float = 1.0, q=None, qrange=(0.0, 1.0), kind: str | None = None, min_bin_width: float | None = None, max_bin_width: float | None = None, align: bool = True, most_bins: int | None = None, **more) -> B.Binning:
     if isinstance(bins, B.Binning):
         return bins
     if bins == "blocks":
         from . import blocks  # noqa: F401  registers itself
     if isinstance(bins, str) and bins in REGISTRY:
-        given = dict(range=range, bin_count=bin_count, **more)
+        given = dict(range=range, bin_count=bin_count, most_bins=most_bins, **more)
         return REGISTRY[bins](d, col, **{k: v for k, v in given.items() if v is not None})
     if more:
         raise ValueError(f"unknown options {sorted(more)}")
@@ -129,7 +129,7 @@ def _finish(d: DataFrame, col: str, bins, m: dict, *, range=None, bin_count: int
         width = nice((hi - lo) / (bin_count or B.ideal_bin_count(m["n"])))
         return B.fixed_width(lo, hi, min(max(width, min_bin_width or width), max_bin_width or math.inf))
     if bins == "knuth":
-        return B.equal_width(lo, hi, knuth_count(d, col, lo, hi, m["n"]))
+        return B.equal_width(lo, hi, knuth_count(d, col, lo, hi, m["n"], most_bins))
     if bins == "exponential":
         return B.exponential(lo, hi, bin_count or B.ideal_bin_count(m["n"]))
     if bins == "scott":
@@ -140,14 +140,24 @@ def _finish(d: DataFrame, col: str, bins, m: dict, *, range=None, bin_count: int
     raise ValueError(f"unknown binning {bins}")
 
 
-def knuth_count(df: DataFrame, col: str, lo: float, hi: float, n: int) -> int:
-    """The count of equal bins with the highest posterior by Knuth's rule.
+#: Counts of bins that one pass over the values tries where all up to a bound are.
+TRIED = 300
 
-    First counts that rise by an eighth are tried, as far as the posterior still rises at the upper end;
+
+def knuth_count(df: DataFrame, col: str, lo: float, hi: float, n: int, most: int | None = None) -> int:
+    """The count of equal bins with the highest posterior by Knuth's rule; with `most`, of the counts from 1 to it, all of which are tried.
+
+    Without it, first counts that rise by an eighth are tried, as far as the posterior still rises at the upper end;
     then every count around the best. A pass counts the occupied bins of all its candidates
     with map-side sums; what reaches the driver is how often each frequency occurs.
     """
     known: dict[int, float] = {}
+    if most is not None:
+        if most < 1:
+            raise ValueError("at least one bin is needed")
+        for low in builtins.range(1, most + 1, TRIED):
+            known |= _posteriors(df, col, lo, hi, n, list(builtins.range(low, min(low + TRIED, most + 1))))
+        return max(known, key=lambda m: (known[m], -m))
     top = 1024
     counts = _rising(1, top)
     while True:
@@ -176,9 +186,10 @@ def _rising(low: int, top: int) -> list[int]:
 
 def _posteriors(df: DataFrame, col: str, lo: float, hi: float, n: int, counts: list[int]) -> dict[int, float]:
     x = F.col(col).cast("double")
-    fine = df.where(x.between(lo, hi)).select(x.alias("x"), F.explode(F.array(*map(F.lit, counts))).alias("m"))
+    values = df.where(x.between(lo, hi)).groupBy(x.alias("x")).agg(F.count("*").alias("rows"))  # equal values once for all counts
+    fine = values.select("x", "rows", F.explode(F.array(*map(F.lit, counts))).alias("m"))
     at = F.least(F.floor((F.col("x") - lo) / (hi - lo) * F.col("m")), F.col("m") - 1)
-    held = fine.groupBy("m", at.alias("k")).count().groupBy("m", "count").agg(F.count("*").alias("times")).collect()
+    held = fine.groupBy("m", at.alias("k")).agg(F.sum("rows").alias("count")).groupBy("m", "count").agg(F.count("*").alias("times")).collect()
     logs = {m: n * math.log(m) + math.lgamma(m / 2) - m * math.lgamma(0.5) - math.lgamma(n + m / 2) for m in counts}
     empty = dict.fromkeys(counts, 0)
     for r in held:

@@ -3,6 +3,7 @@
 import math
 from datetime import datetime, timedelta
 
+import duckdb
 import numpy as np
 import pandas as pd
 import pytest
@@ -15,6 +16,7 @@ from binforge.operators import blocks, coords, hist, infer, quantile, shape
 from binforge.operators.arithmetic import free_arithmetic, is_free
 from binforge.operators.collection import Collection
 from binforge.operators.histogram import Histogram, assert_histograms_equal
+from binforge.plans import catalog
 from binforge.sources import formats
 
 
@@ -27,6 +29,25 @@ def two(spark, values):
 
 
 # --- results that were wrong ------------------------------------------------------------------------------
+def test_knuth_query_of_repeated_rows(spark, tmp_path):
+    """Values that many rows share would have ever finer bins; the query takes the best of the counts that its SQL tries."""
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet").crossJoin(spark.range(60).select())
+    events.coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW events AS FROM '{tmp_path}/events.parquet/*.parquet'")
+    want = sorted(c.execute(catalog.ORACLE_SQL["h1_knuth"]).fetchall())
+    assert sorted(map(tuple, catalog.QUERIES["h1_knuth"](spark, str(tmp_path)).collect())) == want
+    assert 200 < len(want) <= 300
+
+
+def test_knuth_tries_all_up_to_a_bound(spark):
+    d = column(spark, [x % 40 for x in range(2000)])
+    score = infer._posteriors(d, "x", 0.0, 39.0, 2000, list(range(1, 31)))
+    assert infer.knuth_count(d, "x", 0.0, 39.0, 2000, 30) == max(score, key=score.get) == len(infer.infer(d, "x", "knuth", most_bins=30).bins)
+    with pytest.raises(ValueError):
+        infer.infer(d, "x", "knuth", most_bins=0)
+
+
 def test_fill_n_transforms(spark):
     d = two(spark, [(1, 0), (0, 2)])
     h = Histogram.special(d, "polar", "x", "y", bins=[2, 4], ranges=[(0.0, 2.0), None])
