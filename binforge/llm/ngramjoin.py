@@ -51,6 +51,8 @@ from .common import LOWER, UPPER, WORD, materialize, table
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 N, PERCENT, LIGHT, SKETCH = 4, 85, 1, 1024
+#: Ids of texts that are sent to all tasks, at most (16 bytes each, and what a hash table needs); more are shuffled with the texts.
+SENT_IDS = 2_000_000
 #: Shingles of a block, about; a longer text is a block of its own or shares one.
 BLOCK = 200_000
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
@@ -180,8 +182,15 @@ def _checked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield b.loc[keep, ["a", "b"]]
 
 
+def of_ids(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of texts whose id is among ids (a stored table). Few ids go to the texts, so that the others' texts aren't shuffled."""
+    return texts.join(F.broadcast(ids) if ids.count() <= SENT_IDS else ids, "id", "left_semi")
+
+
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Those of pairs (a, b) whose texts link. texts: id, text."""
+    """Those of pairs (a, b; a stored table) whose texts link. texts: id, text."""
+    ids = materialize(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "ids")
+    texts = of_ids(texts, ids)
     left = texts.select(F.col("id").alias("a"), F.col("text").alias("ta"))
     right = texts.select(F.col("id").alias("b"), F.col("text").alias("tb"))
     return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInPandas(_checked, "a long, b long")
@@ -220,7 +229,7 @@ def _meeting(classes: DataFrame, texts: DataFrame, comp: DataFrame) -> DataFrame
     up = F.transform(near(1), lambda k: of(s, j, s + 1, k, F.lit(0)))
     down = F.transform(near(-1), lambda k: of(s - 1, k, s, j, F.lit(1)))
     key = ["comp", "s1", "j1", "s2", "j2"]
-    m = m.join(texts, "id").select("comp", F.explode(F.concat(own, up, down)).alias("at"), "id", "rows", "text").select("comp", "at.*", "id", "rows", "text")
+    m = m.join(of_ids(texts, comp.select("id")), "id").select("comp", F.explode(F.concat(own, up, down)).alias("at"), "id", "rows", "text").select("comp", "at.*", "id", "rows", "text")
     return m.repartition(*key).sortWithinPartitions(*key)
 
 
@@ -302,7 +311,8 @@ def _placed(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame
     classes = some.groupBy("same", "n_shingles").agg(first, F.first("sketch").alias("sketch"), F.count("*").alias("rows"))
     classes = materialize(classes.withColumn("id", _class_id(docs)), "classes")
     names = classes.select("id", F.col("first.key").alias("key"))
-    texts = materialize(d.join(names, "key").groupBy("id").agg(F.first("text").alias("text")), "texts")
+    # an id has one key, so the join's shuffle is the only one of the texts
+    texts = materialize(d.join(names, "key").groupBy("key", "id").agg(F.first("text").alias("text")).select("id", "text"), "texts", compression="zstd")
     # keys that two or more classes share, and each key's hub
     w = Window.partitionBy("key")
     shared = texts.mapInPandas(_keyed, "key long, id long").withColumn("hub", F.min("id").over(w)).withColumn("last", F.max("id").over(w))
@@ -321,7 +331,7 @@ def _placed(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame
     apart = materialize(apart.join(left, "a"), "apart")
     other = apart.select("key", F.col("a").alias("b"), F.col("comp").alias("cb"), F.col("na").alias("nb"), F.col("sa").alias("sb"))
     pairs = apart.join(other, "key").where((F.col("comp") != F.col("cb")) & (F.col("a") < F.col("b")) & likely).select("a", "b").distinct()
-    pairs = pairs.join(stars, ["a", "b"], "left_anti")
+    pairs = materialize(pairs.join(stars, ["a", "b"], "left_anti"), "pairs")
     more = materialize(verified(pairs, texts), "more")
     if more.limit(1).count():
         comp = components(edges.union(more))

@@ -6,7 +6,7 @@ import numpy as np
 
 import corpus_pipeline
 from binforge.llm import licenses, ngramjoin
-from binforge.llm.common import table
+from binforge.llm.common import materialize, table
 
 
 def brute_links(texts):
@@ -41,6 +41,20 @@ def test_every_link_within_a_component(spark, monkeypatch):
         assert set(pairs) == {(a, b) for a in classes for b in want[a] & classes if a < b}
 
 
+def test_only_texts_of_pairs_are_shuffled(spark, monkeypatch):
+    """Verification leaves texts that are on no pair where they are; beyond the bound they are shuffled, with the same result."""
+    line = " ".join(f"w{k}" for k in range(40))
+    texts = materialize(spark.createDataFrame([(k, f"{line} e{k}" if k < 6 else f"other {k}") for k in range(300)], "id long, text string"), "texts")
+    pairs = materialize(spark.createDataFrame([(0, 1), (0, 5), (2, 7), (3, 4)], "a long, b long"), "pairs")
+    for sent in (ngramjoin.SENT_IDS, 0):
+        monkeypatch.setattr(ngramjoin, "SENT_IDS", sent)
+        got = ngramjoin.verified(pairs, texts)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "LeftSemi" in plan
+        assert sent == 0 or "BroadcastHashJoin [id" in plan
+        assert sorted(map(tuple, got.collect())) == [(0, 1), (0, 5), (3, 4)]
+
+
 def test_a_hub_unlike_the_others_is_no_square(spark):
     """Near copies under common keys with a first text that few of them link with."""
     rng = np.random.default_rng(9)
